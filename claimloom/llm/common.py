@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
+
 BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
 _own_folder: list[str] = []
@@ -53,7 +55,8 @@ def unstage(df: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, for tables with very long texts."""
+    """Keep Arrow batches small, for tables with very long texts; and see that the executors have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
