@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,7 +143,6 @@ def with_fallback(rows: DataFrame, by: list[str], tokens, haystack) -> DataFrame
 
 def slot(function, kind: str):
     """A model as an Arrow-batched column function of one text column; null texts become empty."""
-    import pandas as pd
 
     @F.pandas_udf(kind)
     def run(c: pd.Series) -> pd.Series:
