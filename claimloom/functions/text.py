@@ -263,7 +263,12 @@ def sentences(c: Column | str) -> Column:
 
 
 def repaired(c: Column | str) -> Column:
-    """UTF-8 that was read as Latin-1, where its marks occur and the repair has no replacement character."""
+    """UTF-8 of an Indic script that was read as Latin-1, where its marks occur; what cannot be read is dropped."""
     t = col(c)
-    fixed = F.decode(F.encode(t, "ISO-8859-1"), "UTF-8")
-    return F.when(t.rlike("Ã|Â|â€|à¤|à®|à°|à²|à´") & ~F.contains(fixed, F.lit("�")) & ~F.contains(fixed, F.lit("?")), fixed).otherwise(t)
+    fixed = F.trim(F.replace(F.decode(F.encode(F.regexp_replace(t, r"[^\x00-\xff]", ""), "ISO-8859-1"), "UTF-8"), F.lit("\ufffd"), F.lit("")))
+    return F.when(t.rlike("à¤|à®|à°|à²|à´") & (fixed != ""), fixed).otherwise(t)
+
+
+def without_artefact(c: Column | str) -> Column:
+    """A claim without the sentence that names its language at the end."""
+    return F.trim(F.regexp_replace(F.trim(F.coalesce(col(c), F.lit(""))), r"(?i)\s+this\s+claim\s+is\s+(?:provided|presented)\s+in\s+[a-z]+\.?\s*$", ""))

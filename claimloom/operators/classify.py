@@ -95,12 +95,28 @@ def route(rows: DataFrame, table: DataFrame, level1: str = "level1", level2: str
 
 
 def image_claim(c: Column | str) -> Column:
-    """The text after a leading question that ends before position 140, if over 40 characters remain; runs of marks as one."""
-    t = F.col(c) if isinstance(c, str) else c
+    """The text after a leading question that ends before position 140, if over 40 characters follow its start; space and
+    runs of end marks collapsed."""
+    t = F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
     at = F.instr(t, "?")
     rest = F.trim(F.substring(t, at + 1, F.length(t)))
-    out = F.when((at > 0) & (at <= 140) & (F.length(rest) > 40), rest).otherwise(t)
-    return F.regexp_replace(out, r"([!?.,;:])\1+", "$1")
+    out = F.when((at > 0) & (at <= 140) & (F.length(t) - at + 1 > 40) & (rest != ""), rest).otherwise(t)
+    return F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), r"([.!?])\1+", "$1")
+
+
+def several_claims(c: Column | str) -> Column:
+    """Whether at least two pieces between ends of sentences, lines or bullets have 20 characters and five words."""
+    t = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    parts = F.transform(F.split(t, r"[\n\r]+|[.!?।]+|•|-{2,}"), lambda x: F.trim(x))
+    return F.size(F.filter(parts, lambda x: (F.length(x) >= 20) & (F.size(F.split(x, r"\s+")) >= 5))) >= 2
+
+
+def verifier_input(rows: DataFrame, by: list[str], verdict: str, confidence: str, pos: str, gray=(0.35, 0.65), most: int = 6, relevance: float = 0.86, credibility: float = 0.65) -> DataFrame:
+    """The rows that a verifier would be shown: a neutral verdict's good neutral rows, an unsure verdict's most relevant ones."""
+    n = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("relevance"), pos))
+    neutral = (F.col(verdict) == "neutral") & (F.col("stance") == "neutral") & (F.col("relevance") >= relevance) & (F.col("credibility") >= credibility)
+    unsure = F.col(verdict).isin("support", "refute") & F.col(confidence).between(*gray)
+    return rows.withColumn("_n", n).where(neutral | (unsure & (F.col("_n") <= most))).drop("_n")
 
 
 def script_language(c: Column | str) -> Column:

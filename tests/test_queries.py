@@ -3,7 +3,7 @@
 import pytest
 
 from claimloom import queries as q
-from claimloom import queries_more  # noqa: F401
+from claimloom import queries_more, queries_rest  # noqa: F401
 from tests.conftest import same
 
 #: Queries whose rule rejects or keeps nothing on the small table.

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.functions import parse as A
 from claimloom.functions import text as X
 from claimloom.functions import urls as U
 from claimloom.operators import classify as C
@@ -99,7 +100,7 @@ def test_scripts(spark):
     assert one(spark, X.language_ok("t", F.lit("hi")), t="यह एक लंबा हिंदी वाक्य है abc") is True
     assert one(spark, X.language_ok("t", F.lit("hi")), t="abc def ghi यह") is False
     assert one(spark, X.english_like("t"), t="123") is True
-    assert one(spark, X.repaired("t"), t="cafÃ©") == "café"
+    assert one(spark, X.repaired("t"), t="यह".encode().decode("latin-1")) == "यह" and one(spark, X.repaired("t"), t="cafÃ©") == "cafÃ©"
 
 
 def test_key_lengths_differ(spark):
@@ -161,10 +162,44 @@ def test_page_dates(spark):
         assert one(spark, N.publication_date("h"), h=html) == iso
 
 
-def test_json_salvage(spark):
-    strict = F.coalesce(F.get_json_object(X.strip_fences("t"), "$.verdict"), F.regexp_extract("t", r"(?i)verdict[\"']?\s*[:=]\s*[\"']?(\w+)", 1))
-    for t in ('```json\n{"verdict": "support"}\n```', '{"verdict": "support", "note": "a"b"', "verdict = support"):
-        assert one(spark, strict, t=t) == "support"
+@pytest.mark.parametrize(
+    "raw, verdict, confidence",
+    [
+        ('```json\n{"verdict": "supported", "confidence": 0.9, "reason": "r"}\n```', "support", 0.9),
+        ('Sure: {"verdict": "false", "confidence": 80} done', "refute", 0.8),
+        ('{"verdict": "support", "confidence": 87%, "reason": "a "quoted" word"', "support", 0.87),
+        ("The claim is not supported by evidence.", "refute", 0.5),
+        ("label = neutral\nconfidence = 0.4", "neutral", 0.4),
+        ("It is true, 75 % sure", "support", 0.75),
+        ("nothing here", None, 0.5),
+    ],
+)
+def test_verifier_answers(spark, raw, verdict, confidence):
+    r = spark.createDataFrame([(raw,)], "t string").select(A.verifier_answer("t").alias("r")).select("r.*").first()
+    assert (r.verdict, r.confidence) == (verdict, pytest.approx(confidence))
+
+
+def test_updates(spark):
+    text = "EVIDENCE 1 | relevance=0.82 | stance=support | conf=0.77 | reason=says so\nEVIDENCE 1 | relevance=0.1 | stance=refute | reason=again\nEVIDENCE 3 | relevance=.5 | stance=Neutral | reason=none\nnoise"
+    d = spark.createDataFrame([(7, text)], "k int, t string")
+    assert sorted(map(tuple, A.line_updates(d, "k", "t").collect())) == [(7, 1, 0.82, "support", 0.77, "says so"), (7, 3, 0.5, "neutral", 0.6, "none")]
+    d = spark.createDataFrame([(7, '[{"index": 2, "relevance": 0.4, "stance": "refute"}, {"index": 5, "score": 1, "label": "support"')], "k int, t string")
+    assert sorted(map(tuple, A.loose_updates(d, "k", "t").collect())) == [(7, 2, 0.4, "refute"), (7, 5, 1.0, "support")]
+    assert one(spark, F.get_json_object(A.closed_json("t"), "$.a[1]"), t='{"a": ["b", "x y') == "x y"
+
+
+def test_fever_shapes(spark):
+    assert one(spark, A.fever_text("t"), t='[["P", "1", "one"], ["Q", "2", "two"]]') == "one"
+    assert one(spark, A.fever_text("t"), t='[[["P", "1", "one"], ["Q", "2", " two "]], [["R", "3", "x"]]]') == "one two"
+    assert one(spark, A.fever_text("t"), t="[]") == "" and one(spark, A.fever_text("t"), t=None) == ""
+
+
+def test_image_claims(spark):
+    tail = "The statement that follows is certainly long enough!!"
+    assert one(spark, C.image_claim("t"), t="Is it so? " + tail) == tail[:-1]
+    assert one(spark, C.image_claim("t"), t="So? short") == "So? short"
+    assert one(spark, C.several_claims("t"), t="One claim with five words here. Another claim with five words too") is True
+    assert one(spark, X.without_artefact("t"), t="A claim. This claim is provided in Hindi.") == "A claim."
 
 
 def test_quotas(spark):
