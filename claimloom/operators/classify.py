@@ -42,7 +42,7 @@ def topics(claims: DataFrame, taxonomy: DataFrame, key: str, text: str, divisor:
     """
     dim = taxonomy.groupBy(*(within or []), "pos", "label").agg(F.collect_set("keyword").alias("ks"))
     dim = dim.groupBy(*(within or [])).agg(F.sort_array(F.collect_list(F.struct("pos", "label", "ks"))).alias("_dim"))
-    joined = claims.join(F.broadcast(dim), within, "left") if within else claims.crossJoin(F.broadcast(dim))
+    joined = claims.join(dim, within, "left") if within else claims.crossJoin(F.broadcast(dim))
     low = F.lower(F.coalesce(text, F.lit("")))
     hits = F.transform("_dim", lambda d: F.struct(F.size(F.filter(d["ks"], lambda k: F.contains(low, k))).alias("n"), (-d["pos"]).alias("p"), d["label"].alias("label")))
     best = F.array_max(hits)
@@ -84,9 +84,9 @@ def route(rows: DataFrame, table: DataFrame, level1: str = "level1", level2: str
     topic; the baseline ones follow. table: level1, level2, pos, source, a small dimension."""
     dim = table.groupBy("level1", "level2").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]).alias("s"))
     at = lambda a, b, name: dim.select(F.col("level1").alias(a), F.col("level2").alias(b), F.col("s").alias(name))
-    r = rows.join(F.broadcast(at("_a", "_b", "_s1")), (F.col(level1) == F.col("_a")) & (F.col(level2) == F.col("_b")), "left").drop("_a", "_b")
+    r = rows.join(at("_a", "_b", "_s1"), (F.col(level1) == F.col("_a")) & (F.col(level2) == F.col("_b")), "left").drop("_a", "_b")
     d = at("_a", "_b", "_s2").where("_b = '_default'").drop("_b")
-    r = r.join(F.broadcast(d), F.col(level1) == F.col("_a"), "left").drop("_a")
+    r = r.join(d, F.col(level1) == F.col("_a"), "left").drop("_a")
     g = d.where(F.col("_a") == general).select(F.col("_s2").alias("_s3"))
     r = r.crossJoin(F.broadcast(g.union(rows.sparkSession.sql("SELECT cast(array() AS array<string>)")).limit(1)))
     own = F.coalesce("_s1", "_s2", "_s3")

@@ -53,7 +53,7 @@ def balance(rows: DataFrame, by: list[str], keys: list[str], seed: str, within:
     n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     if within:
         least = n.groupBy(*within).agg(F.min("_n").alias("_least"))
-        return r.join(F.broadcast(least), within).where("_k <= _least").drop("_k", "_least")
+        return r.join(least, within).where("_k <= _least").drop("_k", "_least")
     return r.crossJoin(F.broadcast(n.agg(F.min("_n").alias("_least")))).where("_k <= _least").drop("_k", "_least")
 
 

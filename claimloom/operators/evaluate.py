@@ -140,7 +140,7 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Dat
 def in_order(rows: DataFrame, order: list[str], key: str) -> DataFrame:
     """rows for each of `order`, with its place; missing ones are null."""
     dim = rows.sparkSession.createDataFrame(list(enumerate(order, 1)), f"place int, `{key}` string")
-    return F.broadcast(dim).join(rows, key, "left")
+    return dim.join(rows, key, "left")
 
 
 def counts(rows: DataFrame, *by: str) -> DataFrame:

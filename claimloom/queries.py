@@ -56,7 +56,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
         "score": (i * 37 % 101) / F.lit(100.0), "relevance": (i * 53 % 101) / F.lit(100.0),
         "p": F.struct(((i * 17 % 50) / F.lit(100.0)).alias("support"), ((i * 29 % 50) / F.lit(100.0)).alias("refute"), ((100 - i * 17 % 50 - i * 29 % 50) / F.lit(100.0)).alias("neutral")),
     })
-    return e.join(F.broadcast(b.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))), "claim_id", "left")
+    return e.join(b.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), "claim_id", "left")
 
 
 EV = """WITH ev0 AS (
