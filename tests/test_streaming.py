@@ -34,3 +34,24 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("usage_test").collect())) == sorted(map(tuple, L.usage(d, "user_id").collect()))
+
+
+def test_stream_admits_as_the_batch_does(spark, tmp_path):
+    """Two files arrive one after the other; the second's calls meet the state of the first's."""
+    times, d = rows(spark)
+    for k, part in enumerate((d.where("event_id < 4"), d.where("event_id >= 4"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src = tmp_path / "src"
+        src.mkdir()
+        s = L.admit_stream(spark.readStream.schema(d.schema).parquet(str(src)), "user_id", seconds=60, limit=2)
+        for k in range(2):
+            for f in (tmp_path / f"part{k}").glob("*.parquet"):
+                f.rename(src / f"{k}-{f.name}")
+            q = s.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [r.admitted for r in spark.read.parquet(str(tmp_path / "out")).orderBy("key").collect()]
+    assert got == model(times, 60, 2)
