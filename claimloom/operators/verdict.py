@@ -122,21 +122,24 @@ def percent(c: Column) -> Column:
     return F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
+# The sentences of a verdict's reasons. Those of support and refute are for high, moderate and low confidence.
+COUNT = "Analyzed {} evidence sources."
+CONFLICT = "Conflicting evidence detected from different sources."
+SUPPORT = ["Strong evidence supports this claim.", "Moderate evidence supports this claim.", "Weak evidence leans toward supporting this claim."]
+REFUTE = ["Strong evidence refutes this claim.", "Moderate evidence refutes this claim.", "Weak evidence suggests this claim may be inaccurate."]
+CONTRADICTORY, INSUFFICIENT, MIXED = "Evidence is contradictory, no clear conclusion.", "Insufficient evidence to reach a conclusion.", "Evidence is inconclusive or mixed."
+CLOSING = ["High confidence ({}).", "Moderate confidence ({}).", "Low confidence ({}). Further verification recommended."]
+
+
 def reasoning() -> Column:
-    """A sentence or more on the columns that `verdict` makes."""
+    """The reasons for a verdict, on the columns that `verdict` makes."""
     c, v, k = F.col("confidence"), F.col("verdict"), F.col("evidence_count")
-    level = lambda a, b, d: F.when(c >= 0.75, a).when(c >= 0.55, b).otherwise(d)
-    shares = F.concat(F.lit("Support: "), percent(F.col("agg_support")), F.lit(", Refute: "), percent(F.col("agg_refute")), F.lit(", Neutral: "), percent(F.col("agg_neutral")), F.lit("."))
-    what = (
-        F.when(v == "support", level("Strong evidence supports this claim.", "Moderate evidence supports this claim.", "Weak evidence leans toward supporting this claim."))
-        .when(v == "refute", level("Strong evidence refutes this claim.", "Moderate evidence refutes this claim.", "Weak evidence suggests this claim may be inaccurate."))
-        .when(F.col("conflict"), "Evidence is contradictory, no clear conclusion.")
-        .when(k < 2, "Insufficient evidence to reach a conclusion.")
-        .otherwise("Evidence is inconclusive or mixed.")
-    )
-    how = F.concat(level("High", "Moderate", "Low"), F.lit(" confidence ("), percent(c), F.lit(")."), F.when(c >= 0.55, "").otherwise(" Further verification recommended."))
-    first = F.concat(F.lit("Analyzed "), k.cast("string"), F.lit(" evidence sources."))
-    return F.concat_ws(" ", first, F.when(F.col("conflict"), "Conflicting evidence detected from different sources."), shares, what, how)
+    level = lambda three: F.when(c >= 0.75, three[0]).when(c >= 0.55, three[1]).otherwise(three[2])
+    filled = lambda text, value: F.replace(text, F.lit("{}"), value)
+    shares = F.concat_ws(", ", *[F.concat(F.lit(f"{k.capitalize()}: "), percent(F.col(f"agg_{k}"))) for k in ("support", "refute", "neutral")])
+    neutral = F.when(F.col("conflict"), CONTRADICTORY).when(k < 2, INSUFFICIENT).otherwise(MIXED)
+    what = F.when(v == "support", level(SUPPORT)).when(v == "refute", level(REFUTE)).otherwise(neutral)
+    return F.concat_ws(" ", filled(F.lit(COUNT), k.cast("string")), F.when(F.col("conflict"), CONFLICT), F.concat(shares, F.lit(".")), what, filled(level(CLOSING), percent(c)))
 
 
 def weak_neutral(evidence: DataFrame, by: str, o: Options = Options()) -> DataFrame:

@@ -76,6 +76,15 @@ def test_reasons_round_half_even(spark):
     assert one(spark, V.percent(F.col("x")), x=0.125) == "12%"
 
 
+def test_reasons(spark):
+    rows = [(0.6, 0.1, 0.3, 4, False, "support", 0.6), (0.45, 0.45, 0.1, 1, True, "neutral", 0.375)]
+    d = spark.createDataFrame(rows, "agg_support double, agg_refute double, agg_neutral double, evidence_count long, conflict boolean, verdict string, confidence double")
+    assert [r[0] for r in d.select(V.reasoning()).collect()] == [
+        "Analyzed 4 evidence sources. Support: 60%, Refute: 10%, Neutral: 30%. Moderate evidence supports this claim. Moderate confidence (60%).",
+        "Analyzed 1 evidence sources. Conflicting evidence detected from different sources. Support: 45%, Refute: 45%, Neutral: 10%. Evidence is contradictory, no clear conclusion. Low confidence (38%). Further verification recommended.",
+    ]
+
+
 def test_urls(spark):
     for url, host in (("https://A.Example.com:8080/x", "a.example.com"), ("example.com/x", ""), (None, ""), ("http://.a.b./", "a.b")):
         assert one(spark, U.host("u"), u=url) == host
