@@ -17,20 +17,23 @@ WIDTH = 5
 BANDS, ROWS, LOW_BITS = 32, 4, 2
 MINIMA = BANDS * ROWS
 WORDS = MINIMA * LOW_BITS // 64
+#: One-bit minima of the few texts whose pairs are looked at across components.
+LONG = 2048
 #: Ids of texts to be compared that are broadcast as a semi-join; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_L = _rng.integers(1, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _Q = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHash(dict):
-    """64-bit hashes of words; emptied when it has grown to a million."""
+    """64-bit hashes of words; emptied when it has grown to 300,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -63,13 +66,18 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(MINIMA, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(s), 2048):
-        np.minimum(out, (s[at : at + 2048, None] * _A).min(0), out=out)
+def minima(s: np.ndarray, by: np.ndarray = _A) -> np.ndarray:
+    out, step = np.full(len(by), np.uint64(0xFFFFFFFFFFFFFFFF)), (1 << 18) // len(by)
+    for at in range(0, len(s), step):
+        np.minimum(out, (s[at : at + step, None] * by).min(0), out=out)
     return out
 
 
+def long_bits(s: np.ndarray) -> np.ndarray:
+    """One bit of each of LONG minima, packed."""
+    return np.packbits((_mix(minima(s, _L)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def pack(m: np.ndarray) -> np.ndarray:
     """The low bits of the (mixed) minima of one set or of each row, LOW_BITS each, in WORDS longs."""
     low = (_mix(m) & np.uint64((1 << LOW_BITS) - 1)).reshape(*m.shape[:-1], WORDS, 64 // LOW_BITS)
@@ -100,11 +108,17 @@ def estimate(a: str, b: str) -> Column:
     return (same_low(a, b) / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
-def floor_of(similarity: float) -> float:
+def long_estimate(a: str, b: str) -> Column:
+    """Similarity from LONG minima of one bit each, in arrays of longs."""
+    miss = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return 1 - miss * (2.0 / LONG)
+
+
+def floor_of(similarity: float, minima: int = MINIMA, bits: int = LOW_BITS) -> float:
     """An estimate lies below this once in 10**7 cases for sets as similar as `similarity`: 5.2 standard deviations."""
-    chance = 2.0**-LOW_BITS
+    chance = 2.0**-bits
     p = similarity + (1 - similarity) * chance
-    return similarity - 5.2 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
+    return similarity - 5.2 * (p * (1 - p) / minima) ** 0.5 / (1 - chance)
 
 
 SIGNATURES = "_row long, doc_id long, n_shingles long, node binary, sig struct<w0:long,w1:long,w2:long,w3:long>, bands array<long>"
@@ -187,10 +201,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     _row is the column row_id of docs, which must be unique, or else a number of the row in this result.
 
-    Texts with the same words are one node. A band's nodes are candidates: each is compared with the band's smallest
-    node; where nodes of a band are still in different components, those across components are compared with each
-    other, by packed low bits within the join and then by their full sets. 32 bands of 4 minima miss a pair at
-    similarity 0.75 once in 190,000 cases, and at 0.8 once in 10 million; what is confirmed is exact.
+    Texts with the same words are one node. A band's nodes are candidates, but only their components matter, so a group
+    of m near copies costs m comparisons, not m * m: each node is compared with the band's smallest; where a band still
+    has nodes of several components, with its most central one; then nodes across components with each other. Before
+    that, the shingles that a node shares with other components are counted: nodes or pairs that these cannot bring to
+    the threshold are out, which is exact. Pairs pass the packed low bits within the join, in the first band they share, then their full
+    sets are compared. 32 bands of 4 minima miss a pair at similarity 0.75 once in 190,000 cases, and at 0.8 once in 10 million.
 
     component_id is the smallest doc_id of the component; kept is doc_id = component_id; first marks one row of each
     component, the first of those with the smallest doc_id. A null or empty text is a component of its own; a null
@@ -198,7 +214,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ids but different texts stay separate nodes. Other columns of docs are ignored.
     """
     sigs = stage(signatures(docs, text, doc_id, row_id), "sigs")
-    nodes = stage(sigs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    nodes = stage(sigs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     in_bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = in_bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
     bands = stage(in_bands.join(shared, "key").select("key", F.col("node").alias("a"), "b"), "bands")
@@ -209,26 +225,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return p.where(estimate("sa", "sb") >= floor_of(percent / 100)).select("a", "b")
 
     stars = stage(likely(bands.where("a <> b").select("a", "b").distinct()), "stars")
-    links = stage(confirm(stars, _texts_of(docs, _ids(stars, nodes), text, doc_id), percent), "links")
-    comp = stage(components(links, "cc1"), "comp1")
-
-    c = comp.select(F.col("node").alias("a"), "comp")
-    members = bands.select("key", "a").join(c, "a", "left").select("key", "a", F.coalesce("comp", "a").alias("comp"))
-    members = stage(members, "members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = stage(members.join(mixed, "key").join(sig.withColumnRenamed("node", "a"), "a"), "open")
-    x = open_.select("key", "a", F.col("comp").alias("ca"), F.col("sig").alias("sa"))
-    y = open_.select("key", F.col("a").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"))
-    across = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & (estimate("sa", "sb") >= floor_of(percent / 100))).select("a", "b").distinct()
-    across = stage(across.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"), "across")
-    more = stage(confirm(across, _texts_of(docs, _ids(across, nodes), text, doc_id), percent), "more")
-    if more.isEmpty():
-        whole = comp
-    else:
-        to = more.join(c, "a", "left").select("b", F.coalesce("comp", "a").alias("a")).join(c.select(F.col("a").alias("b"), F.col("comp").alias("cb")), "b", "left").select("a", F.coalesce("cb", "b").alias("b"))
-        second = stage(components(to, "cc2"), "comp2").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        every = comp.union(second.select(F.col("comp").alias("node"), "comp").join(comp.select("node"), "node", "left_anti"))
-        whole = every.join(second, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    whole = _linked(nodes, confirm(stars, _texts_of(docs, _ids(stars, nodes), text, doc_id), percent), None, "cc1")
+
+    open_ = _open(bands, whole, "open1")
+    texts = stage(_texts_of(docs, _node_ids(open_.select("a"), nodes), text, doc_id), "texts")
+    mass = _shared_mass(open_, texts)
+    n = nodes.select(F.col("node").alias("a"), "sig", "n_shingles")
+    open_ = stage(open_.join(mass, "a").join(n, "a").where(_can_link("n_shingles", "shared", "shared", "shared", percent)), "open2")
+    central = open_.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n_shingles")).alias("share"), F.col("a").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"), F.col("shared").alias("mb"))).alias("l")).select("key", "l.*")
+    to_center = open_.join(central, "key").where("comp <> cb").select("a", "b", F.col("sig").alias("sa"), "sb", F.col("n_shingles").alias("na"), "nb", F.col("shared").alias("ma"), "mb")
+    stars2 = to_center.where((estimate("sa", "sb") >= floor_of(percent / 100)) & _can_link("na", "nb", "ma", "mb", percent)).select("a", "b").distinct()
+    stars2 = stage(stars2.join(stars, ["a", "b"], "left_anti"), "stars2")
+    whole = _linked(nodes, confirm(stars2, texts, percent), whole, "cc2")
+
+    rest = _open(open_.select("key", "a"), whole, "open3").join(mass, "a").join(n.join(nodes.select(F.col("node").alias("a"), "bands"), "a"), "a")
+    rest = rest.join(_sketches(texts.join(rest.select(F.col("a").alias("node")).distinct(), "node", "left_semi")), "a")
+    side = lambda x: rest.select("key", F.col("a").alias(x), F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("shared").alias(f"m{x}"), F.col("long").alias(f"l{x}"), F.col("bands").alias(f"k{x}"))
+    x, y = side("a"), side("b")
+    across = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & _can_link("na", "nb", "ma", "mb", percent) & (estimate("sa", "sb") >= floor_of(percent / 100)) & (long_estimate("la", "lb") >= floor_of(percent / 100, LONG, 1)) & (x.key == F.array_min(F.array_intersect("ka", "kb")))).select("a", "b")
+    done = stars.union(stars2)
+    across = stage(across.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti"), "across")
+    whole = _linked(nodes, confirm(across, texts, percent), whole, "cc3")
     labels = nodes.select("node", "doc_id").join(whole, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     low = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = labels.join(low, "comp").select("node", "component_id", "comp")
@@ -239,9 +256,68 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _ids(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, node) of the representatives of the nodes in pairs."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    return stage(ends.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"), "ids")
+    return _node_ids(pairs.select("a").union(pairs.select("b")), nodes)
+
+
+def _node_ids(some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, node) of the representatives of the nodes in some(a)."""
+    return stage(some.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"), "ids")
+
+
+def _linked(nodes: DataFrame, links: DataFrame, known: DataFrame | None, tag: str) -> DataFrame:
+    """(node, comp) of linked nodes: components of the links, between the components known so far if there are any."""
+    links = stage(links, f"{tag}-links")
+    if known is None:
+        return stage(components(links, tag), f"{tag}-comp")
+    if links.isEmpty():
+        return known
+    of = lambda x: known.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = stage(components(between, tag), f"{tag}-top").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    every = known.union(top.select(F.col("comp").alias("node"), "comp").join(known.select("node"), "node", "left_anti"))
+    return stage(every.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{tag}-comp")
+
+
+def _open(bands: DataFrame, comps: DataFrame, tag: str) -> DataFrame:
+    """(key, a, comp): the nodes of bands whose nodes are in more than one component."""
+    members = stage(bands.select("key", "a").join(comps.select(F.col("node").alias("a"), "comp"), "a", "left").select("key", "a", F.coalesce("comp", "a").alias("comp")), f"{tag}-members")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return stage(members.join(mixed, "key"), tag)
+
+
+def _shared_mass(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, shared): how many of an open node's shingles a node of another component has too. No pair can have more in common."""
+
+    def explode(batches) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "text", 1 << 20):
+            sets = [shingles(words_of(t)) for t in utf8(b.column("text"))]
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            flat = np.concatenate(sets).view(np.int64)
+            for k in range(0, len(at), 1 << 16):
+                rows = pa.array(at[k : k + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([b.column("node").take(rows), b.column("comp").take(rows), pa.array(flat[k : k + (1 << 16)])], ["a", "comp", "g"])
+
+    of = open_.select(F.col("a").alias("node"), "comp").distinct()
+    each = stage(texts.join(of, "node").select("node", "comp", "text").mapInArrow(explode, "a binary, comp binary, g long"), "shingles")
+    common = each.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
+    return stage(each.select("a", "g").join(common, "g").groupBy("a").agg(F.count("*").alias("shared")), "mass")
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(a, long) of texts(node, text)."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "text", 1 << 20):
+            bits = np.stack([long_bits(shingles(words_of(t))) for t in utf8(b.column("text"))])
+            yield pa.RecordBatch.from_arrays([b.column("node"), list_array(bits.ravel(), np.full(len(bits), LONG // 64), pa.int64())], ["a", "long"])
+
+    return stage(texts.select("node", "text").mapInArrow(run, "a binary, long array<long>"), "sketches")
+
+
+def _can_link(na: str, nb: str, ma: str, mb: str, percent: int) -> Column:
+    """Whether sets of na and nb shingles, of which ma and mb are shared with any other component, can be similar enough."""
+    m = F.least(ma, mb)
+    return m * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
