@@ -44,10 +44,9 @@ def best_per_key(rows: DataFrame, by: list[str], key: Column, score: str, pos: s
 
 def cap_per(rows: DataFrame, by: list[str], group: Column, most: int, order: list) -> DataFrame:
     """At most `most` rows of each group in `order`; rows whose group is null or empty all stay."""
-    r = rows.withColumn("_g", group)
+    r = rows.withColumn("_g", F.coalesce(group, F.lit("")))
     n = F.row_number().over(W.partitionBy(*by, "_g").orderBy(*order))
-    some = r.where(F.coalesce("_g", F.lit("")) != "").withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
-    return some.unionByName(r.where(F.coalesce("_g", F.lit("")) == "")).drop("_g")
+    return r.withColumn("_n", n).where((F.col("_n") <= most) | (F.col("_g") == "")).drop("_n", "_g")
 
 
 def cap_flagged(rows: DataFrame, by: list[str], flag: Column, most: int, order: list) -> DataFrame:
@@ -68,7 +67,7 @@ def by_host(rows: DataFrame, by: list[str], most: int, order: list, url: str = "
     return cap_per(rows, by, host(url), most, order)
 
 
-def relevance_floor(rows: DataFrame, by: list[str], order: list, relevance: str = "relevance", least: float = 0.30, min_keep: int = 3, key_len: int = 220) -> DataFrame:
+def relevance_floor(rows: DataFrame, by: list[str], order: list, relevance: str = "relevance", least: float = 0.30, min_keep: int | Column = 3, key_len: int = 220) -> DataFrame:
     """Rows of enough relevance; where a claim has fewer than min_keep, the next unseen ones by `order` are added; where it
     has none, its first min_keep rows."""
     w = W.partitionBy(*by)

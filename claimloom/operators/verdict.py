@@ -40,11 +40,15 @@ def total(c: Column) -> Column:
     return F.sum(c.cast("decimal(30,12)")).cast("double")
 
 
-def sums(evidence: DataFrame, by: str, weighted: str = "weighted", weight: str = "evidence_weight") -> DataFrame:
-    """by, agg_support, agg_refute, agg_neutral (weighted stance over total weight), evidence_count."""
+def sum_columns(weighted: str = "weighted", weight: str = "evidence_weight") -> list[Column]:
     w = total(F.col(weight))
     part = lambda k: (total(F.col(f"{weighted}.{k}")) / F.when(w > 0, w).otherwise(1.0)).alias(f"agg_{k}")
-    return evidence.groupBy(by).agg(part("support"), part("refute"), part("neutral"), F.count("*").alias("evidence_count"))
+    return [part("support"), part("refute"), part("neutral"), F.count("*").alias("evidence_count")]
+
+
+def sums(evidence: DataFrame, by: str, weighted: str = "weighted", weight: str = "evidence_weight") -> DataFrame:
+    """by, agg_support, agg_refute, agg_neutral (weighted stance over total weight), evidence_count."""
+    return evidence.groupBy(by).agg(*sum_columns(weighted, weight))
 
 
 def verdict(agg: DataFrame, o: Options = Options()) -> DataFrame:
@@ -67,25 +71,32 @@ def with_missing(claims: DataFrame, verdicts: DataFrame, by: str, checkable: Col
     return out.withColumn("confidence", F.when(ok, F.coalesce("confidence", F.lit(0.3))).otherwise(0.0)).withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0).cast("long")))
 
 
-def decisive(evidence: DataFrame, by: str, o: Options = Options(), tier: str = "evidence_tier", stance: str = "stance", weight: str = "evidence_weight") -> DataFrame:
-    """by, support_score, refute_score, strong_count: weights of support and refute, soft ones at soft_factor."""
+def decisive_columns(o: Options = Options(), tier: str = "evidence_tier", stance: str = "stance", weight: str = "evidence_weight") -> list[Column]:
     f = F.when(F.col(tier) == "strong", 1.0).when(F.col(tier) == "soft", o.soft_factor).otherwise(0.0)
     side = lambda k: F.coalesce(total(F.when(F.col(stance) == k, F.col(weight) * f)), F.lit(0.0)).alias(f"{k}_score")
-    return evidence.groupBy(by).agg(side("support"), side("refute"), F.count_if((F.col(tier) == "strong") & F.col(stance).isin("support", "refute")).alias("strong_count"))
+    return [side("support"), side("refute"), F.count_if((F.col(tier) == "strong") & F.col(stance).isin("support", "refute")).alias("strong_count")]
+
+
+def decisive(evidence: DataFrame, by: str, o: Options = Options()) -> DataFrame:
+    """by, support_score, refute_score, strong_count: weights of support and refute, soft ones at soft_factor."""
+    return evidence.groupBy(by).agg(*decisive_columns(o))
 
 
 def apply_decisive(v: DataFrame, d: DataFrame, by: str, o: Options = Options()) -> DataFrame:
+    return decide(v.join(d, by), F.lit(True), o)
+
+
+def decide(v: DataFrame, where: Column, o: Options = Options()) -> DataFrame:
     """Verdicts of other languages: neutral without strong evidence, enough in total and a gap; else the heavier side."""
     s, r = F.col("support_score"), F.col("refute_score")
     gap = F.abs(s - r)
     weak = (F.col("strong_count") == 0) | (s + r < o.decisive_min_total) | (gap < o.decisive_min_gap)
-    out = v.join(d, by)
     conf = F.when(weak, F.greatest("confidence", F.lit(0.45))).otherwise(F.greatest(F.col("confidence"), clamp(gap / F.greatest(s + r, F.lit(1e-6)), 0.5, 0.99)))
-    return out.withColumn("confidence", conf).withColumn("verdict", F.when(weak, "neutral").when(s > r, "support").otherwise("refute")).drop("support_score", "refute_score", "strong_count")
+    out = v.withColumn("confidence", F.when(where, conf).otherwise(F.col("confidence")))
+    return out.withColumn("verdict", F.when(~where, F.col("verdict")).when(weak, "neutral").when(s > r, "support").otherwise("refute")).drop("support_score", "refute_score", "strong_count")
 
 
-def gate(evidence: DataFrame, by: str, o: Options = Options(), kind: str = "type", url: str = "url", stance: str = "stance", tier: str = "evidence_tier") -> DataFrame:
-    """by, failed: how many of seven checks of quantity, variety and quality a claim's evidence fails."""
+def gate_column(o: Options = Options(), kind: str = "type", url: str = "url", stance: str = "stance", tier: str = "evidence_tier") -> Column:
     nn = F.col(stance).isin("support", "refute")
     h, t = host(url), F.lower(F.trim(F.coalesce(kind, F.lit(""))))
     mean = lambda c: F.coalesce(total(F.when(nn, F.coalesce(c, F.lit(0.0)))) / F.count_if(nn), F.lit(0.0))
@@ -101,12 +112,21 @@ def gate(evidence: DataFrame, by: str, o: Options = Options(), kind: str = "type
     failed = checks[0].cast("int")
     for c in checks[1:]:
         failed = failed + c.cast("int")
-    return evidence.groupBy(by).agg(failed.cast("long").alias("failed"))
+    return failed.cast("long").alias("failed")
+
+
+def gate(evidence: DataFrame, by: str, o: Options = Options()) -> DataFrame:
+    """by, failed: how many of seven checks of quantity, variety and quality a claim's evidence fails."""
+    return evidence.groupBy(by).agg(gate_column(o))
 
 
 def apply_gate(v: DataFrame, g: DataFrame, by: str, o: Options = Options()) -> DataFrame:
-    out = v.join(g, by)
-    stop = F.col("verdict").isin("support", "refute") & (F.col("failed") >= o.gate_failed)
+    return abstain(v.join(g, by), F.lit(True), o)
+
+
+def abstain(out: DataFrame, where: Column, o: Options = Options()) -> DataFrame:
+    """Support and refute become neutral where the evidence failed too many checks."""
+    stop = where & F.col("verdict").isin("support", "refute") & (F.col("failed") >= o.gate_failed)
     return out.withColumn("confidence", F.when(stop, clamp(F.col("confidence"), 0.45, 0.65)).otherwise(F.col("confidence"))).withColumn("verdict", F.when(stop, "neutral").otherwise(F.col("verdict"))).drop("failed")
 
 

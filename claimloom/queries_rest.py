@@ -222,3 +222,15 @@ def a30(spark, sf):
 @query("f3_loose_host", "SELECT page_id, regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z]+://', ''), '^([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages")
 def f3(spark, sf):
     return t(spark, sf, "pages").select("page_id", U.loose_host(F.regexp_replace("url", "^https://", "")).alias("host"))
+
+
+@query("plan_analyze")
+def plan_analyze(spark, sf):
+    """All stages, over claims of two languages and the evidence of this module's tables."""
+    from .plans.analyze import Settings, analyze
+    from .queries import DOWN, EVEN, POLICY, TABLE, UP
+
+    e = evidence(spark, sf)
+    claims = t(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("hi").alias("lang"))
+    rows = e.select("claim_id", "pos", "text", "title", "source", "url", "type", F.col("score").cast("string").alias("score"), F.lit("2024-05-06").alias("date"))
+    return analyze(claims, rows, Settings(policy=POLICY, credibility=tuple(TABLE), support=tuple(UP), refute=tuple(DOWN), neutral=tuple(EVEN)))
