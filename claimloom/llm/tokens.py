@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -55,13 +56,16 @@ class Bpe:
         self.separable = plain and bool(self.suffix) and not any(set(x) & set(" \t\n\r\x0b\x0c") for x in self.added) and all(self._whole(a) == [i for p in b for i in self._whole(p)] for a, b in probe)
         self.leaf, self.most = leaf, cache
         self.pieces: dict[bytes, bytes] = {}
+        self.bodies: dict[bytes, bytes] = {}
         n = self.lib.get_vocab_size(with_added_tokens=True)
         self.names = [self.lib.id_to_token(k) or "" for k in range(n)]
         self.decoder = spec.get("decoder")
         # the rest of what is set here spares work where probes show that it changes nothing
         same = lambda a, b: self._whole(a) == [i for p in b for i in self._whole(p)]
         self.lower = self.separable and all(self._whole(x) == self._whole(x.lower()) for x in ("ABC DeF", "QUICK!")) and all("<" in x for x in self.added)
-        self.split_marks = self.separable and same("abc.", ["abc", "."]) and same("abcd.,;:!?)", ["abcd", ".,;:!?)"])
+        marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+        apart = self.separable and all(same(f"abc{m}", ["abc", m]) for m in (*marks, "...", marks)) and not any(set(x) <= set(marks) for x in self.added)
+        self.marks = marks.encode() if apart else b" "
         zero = self._whole("0")
         self.mark = zero[0] if self.separable and len(zero) == 1 and same("a0b", ["a", "0", "b"]) and same("00", ["0", "0"]) and same(".0.", [".", "0", "."]) else 0
 
@@ -146,30 +150,35 @@ class Bpe:
     def _letters(self, body: str) -> bytes:
         """A pre-token of Latin-1 letters: its bytes under the byte-level names go straight to the merges."""
         model = self.lib.model
-        return np.array([x.id for x in model.tokenize(body.lower().encode().decode("latin-1").translate(_BYTE_NAMES))], dtype="<u4").tobytes()
+        low = body.lower()
+        names = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array("I", [x.id for x in model.tokenize(names)]).tobytes()
 
     def _encode_new(self, words: set[bytes]) -> None:
-        """Encode pieces and keep them. Letters and a run of closing marks after them are pre-tokens of their own, so
-        that `word`, `word.` and `word,` are encoded once; other pieces go to the library in one call, a digit between."""
-        known, together = self.pieces, []
+        """Encode pieces and keep them. Letters and a run of marks after them are pre-tokens of their own, so that `word`,
+        `word.` and `word***` are encoded once; other pieces go to the library in one call, a digit between."""
+        known, bodies, together = self.pieces, self.bodies, []
         for w in words:
-            if len(w) > self.leaf:
-                known[w] = np.array(self.long_piece(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
-                continue
-            s = w.decode("utf-8", "replace")
-            body = s.rstrip(".,;:!?)") if self.split_marks else s
-            if self.bare and body.isalpha() and max(body) <= "\xff":
-                key = body.encode()
-                ids = known.get(key)
-                if ids is None:
-                    known[key] = ids = self._letters(body)
-                if len(body) < len(s):
-                    marks = s[len(body) :].encode()
-                    known[w] = ids + (known.get(marks) or known.setdefault(marks, np.array(self._whole(marks.decode()), dtype="<u4").tobytes()))
-            elif self.mark and b"0" not in w:
-                together.append(w)
+            body = w.rstrip(self.marks)
+            ids = bodies.get(body)
+            if ids is None:
+                if len(w) > self.leaf:
+                    known[w] = np.array(self.long_piece(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
+                    continue
+                s = body.decode("utf-8", "replace")
+                if self.bare and s.isalpha() and (s.isascii() or max(s) <= "\xff"):
+                    ids = bodies[body] = self._letters(s)
+                elif self.mark and b"0" not in w:
+                    together.append(w)
+                    continue
+                else:
+                    known[w] = np.array(self._whole(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
+                    continue
+            if len(body) == len(w):
+                known[w] = ids
             else:
-                known[w] = np.array(self._whole(s), dtype="<u4").tobytes()
+                marks = w[len(body) :]
+                known[w] = ids + (known.get(marks) or known.setdefault(marks, np.array(self._whole(marks.decode()), dtype="<u4").tobytes()))
         for k in range(0, len(together), 512):
             some = together[k : k + 512]
             ids = np.array(self._whole(" 0 ".join([*(w.decode("utf-8", "replace") for w in some), ""])), dtype="<u4")
@@ -187,6 +196,7 @@ class Bpe:
         known = self.pieces
         if len(known) > self.most:
             known.clear()
+            self.bodies.clear()
         new = set(chain.from_iterable(split)).difference(known)
         self._encode_new(new)
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4") for words in split]
