@@ -90,13 +90,18 @@ def judged(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str
 
     A candidate value that more than most_owners owners hold is an example that people copy; one that stays with its
     owner and looks drawn at random is live, and its value gets a span of kind `live` besides the candidate's own.
+    Without the texts, what a scan finds is small and written out, so that texts are scanned once.
     Rows are numbered, so that repeated rows and ids stay apart; a null text has no spans. Rows without candidates,
     nearly all, skip the join.
     """
     names = [c for c in docs.columns if c not in ("spans", "n_live", "n_example", "found", "_row") and not (drop_text and c == text)]
     found = scan(docs.select(*[c for c in docs.columns if c in names or c == text]), text, drop_text).withColumn("_row", F.monotonically_increasing_id())
-    small = stage(scan(docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.col(text).alias("text")), "text", True).where(F.size("found") > 0), "found")
-    owned = ownership(small, "repo", "owner")
+    if drop_text:
+        found = stage(found, "found")
+        owned = ownership(found, repo, owner)
+    else:
+        small = scan(docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.col(text).alias("text")), "text", True).where(F.size("found") > 0)
+        owned = ownership(stage(small, "found"), "repo", "owner")
     kinds = F.array(*[F.lit(k) for k in KINDS])
     rank = lambda k: F.array_position(kinds, k).cast("int")
     span = lambda f, k, s, e: F.struct(f[s].alias("start"), rank(k).alias("rank"), k.alias("kind"), f[e].alias("stop"))
