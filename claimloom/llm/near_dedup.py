@@ -164,8 +164,8 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union. texts(node, text) has
-    each node once. The text of a is joined first, so that many a of one b (a hot group's leader) arrive as rows of the
-    large side of a join that adaptive execution splits; b's set is kept while its rows follow one another."""
+    each node once and is a written table, so that both joins are plain ones: many a of one b (a hot group's leader)
+    are rows of the large side, which adaptive execution splits. b's set is kept while its rows follow one another."""
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "ta"):
@@ -225,10 +225,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return p.where(estimate("sa", "sb") >= floor_of(percent / 100)).select("a", "b")
 
     stars = stage(likely(bands.where("a <> b").select("a", "b").distinct()), "stars")
-    whole = _linked(nodes, confirm(stars, _texts_of(docs, _ids(stars, nodes), text, doc_id), percent), None, "cc1")
+    texts = stage(_texts_of(docs, _node_ids(bands.select("a"), nodes), text, doc_id), "texts")
+    whole = _linked(nodes, confirm(stars, texts, percent), None, "cc1")
 
     open_ = _open(bands, whole, "open1")
-    texts = stage(_texts_of(docs, _node_ids(open_.select("a"), nodes), text, doc_id), "texts")
     mass = _shared_mass(open_, texts)
     n = nodes.select(F.col("node").alias("a"), "sig", "n_shingles")
     open_ = stage(open_.join(mass, "a").join(n, "a").where(_can_link("n_shingles", "shared", "shared", "shared", percent)), "open2")
@@ -255,10 +255,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select("_row", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.coalesce("first", F.lit(False)) | F.col("node").isNull()).alias("first"))
 
 
-def _ids(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _node_ids(pairs.select("a").union(pairs.select("b")), nodes)
-
-
 def _node_ids(some: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, node) of the representatives of the nodes in some(a)."""
     return stage(some.select(F.col("a").alias("node")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"), "ids")
