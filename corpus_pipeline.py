@@ -9,10 +9,24 @@ from claimloom.llm import language_id as languages
 from claimloom.llm import mixing, near_dedup, secret_scan, tokens
 from claimloom.llm.common import stage
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
 #: No SQL expresses the first, third and fifth stage; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
+def guarded(function):
+    """A stage whose documents may have other columns, of any name: they pass under names that no operator uses."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in CORE else f"_other{k}" for k, c in enumerate(docs.columns)]
+        out = function(spark, docs.toDF(*names), sf_dir)
+        return out.select(*names).toDF(*docs.columns)
+
+    return run
+
+
+@guarded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; those without any letter (`und`) go. A null lang is filled in."""
     langs, probs = languages.train(docs)
@@ -20,6 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
+@guarded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates.
 
@@ -35,11 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(right, key, "left_semi").drop("_row")
 
 
+@guarded
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every found secret replaced in the text."""
     return secret_scan.redact(secret_scan.judged(docs)).select(docs.columns)
 
 
+@guarded
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate says."""
     return mixing.emit(mixing.mix(docs)).select(docs.columns)

@@ -47,6 +47,15 @@ def test_stages_on_odd_and_empty(spark, odd, empty, tables):
     assert sorted(third, key=lambda x: x or 0) == [None, 1, 5, 7, 9, 10]
 
 
+def test_clashing_columns(spark, odd, tables):
+    names = ["_row", "spans", "found", "size", "copies", "copy", "score", "lang_pred", "n_live", "source_size", "_source", "rate", "a", "b", "node"]
+    d = odd.select("*", *[odd.doc_id.alias(n) for n in names]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    for _, f in P.STAGES[:-1]:
+        d = P.stage(f(spark, d, tables["odd"]), "clash")
+        assert d.columns == [*odd.columns, *names] and d.where("NOT (_row <=> doc_id AND spans <=> doc_id AND copies <=> doc_id)").isEmpty()
+    assert P.STAGES[-1][1](spark, d, tables["odd"]).count() == d.count() > 0
+
+
 def test_pipeline_keeps_clean_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     first = P.identify_language(spark, docs, sf)
