@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ship
 
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 _own_folder: list[str] = []
+#: In a Python worker: how to empty what an operator keeps between batches.
+worker_caches: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,8 +62,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that column `text` has about `most` bytes in each."""
+def small_batches(batches: Iterable[pa.RecordBatch], text: str, most: int = BATCH_BYTES, cache: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that column `text` has about `most` bytes in each. Caches that operators other than `cache` have
+    left in this worker are emptied first: workers live on from task to task."""
+    for name in [k for k in worker_caches if k != cache]:
+        worker_caches.pop(name)()
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, list_array, small_batches, stage, utf8
+from .common import bound_batches, components, list_array, small_batches, stage, unstage, utf8, worker_caches
 
 WIDTH = 5
 BANDS, ROWS, LOW_BITS = 32, 4, 2
@@ -57,6 +57,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles; of the whole sequence if it has fewer words; none of no words."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
+    worker_caches["near_dedup"] = _words.clear
     h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(WIDTH, len(h))
     n = len(h) - k + 1
@@ -129,7 +130,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row_
     bound_batches(docs.sparkSession)
 
     def sign(batches) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", cache="near_dedup"):
             node, size, mins, known, at = [], [], [], {}, []
             for t in utf8(b.column("text")):
                 words = words_of(t)
@@ -168,7 +169,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     are rows of the large side, which adaptive execution splits. b's set is kept while its rows follow one another."""
 
     def check(batches) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "ta"):
+        for b in small_batches(batches, "ta", cache="near_dedup"):
             ok = [_alike(shingles(words_of(x)), _set_of(y), percent) for x, y in zip(utf8(b.column("ta")), utf8(b.column("tb")), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
@@ -185,7 +186,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFr
     """
 
     def nodes(batches) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", cache="near_dedup"):
             texts = utf8(b.column("text"))
             keys = [xxhash.xxh3_128_digest(b" ".join(w)) if (w := words_of(t)) else None for t in texts]
             keep = pa.array([k == n for k, n in zip(keys, b.column("node").to_pylist(), strict=True)], pa.bool_())
@@ -246,6 +247,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     done = stars.union(stars2)
     across = stage(across.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti"), "across")
     whole = _linked(nodes, confirm(across, texts, percent), whole, "cc3")
+    for d in (bands, stars, texts, open_, mass, stars2, across):
+        unstage(d)
     labels = nodes.select("node", "doc_id").join(whole, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     low = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = labels.join(low, "comp").select("node", "component_id", "comp")
@@ -285,7 +288,7 @@ def _shared_mass(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, shared): how many of an open node's shingles a node of another component has too. No pair can have more in common."""
 
     def explode(batches) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 1 << 20):
+        for b in small_batches(batches, "text", 1 << 20, "near_dedup"):
             sets = [shingles(words_of(t)) for t in utf8(b.column("text"))]
             at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             flat = np.concatenate(sets).view(np.int64)
@@ -303,7 +306,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
     """(a, long) of texts(node, text)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 1 << 20):
+        for b in small_batches(batches, "text", 1 << 20, "near_dedup"):
             bits = np.stack([long_bits(shingles(words_of(t))) for t in utf8(b.column("text"))])
             yield pa.RecordBatch.from_arrays([b.column("node"), list_array(bits.ravel(), np.full(len(bits), LONG // 64), pa.int64())], ["a", "long"])
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, list_array, small_batches, stage, stage_path, utf8
+from .common import bound_batches, list_array, small_batches, stage, stage_path, unstage, utf8
 from .tokens import bpe, vocabulary
 
 LONGEST = 16
@@ -118,7 +118,7 @@ def token_rows(docs: DataFrame, vocab: str, end_id: int, text: str, doc_id: str)
     def run(batches) -> Iterator[pa.RecordBatch]:
         codec = bpe(vocab)
         narrow = max(len(codec.names), end_id + 1) <= 1 << 16
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", cache="tokens"):
             got = codec.encode_batch(utf8(b.column("text")))
             tail = np.array([end_id], dtype="<u2" if narrow else "<u4").tobytes()
             raw = [x.astype("<u2" if narrow else "<u4").tobytes() + tail for x in got]
@@ -187,6 +187,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, text: str = "text
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
     ordered.mapInArrow(blocks, "shard int, base long, doc_ids array<long>, doc_sizes array<long>, payload binary, checkpoints binary").write.parquet(f"{path}/blocks")
+    unstage(rows)
 
 
 def read(spark, path: str, with_ids: bool = False) -> DataFrame:

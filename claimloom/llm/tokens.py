@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import bound_batches, list_array, small_batches, utf8
+from .common import bound_batches, list_array, small_batches, utf8, worker_caches
 
 LEAF = 256
 CACHE = 1_000_000
@@ -214,14 +215,17 @@ class Bpe:
 
 
 @lru_cache(maxsize=4)
-def bpe(path: str) -> Bpe:
-    """One codec for each file and Python worker."""
-    import os
-
+def _codec(path: str) -> Bpe:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Bpe(path)
 
 
+def bpe(path: str) -> Bpe:
+    """One codec for each file and Python worker, until another operator needs the worker."""
+    worker_caches["tokens"] = _codec.cache_clear
+    return _codec(path)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The public tokenizers' file of that name; its place is the same on every machine."""
     import public_tokenizers
@@ -236,7 +240,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         codec = bpe(path)
-        for b in small_batches(batches, text):
+        for b in small_batches(batches, text, cache="tokens"):
             got = codec.encode_batch(utf8(b.column(text)))
             n = np.array([len(x) for x in got], dtype=np.int64)
             flat = np.concatenate(got).view(np.int32)
@@ -253,7 +257,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         codec = bpe(path)
-        for b in small_batches(batches, ids):
+        for b in small_batches(batches, ids, cache="tokens"):
             got = codec.decode_batch([np.array(x or [], dtype=np.uint32) for x in b.column(ids).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, text])
 
@@ -272,7 +276,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         codec = bpe(path)
-        for b in small_batches(batches, text):
+        for b in small_batches(batches, text, cache="tokens"):
             got = codec.encode_batch(utf8(b.column(text)))
             n = np.array([len(x) for x in got], dtype=np.int64)
             sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in got]
