@@ -220,10 +220,12 @@ def _codec(path: str) -> Bpe:
     return Bpe(path)
 
 
-def bpe(path: str) -> Bpe:
-    """One codec for each file and Python worker, until another operator needs the worker."""
+def bpe(path: str, most: int = CACHE) -> Bpe:
+    """One codec for each file and Python worker, until another operator needs the worker; it keeps `most` pieces."""
     worker_caches["tokens"] = _codec.cache_clear
-    return _codec(path)
+    codec = _codec(path)
+    codec.most = most
+    return codec
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -275,7 +277,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
     rest = [c for c in keep.columns if c != text]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        codec = bpe(path)
+        codec = bpe(path, CACHE // 3)
         for b in small_batches(batches, text, cache="tokens"):
             got = codec.encode_batch(utf8(b.column(text)))
             n = np.array([len(x) for x in got], dtype=np.int64)
