@@ -159,6 +159,13 @@ def test_templates_and_named_parts(spark):
     assert H.extract(few).first().text == "Same line on all pages Story 1 of this host. It goes on 1."
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    page = lambda k: f"<body><div><p>Same line on all pages</p><p>Story {k} of this host.</p><p>It goes on {k}.</p></div></body>"
+    rows = [(k, f"https://one.org/{k}", page(0 if k < 9 else k)) for k in range(17)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {n} of this host. It goes on {n}." for k in range(17) for n in [0 if k < 9 else k]}
+
+
 def test_tree_matching():
     def tree(s):
         return H.parse(s)[0]
