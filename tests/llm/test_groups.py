@@ -166,6 +166,14 @@ def test_copies_of_a_page_make_no_template(spark):
     assert got == {k: f"Story {n} of this host. It goes on {n}." for k in range(17) for n in [0 if k < 9 else k]}
 
 
+def test_one_rule_for_hosts_of_any_size(spark):
+    page = lambda k: f"<body><div><p>Same line on all pages</p><p>Story {k} of this host.</p><p>It goes on {k}.</p></div></body>"
+    rows = [(100 * n + k, f"https://h{n}.org/{k}", page(k)) for n in (1, 2, 3, 7, 8, 9) for k in range(n)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got.pop(100) == "Same line on all pages Story 0 of this host. It goes on 0."
+    assert got == {i: f"Story {i % 100} of this host. It goes on {i % 100}." for i in got} and len(got) == 29
+
+
 def test_tree_matching():
     def tree(s):
         return H.parse(s)[0]
