@@ -174,6 +174,16 @@ def test_one_rule_for_hosts_of_any_size(spark):
     assert got == {i: f"Story {i % 100} of this host. It goes on {i % 100}." for i in got} and len(got) == 29
 
 
+def test_layouts_of_a_host_have_seeds_of_their_own(spark):
+    story = lambda k: f"<div><p>Same line on all stories</p><p>Story {k} of this host.</p><p>It goes on {k}.</p></div>"
+    table = lambda k: f"<section><dl><dt>Same head of all tables</dt><dd>Cell {k}</dd></dl></section>"
+    bare = "<div><p>A story without the line.</p><p>The end.</p></div>"
+    rows = [(0, "<h1>Error</h1><pre>Not found</pre>"), (1, bare), *((k, story(k)) for k in range(2, 20)), *((k, table(k)) for k in range(20, 30)), (30, "<ul><li>Odd</ul><table><tr><td>page</table>" + story(30))]
+    d = spark.createDataFrame([(k, f"https://one.org/{k}", f"<html><body>{h}</body></html>") for k, h in rows], "page_id long, url string, html string")
+    want = {k: f"Story {k} of this host. It goes on {k}." for k in range(2, 20)} | {k: f"Cell {k}" for k in range(20, 30)}
+    assert {r.page_id: r.text for r in H.extract(d).collect()} == want | {0: "Error Not found", 1: "A story without the line. The end.", 30: "Odd page Story 30 of this host. It goes on 30."}
+
+
 def test_tree_matching():
     def tree(s):
         return H.parse(s)[0]
