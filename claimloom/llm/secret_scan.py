@@ -19,8 +19,18 @@ from .common import bound_batches, small_batches, stage
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+# A private key runs to the first END line before another BEGIN; without one, to the end of its headers and base64 lines,
+# which may be quoted, indented or parted by escapes, and of which the last may be short.
+_BETWEEN = r"""(?:\s|\\[nrt]|[>#*|"',;+])"""
+_HEADER = r"(?:Proc-Type|DEK-Info): [^\s\\]++"
+_LINE = r"[A-Za-z0-9+/]{16,}+=*+"
+_LAST = rf"(?:{_BETWEEN}++[A-Za-z0-9+/]{{1,15}}+(?:=++|(?=[ \t]*(?:[\r\n]|\\[nr]|\Z))))?"
+PEM = re.compile(
+    rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:((?:(?!-----BEGIN )[\s\S])*?)-----END [A-Z ]*PRIVATE KEY-----|((?:{_BETWEEN}*+{_HEADER})*+(?:(?:{_BETWEEN}*+{_LINE})++{_LAST})?))"
+)
+_NOT_BODY = re.compile(rf"{_HEADER}|\\[nrt]|[^A-Za-z0-9+/]")
 MORE = [
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
+    ("pem", PEM),
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abeprs]-[A-Za-z0-9-]{10,}")),
     ("google", re.compile(r"AIza[0-9A-Za-z_-]{35,}")),
@@ -32,6 +42,14 @@ KINDS = (*BASE, *(k for k, _ in MORE), "live")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
+def _body(m: re.Match) -> tuple[str, int, int]:
+    """(value, start, end) of a private key: its base64 without headers and breaks, which are not the same in all copies; the
+    whole match where there is none."""
+    group = 1 if m[1] is not None else 2
+    value = _NOT_BODY.sub("", m[group])
+    return (value, *m.span(group)) if value else (m[0], *m.span())
+
+
 def find(text: str) -> list[tuple[str, int, int, str, int, int]]:
     """(kind, start, end, value, value_start, value_end) of every candidate, by start, then kind as listed."""
     out = []
@@ -44,7 +62,11 @@ def find(text: str) -> list[tuple[str, int, int, str, int, int]]:
         out += [("access", *m.span(), m[0], *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", *m.span(), m[0], *m.span()) for m in HEX.finditer(text)]
     for kind, pattern in MORE:
-        if ANCHORS[kind] in text:
+        if ANCHORS[kind] not in text:
+            continue
+        if kind == "pem":
+            out += [(kind, *m.span(), *_body(m)) for m in pattern.finditer(text)]
+        else:
             out += [(kind, *m.span(), m[0], *m.span()) for m in pattern.finditer(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
