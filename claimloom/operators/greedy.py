@@ -5,11 +5,15 @@ Each group is one claim's or document's candidates, which retrieval bounds; gree
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..plans.session import ship
 
@@ -45,12 +49,13 @@ def _per_group(rows: DataFrame, by: str, pos: str, order) -> DataFrame:
 
 
 def mmr(rows: DataFrame, by: str, pos: str, most: int, lam: float = 0.75, pool: int = 3, score: str = "score", text: str = "text", title: str = "title", source: str = "source") -> DataFrame:
-    """Maximal marginal relevance: lam * score less (1 - lam) times the likeness to what is picked; the rest follows in order."""
+    """Maximal marginal relevance: lam * score less (1 - lam) times the likeness to what is picked; the rest follows in order.
+
+    Only the first most * pool rows of a group compete, so only they come together; the others keep their places.
+    """
 
     def order(f: pd.DataFrame) -> list[int]:
-        cap = min(len(f), most * max(1, pool))
-        if most <= 0 or cap <= 1:
-            return list(range(len(f)))
+        cap = len(f)
         tokens = [set(_TOKENS.findall(f"{a or ''} {b or ''} {c or ''}".lower())) for a, b, c in zip(f[title][:cap], f[source][:cap], f[text][:cap], strict=True)]
         scores = f[score].fillna(0.0).tolist()
         picked, left, worst = [], list(range(cap)), [0.0] * cap
@@ -60,9 +65,11 @@ def mmr(rows: DataFrame, by: str, pos: str, most: int, lam: float = 0.75, pool:
             left.remove(best)
             for i in left:
                 worst[i] = max(worst[i], _jaccard(tokens[i], tokens[best]))
-        return picked + left + list(range(cap, len(f)))
+        return picked + left
 
-    return _per_group(rows, by, pos, order)
+    cap = max(0, most) * max(1, pool)
+    placed = rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.asc_nulls_last(pos))).cast("long"))
+    return _per_group(placed.where(F.col("place") <= cap).select(rows.columns), by, pos, order).unionByName(placed.where(F.col("place") > cap))
 
 
 def diversity(rows: DataFrame, by: str, pos: str, most: int, per_host: int, host: str = "host", title_key: str = "title_key") -> DataFrame:
@@ -88,23 +95,38 @@ def diversity(rows: DataFrame, by: str, pos: str, most: int, per_host: int, host
 
 def drop_similar(rows: DataFrame, by: str, pos: str, above: float = 0.90, url: str = "url", text: str = "text", score: str = "score") -> DataFrame:
     """Rows in order, less those with a URL seen or a text more than `above` like a kept one's. A duplicate of a higher score
-    takes the kept one's place, at the end and without its URL counting as seen."""
+    takes the kept one's place, at the end and without its URL counting as seen.
+
+    A text is more than `above` like another if more than that share of the smaller word set is in the larger one: then one
+    of any (1 - above) * size + 1 words of the smaller is in the larger, so that only texts that share one of the smaller's
+    rarest such words are compared. `above` is 0 or more.
+    """
 
     def order(f: pd.DataFrame) -> list[int]:
-        kept, urls = [], set()
+        kept, urls, stamp = {}, set(), 0  # row -> its place in the order of what is kept
         texts, links, scores = f[text].fillna("").tolist(), f[url].fillna("").tolist(), f[score].fillna(0.0).tolist()
-        for i in range(len(f)):
+        sets = [set(t.lower().split()) for t in texts]
+        often = Counter(w for x in sets for w in x)
+        by_word, by_rare = defaultdict(list), defaultdict(list)
+        for i, x in enumerate(sets):
             if links[i] and links[i] in urls:
                 continue
-            twin = next((j for j in kept if texts[i] and similarity(texts[i], texts[j]) > above), None)
+            rare = sorted(x, key=lambda w: (often[w], w))[: math.floor((1 - above) * len(x) + 1e-6) + 1]
+            near = {j for w in rare for j in by_word.get(w, ())} | {j for w in x for j in by_rare.get(w, ())}
+            twin = next((j for j in sorted(near & kept.keys(), key=kept.get) if len(x & sets[j]) / min(len(x), len(sets[j])) > above), None)
             if twin is None:
-                kept.append(i)
                 if links[i]:
                     urls.add(links[i])
             elif scores[i] > scores[twin]:
-                kept.remove(twin)
-                kept.append(i)
-        return kept
+                del kept[twin]
+            else:
+                continue
+            kept[i] = stamp = stamp + 1
+            for w in x:
+                by_word[w].append(i)
+            for w in rare:
+                by_rare[w].append(i)
+        return list(kept)
 
     return _per_group(rows, by, pos, order)
 

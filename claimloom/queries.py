@@ -458,7 +458,7 @@ def k1(spark, sf):
 
 @query("k2_mmr")
 def k2(spark, sf):
-    e = K.top(evidence(spark, sf), ["claim_id"], [F.desc("score"), "pos"], 30, "rank").select("claim_id", "pos", F.col("rank").cast("long").alias("rank"), "score", "title", "source", "text")
+    e = C.with_rank(evidence(spark, sf), ["claim_id"], [F.desc("score"), "pos"], "rank").select("claim_id", "pos", F.col("rank").cast("long").alias("rank"), "score", "title", "source", "text")
     return G.mmr(e, "claim_id", "rank", 10).select("claim_id", "pos", "place")
 
 
@@ -470,7 +470,7 @@ def k3(spark, sf):
 
 @query("k4_drop_similar")
 def k4(spark, sf):
-    return G.drop_similar(K.top(evidence(spark, sf), ["claim_id"], ["pos"], 60).select("claim_id", "pos", "url", "text", "score"), "claim_id", "pos").select("claim_id", "pos", "place")
+    return G.drop_similar(evidence(spark, sf).select("claim_id", "pos", "url", "text", "score"), "claim_id", "pos").select("claim_id", "pos", "place")
 
 
 @query("k5_distinct_claims")
@@ -481,7 +481,7 @@ def k5(spark, sf):
 
 @query("k8_informative_claims")
 def k8(spark, sf):
-    s = K.top(t(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("pos", "sentence")), ["doc_id"], ["pos"], 20)
+    s = t(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("pos", "sentence"))
     return G.informative_claims(s, "doc_id", "pos").select("doc_id", "pos", "place")
 
 

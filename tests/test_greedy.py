@@ -1,9 +1,11 @@
 """Greedy selections against small models written from their rules."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from claimloom import queries as Q
 from claimloom.operators import greedy as G
 
 
@@ -59,3 +61,61 @@ def test_informative_claims(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "d int, pos int, sentence string")
     assert G.distinct_claims(d, "d", "pos").count() == 0
+
+
+def brute_drop_similar(rows, above=0.90):
+    kept, urls = [], set()
+    for i, url, text, score in rows:
+        if url and url in urls:
+            continue
+        twin = next((k for k in kept if text and G.similarity(text, k[1]) > above), None)
+        if twin is None:
+            kept.append((i, text, score))
+            urls |= {url} - {""}
+        elif score > twin[2]:
+            kept.remove(twin)
+            kept.append((i, text, score))
+    return [k[0] for k in kept]
+
+
+def test_drop_similar_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, texts = [], ["", " ", "w1"]
+    for i in range(900):
+        w = rng.choice(texts).split() if rng.random() < 0.6 else [f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 30))]
+        w = [x if rng.random() > 0.04 else f"w{rng.randrange(40)}" for x in w][: rng.choice([5, 10, 99, 99])]
+        texts.append(" ".join(w))
+        rows.append((i % 3, i, rng.choice(["", f"u{rng.randrange(300)}"]), texts[-1] if i % 50 else None, rng.randrange(9) / 9))
+    d = spark.createDataFrame(rows, "c int, pos int, url string, text string, score double")
+    for above in (0.9, 0.5, 0.7):
+        got = {c: places(G.drop_similar(d.where(d.c == c), "c", "pos", above)) for c in range(3)}
+        assert got == {c: brute_drop_similar([(i, u, t or "", s) for k, i, u, t, s in rows if k == c], above) for c in range(3)}
+
+
+def test_queries_take_all_rows(spark, tmp_path):
+    """One claim of 150 rows with near copies, and a text whose most informative sentences come last."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(100)]
+    texts += [" ".join([*texts[k].split()[:29], word()]) for k in range(0, 100, 2)]
+    docs = [(40 * k, t, "s", "en") for k, t in enumerate(texts)]
+    docs.append((1, " ".join(f"{word()} {word()} {word()} {word()} {word()}." for _ in range(40)) + " In 2020 Paris had 300 floods and 12 storms. In Rome 7 of 9 Bridges fell on 3 May.", "s", "en"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(0, "claim"), (1, "claim")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf = str(tmp_path)
+    rows = [(i, "", t, i * 37 % 101 / 100.0) for i, t, _, _ in docs if i % 40 == 0]
+    assert [r.pos for r in Q.k4(spark, sf).where("claim_id = 0").orderBy("place").collect()] == brute_drop_similar(rows)
+
+    ranked, tokens = sorted(rows, key=lambda r: (-r[3], r[0])), {}
+    for i, _, t, _ in rows:
+        tokens[i] = set(re.findall("[a-z]{3,}", f"{t[:60]} s {t}"))
+    left, picked = ranked[:30], []
+    while len(picked) < 10:
+        worst = lambda r: max((len(tokens[r[0]] & tokens[p[0]]) / len(tokens[r[0]] | tokens[p[0]]) for p in picked), default=0.0)
+        best = max(left, key=lambda r: 0.75 * r[3] - 0.25 * worst(r))
+        picked.append(best)
+        left.remove(best)
+    got = Q.k2(spark, sf).where("claim_id = 0").orderBy("place").collect()
+    assert [r.pos for r in got] == [r[0] for r in [*picked, *left, *ranked[30:]]] and [r.place for r in got] == list(range(1, 151))
+    assert [r.pos for r in Q.k8(spark, sf).where("doc_id = 1").orderBy("place").collect()] == [41, 40]
