@@ -210,8 +210,10 @@ def keywords(c: Column | str, most: int = 10) -> Column:
 
 
 def ascii_anchors(c: Column | str, most: int = 10) -> Column:
-    """Latin words and numbers, each once in order, at most ten."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"([A-Za-z][A-Za-z0-9-]+|\d[\d,.]*)"), 1)), 1, most)
+    """Latin words and numbers of two characters or more, each once whatever its case, in order, at most ten."""
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9._/-]*|\p{Nd}+(?:[.,]\p{Nd}+)?(?:%|[A-Za-z]+)?"), F.lit(0))
+    new = lambda kept, x: (F.size(kept) < most) & (F.length(x) >= 2) & ~F.exists(kept, lambda y: F.lower(y) == F.lower(x))
+    return F.reduce(found, F.array().cast("array<string>"), lambda kept, x: F.when(new(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
 
 
 def unique_queries(qs: Column, most: int) -> Column:

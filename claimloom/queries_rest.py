@@ -53,6 +53,11 @@ def f20(spark, sf):
     return t(spark, sf, "documents").select("doc_id", a.isNotNull().alias("has"), F.least(F.size(a), F.lit(1)).cast("long").alias("n"))
 
 
+@query("f20_anchors_whole")
+def f20_whole(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.array_join(X.ascii_anchors("text"), " ").alias("anchors"))
+
+
 @query("f22_clipped_queries", r"""
 SELECT doc_id, CASE WHEN length(k) <= 240 THEN k ELSE trim(CASE WHEN instr(substr(k, 1, 240), ' ') > 0 AND 240 - instr(reverse(substr(k, 1, 240)), ' ') >= 144 THEN substr(substr(k, 1, 240), 1, 240 - instr(reverse(substr(k, 1, 240)), ' ')) ELSE substr(k, 1, 240) END) END AS query FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS k FROM documents)
 """)

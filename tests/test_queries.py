@@ -1,5 +1,7 @@
 """Every registered query against its SQL; those without one give rows with a stable schema."""
 
+import re
+
 import pytest
 
 from claimloom import queries as q
@@ -35,3 +37,20 @@ def test_no_other_module_imports_the_corpus_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in [w for line in p.read_text().splitlines() if "import" in line for w in line.replace(".", " ").split()]
+
+
+def test_anchors_of_whole_texts(spark, sf, tmp_path):
+    """Against the rule in plain Python, also past 400 characters."""
+
+    def plain(text):
+        out = {}
+        for x in re.findall(r"[A-Za-z][A-Za-z0-9._/-]*|\d+(?:[.,]\d+)?(?:%|[A-Za-z]+)?", text or ""):
+            if len(x) >= 2:
+                out.setdefault(x.lower(), x)
+        return " ".join(list(out.values())[:10])
+
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += [None, "", "a b 5", "भारत " * 200 + "GDP gdp 7.5% Gdp 12kg v1.2/x-y ३४ 1,000,000", " ".join(f"W{k % 12} w{k % 12}" for k in range(400))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.anchors for r in q.QUERIES["f20_anchors_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: plain(x) for k, x in enumerate(texts)}
