@@ -35,6 +35,14 @@ def s2(spark, sf):
     return e.join(F.broadcast(q), "label").where("vec_id <> claim_id").select("claim_id", "vec_id", F.round(S.embedding_relevance(F.col("q"), F.col("embedding")), 4).alias("relevance"))
 
 
+@query("s2_embedding_relevance_all", "SELECT a.vec_id AS claim_id, b.vec_id, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 4) AS relevance FROM embeddings b JOIN (SELECT label, min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) a ON a.label IS NOT DISTINCT FROM b.label")
+def s2_all(spark, sf):
+    e = t(spark, sf, "embeddings")
+    q = e.groupBy(F.col("label").alias("claim_label")).agg(F.min("vec_id").alias("claim_id"), F.min_by("embedding", "vec_id").alias("q"))
+    both = e.join(q, F.col("label").eqNullSafe(F.col("claim_label")))
+    return both.select("claim_id", "vec_id", F.round(S.embedding_relevance(F.col("q"), F.col("embedding")), 4).alias("relevance"))
+
+
 def _cues(ks: list[str]) -> str:
     return "(" + " + ".join(f"contains(l, '{k}')::INTEGER" for k in ks) + ")"
 

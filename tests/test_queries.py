@@ -54,3 +54,8 @@ def test_anchors_of_whole_texts(spark, sf, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.anchors for r in q.QUERIES["f20_anchors_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: plain(x) for k, x in enumerate(texts)}
+
+
+def test_every_vector_has_a_relevance(spark, sf):
+    ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r.vec_id for r in q.QUERIES["s2_embedding_relevance_all"](spark, sf).collect()) == sorted(ids)
