@@ -56,6 +56,16 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def set_aside(df: DataFrame, used: Iterable[str], replaced: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """df without the columns `replaced`, whose columns other than `used` have names that no operator takes, and what each
+    column of the result was called."""
+    used, gone = set(used), set(replaced)
+    kept = [c for c in df.columns if c not in gone or c in used]
+    names = [c if c in used else f"other_column_{k}" for k, c in enumerate(df.columns)]
+    out = df.toDF(*names).select(*[n for n, c in zip(names, df.columns, strict=True) if c in kept])
+    return out, {n: c for n, c in zip(names, df.columns, strict=True) if c in kept}
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, for tables with very long texts; and see that the executors have this package."""
     ship(spark)
