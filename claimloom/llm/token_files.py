@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, list_array, small_batches, stage, stage_path, unstage, utf8
-from .tokens import bpe, vocabulary
+from .common import bound_batches, list_array, small_batches, stage, stage_path, unstage
+from .tokens import Bpe, map_ids, vocabulary
 
 LONGEST = 16
 BLOCK_IDS = 1 << 16
@@ -113,18 +113,14 @@ def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int
 
 def token_rows(docs: DataFrame, vocab: str, end_id: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, n, ids): ids with end_id at the end, as little-endian uint32, or uint16 (wide false) where they fit."""
-    bound_batches(docs.sparkSession)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        codec = bpe(vocab)
-        narrow = max(len(codec.names), end_id + 1) <= 1 << 16
-        for b in small_batches(batches, "text", cache="tokens"):
-            got = codec.encode_batch(utf8(b.column("text")))
-            tail = np.array([end_id], dtype="<u2" if narrow else "<u4").tobytes()
-            raw = [x.astype("<u2" if narrow else "<u4").tobytes() + tail for x in got]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) + 1 for x in got], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "ids"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    def make(codec: Bpe, got: list[np.ndarray], joins: list[int]) -> list[pa.Array]:
+        kind = "<u2" if max(len(codec.names), end_id + 1) <= 1 << 16 else "<u4"
+        tail = np.array([end_id], dtype=kind).tobytes()
+        return [pa.array([len(x) + 1 for x in got], pa.int64()), pa.array([x.astype(kind).tobytes() + tail for x in got], pa.binary())]
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_ids(rows, vocab, "text", ["doc_id"], "n long, ids binary", make)
 
 
 def _flat(raw: list[bytes], n: int) -> np.ndarray:

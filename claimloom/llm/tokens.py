@@ -1,24 +1,32 @@
-"""Exact BPE encoding and decoding: cached pieces between spaces, tree concatenation for long unsplit text."""
+"""Exact BPE encoding and decoding by tree concatenation: leaves of long texts are encoded in parallel and joined."""
 
 from __future__ import annotations
 
 import heapq
 import json
 import os
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bound_batches, list_array, small_batches, utf8, worker_caches
+from .common import BATCH_BYTES, bound_batches, list_array, set_aside, small_batches, utf8, worker_caches
 
-LEAF = 256
+#: Bytes of a leaf: longer texts are cut, wherever that falls, into leaves that tasks encode side by side.
+LEAF = 1 << 14
+#: Longer pieces are not kept between batches.
+KEPT_PIECE = 256
 CACHE = 1_000_000
+#: What a leaf is: text; whole pre-tokens of a run without white space; symbols of a long pre-token, its last ones; a run for the library.
+TEXT, WORDS, PART, LAST, WHOLE = range(5)
+_SPACE = b" \t\n\r\x0b\x0c"
 
 
 def _byte_names() -> dict[int, int]:
@@ -34,10 +42,12 @@ _BYTE_NAMES = _byte_names()
 class Bpe:
     """Encodes as the tokenizers library does with the same file (add_special_tokens=False, no truncation or padding).
 
-    The normaliser and the pre-tokeniser of the file work between ASCII white space alone, so a text is the
-    concatenation of its pieces between white space; pieces are encoded by the library once and kept. A piece with a
-    pre-token over LEAF symbols goes to `tree`. Files whose added tokens contain white space, or that keep white space
-    (`separable` tells), are given to the library whole.
+    A text longer than a leaf is cut anywhere. Its leaves are encoded by themselves and joined pairwise: the pieces around
+    a join are encoded again, more and more of them, until what comes out agrees at both ends with what both sides had.
+    Within a leaf the normaliser and the pre-tokeniser of the file work between ASCII white space alone, so that pieces
+    between white space are encoded by the library once and kept. A run without white space that is longer than a leaf is
+    cut between its pre-tokens, and a pre-token longer than a leaf between its symbols. Files whose added tokens contain
+    white space, or that keep white space (`separable` tells), are given to the library whole.
     """
 
     def __init__(self, path: str, leaf: int = LEAF, cache: int = CACHE):
@@ -55,6 +65,7 @@ class Bpe:
         plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk")) and not model.get("unk_token")
         probe = [("ab cd", ["ab", "cd"]), ("ab \n\t cd", ["ab", "cd"]), (" ab,\x0b\x0c cd ", ["ab,", "cd"])]
         self.separable = plain and bool(self.suffix) and not any(set(x) & set(" \t\n\r\x0b\x0c") for x in self.added) and all(self._whole(a) == [i for p in b for i in self._whole(p)] for a, b in probe)
+        self.bytewise = all(x in self.vocab for b in range(256) for c in [chr(_BYTE_NAMES.get(b, b))] for x in (c, c + self.suffix))
         self.leaf, self.most = leaf, cache
         self.pieces: dict[bytes, bytes] = {}
         self.bodies: dict[bytes, bytes] = {}
@@ -125,26 +136,112 @@ class Bpe:
                 return a[: len(a) - i] + mid + b[j:]
             i, j = (i if lower else 2 * i), (j if upper else 2 * j)
 
-    def tree(self, symbols: list[str]) -> list[str]:
-        """BPE of a long run: leaves of at most `leaf` symbols are encoded alone and joined pairwise, level by level."""
-        level = [self.merge(symbols[k : k + self.leaf]) for k in range(0, len(symbols), self.leaf)]
+    @staticmethod
+    def _pairwise(level: list, join: Callable) -> list:
         while len(level) > 1:
-            level = [self.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        return level[0] if level else []
+            level = [join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        return level
+
+    def join_texts(self, left: tuple[bytes, bytes], right: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
+        """(text, ids) of two (text, ids) together. The window is the last i pieces of the left and the first j of the
+        right text; it is final at an end where its ids outside of the cut piece are those that the side had there."""
+        a, ids_a = left
+        b, ids_b = right
+        i = j = 2
+        while True:
+            parts = a.rsplit(None, i)
+            all_a = len(parts) <= i
+            x = a if all_a else a[len(parts[0]) :]
+            parts = b.split(None, j)
+            all_b = len(parts) <= j
+            y = b if all_b else b[: len(b) - len(parts[-1])]
+            cut_x = x.split()[-1] if x.rstrip(_SPACE) == x and x else b""
+            cut_y = y.split(None, 1)[0] if y.lstrip(_SPACE) == y and y else b""
+            of_x, of_y, outer_x, outer_y, both = (v.tobytes() for v in self.encode_batch([x, y, x[: len(x) - len(cut_x)], y[len(cut_y) :], x + y]))
+            lower = all_a or (ids_a.endswith(of_x) and of_x.startswith(outer_x) and both.startswith(outer_x))
+            upper = all_b or (ids_b.startswith(of_y) and of_y.endswith(outer_y) and both.endswith(outer_y))
+            if lower and upper:
+                return a + b, (b"" if all_a else ids_a[: len(ids_a) - len(of_x)]) + both + (b"" if all_b else ids_b[len(of_y) :])
+            i, j = (i if lower else 2 * i), (j if upper else 2 * j)
 
-    def long_piece(self, text: str) -> list[int]:
-        """A piece without white space, its long pre-tokens by tree concatenation, the others by the library."""
-        if any(x in text for x in self.added):
-            return self._whole(text)
+    # leaves ------------------------------------------------------------------------------------------------------
+
+    def cut(self, text: bytes) -> list[tuple[int, int, bytes]]:
+        """(segment, kind, leaf) of a text, in order; leaves of one segment are to be joined, segments stand side by side."""
+        if not self.separable:
+            return [(0, WHOLE, text)]
+        out, at, segment = [], 0, 0
+        for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]{%d,}" % (self.leaf + 1), text):
+            out += [(segment, TEXT, x) for x in self._slices(text[at : m.start()])]
+            for k, kind, leaf in self._cut_run(m[0]):
+                out.append((segment + 1 + k, kind, leaf))
+            segment, at = out[-1][0] + 1, m.end()
+        return out + [(segment, TEXT, x) for x in self._slices(text[at:])]
+
+    def _slices(self, text: bytes) -> Iterator[bytes]:
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + self.leaf)
+            while end < len(text) and text[end] & 0xC0 == 0x80:
+                end += 1
+            yield text[at:end]
+            at = end
+
+    def _cut_run(self, run: bytes) -> Iterator[tuple[int, int, bytes]]:
+        text = run.decode("utf-8", "replace")
+        if not self.bytewise or any(x in text for x in self.added):
+            yield 0, WHOLE, run
+            return
         norm = self.lib.normalizer.normalize_str(text) if self.lib.normalizer else text
-        parts = self.lib.pre_tokenizer.pre_tokenize_str(norm)
-        out: list[int] = []
-        for part, _ in parts:
-            symbols = [*part[:-1], part[-1] + self.suffix] if part else []
-            if any(s not in self.vocab for s in symbols):
-                return self._whole(text)
-            out += [self.vocab[t] for t in (self.tree(symbols) if len(symbols) > self.leaf else self.merge(symbols))]
-        return out
+        words, size, segment = [], 0, 0
+        for part, _ in self.lib.pre_tokenizer.pre_tokenize_str(norm):
+            if words and (len(part) > self.leaf or size + len(part) > self.leaf):
+                yield segment, WORDS, " ".join(words).encode()
+                words, size, segment = [], 0, segment + 1
+            if len(part) <= self.leaf:
+                words.append(part)
+                size += len(part)
+                continue
+            for at in range(0, len(part), self.leaf):
+                yield segment, LAST if at + self.leaf >= len(part) else PART, part[at : at + self.leaf].encode()
+            segment += 1
+        if words:
+            yield segment, WORDS, " ".join(words).encode()
+
+    def encode_leaf(self, kind: int, leaf: bytes) -> bytes:
+        if kind == TEXT:
+            return self.encode_batch([leaf])[0].tobytes()
+        s = leaf.decode("utf-8", "replace")
+        if kind == WHOLE:
+            ids = self._whole(s)
+        elif kind == WORDS:
+            ids = [x.id for w in s.split(" ") for x in self.lib.model.tokenize(w)]
+        else:
+            ids = [self.vocab[t] for t in self.merge(list(s) if kind == PART else [*s[:-1], s[-1] + self.suffix])]
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def glue(self, leaves: list[tuple[int, int, bytes, bytes]]) -> tuple[np.ndarray, int]:
+        """The ids of a text from its (segment, kind, leaf, ids) in order, and how many joins that took."""
+        out, joins = [], 0
+        for _, some in groupby(leaves, key=lambda x: x[0]):
+            some = list(some)
+            joins += len(some) - 1
+            if some[0][1] == TEXT:
+                out.append(self._pairwise([x[2:] for x in some], self.join_texts)[0][1])
+            elif some[0][1] == PART:
+                names = [[self.names[k] for k in np.frombuffer(x[3], dtype="<u4").tolist()] for x in some]
+                out.append(np.array([self.vocab[t] for t in self._pairwise(names, self.join)[0]], dtype="<u4").tobytes())
+            else:
+                out.append(b"".join(x[3] for x in some))
+        return np.frombuffer(b"".join(out), dtype="<u4"), joins
+
+    def encode_text(self, text: bytes) -> tuple[np.ndarray, int]:
+        """The ids of one text and how many joins that took, all here."""
+        return self.glue([(*x, self.encode_leaf(*x[1:])) for x in self.cut(text)])
+
+    def long_piece(self, text: str) -> list[int]:
+        """A piece without white space."""
+        return self.glue([(*x, self.encode_leaf(*x[1:])) for x in self._cut_run(text.encode())])[0].tolist()
 
     # texts -------------------------------------------------------------------------------------------------------
 
@@ -163,8 +260,8 @@ class Bpe:
             body = w.rstrip(self.marks)
             ids = bodies.get(body)
             if ids is None:
-                if len(w) > self.leaf:
-                    known[w] = np.array(self.long_piece(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
+                if len(w) > KEPT_PIECE:
+                    known[w] = np.array(self._whole(w.decode("utf-8", "replace")), dtype="<u4").tobytes()
                     continue
                 s = body.decode("utf-8", "replace")
                 if self.bare and s.isalpha() and (s.isascii() or max(s) <= "\xff"):
@@ -202,7 +299,7 @@ class Bpe:
         self._encode_new(new)
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4") for words in split]
         for w in new:
-            if len(w) > self.leaf:
+            if len(w) > KEPT_PIECE:
                 del known[w]
         return out
 
@@ -235,21 +332,79 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with n_tokens and ids array<int> (ids below 2**31). Null and empty texts have no ids."""
+def map_ids(docs: DataFrame, path: str, text: str, rest: list[str], fields: str, make: Callable, most: int = CACHE) -> DataFrame:
+    """Columns `rest` of docs and those that make(codec, ids of each text, joins of each text) gives, of types `fields`.
+
+    Texts of up to a leaf are encoded where they are. Longer ones become a row for each leaf; these are dealt out and
+    encoded, then come together again by text, in order, to be joined. Repeated rows stay apart by a row number.
+    """
     bound_batches(docs.sparkSession)
-    keep = docs.select(*[c for c in docs.columns if c not in ("n_tokens", ids)])
+    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", fields)]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        codec = bpe(path)
+    def short(batches) -> Iterator[pa.RecordBatch]:
+        codec = bpe(path, most)
         for b in small_batches(batches, text, cache="tokens"):
             got = codec.encode_batch(utf8(b.column(text)))
-            n = np.array([len(x) for x in got], dtype=np.int64)
-            flat = np.concatenate(got).view(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), list_array(flat, n, pa.int32())], [*b.schema.names, "n_tokens", ids])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *make(codec, got, [0] * len(got))], [*rest, *names])
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        codec = bpe(path, most)
+        for b in small_batches(batches, text, cache="tokens"):
+            for i, t in enumerate(utf8(b.column(text))):
+                leaves = codec.cut(t)
+                first = pa.array([i, *[None] * (len(leaves) - 1)], pa.int64())
+                cols = [pa.array([b.column("_row")[i].as_py()] * len(leaves), pa.int64()), pa.array(range(len(leaves)), pa.int32())]
+                cols += [pa.array([x[k] for x in leaves], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(first) for c in rest), *cols], [*rest, "_row", "_at", "_segment", "_kind", "_leaf"])
+
+    def leaves(batches) -> Iterator[pa.RecordBatch]:
+        codec = bpe(path, most)
+        for b in small_batches(batches, "_leaf", cache="tokens"):
+            ids = [codec.encode_leaf(k, x) for k, x in zip(b.column("_kind").to_pylist(), b.column("_leaf").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, "_ids"])
+
+    def join(batches) -> Iterator[pa.RecordBatch]:
+        codec, own, some, done, size = bpe(path, most), None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.concat_arrays([x.column(c) for x, _ in done]) for c in rest]
+            return pa.RecordBatch.from_arrays([*cols, *make(codec, [x[0] for _, x in done], [x[1] for _, x in done])], [*rest, *names])
+
+        for b in small_batches(batches, "_leaf", cache="tokens"):
+            for i, leaf in enumerate(zip(*(b.column(c).to_pylist() for c in ("_at", "_segment", "_kind", "_leaf", "_ids")), strict=True)):
+                if leaf[0] == 0:
+                    if own is not None:
+                        done.append((own, codec.glue(some)))
+                        size += done[-1][1][0].nbytes
+                        if size > BATCH_BYTES or len(done) >= 256:
+                            yield out()
+                            done, size = [], 0
+                    own, some = b.slice(i, 1), []
+                some.append(leaf[1:])
+        if own is not None:
+            done.append((own, codec.glue(some)))
+            yield out()
+
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    need = list(dict.fromkeys([*rest, text]))
+    direct = docs.where(size <= LEAF).select(*need).mapInArrow(short, f"{kinds}{fields}")
+    cuts = docs.where(size > LEAF).select(*need).withColumn("_row", F.monotonically_increasing_id())
+    inner = f"{kinds}_row long, _at int, _segment int, _kind int, _leaf binary"
+    done = cuts.mapInArrow(cut, inner).repartition("_row", "_at").mapInArrow(leaves, f"{inner}, _ids binary")
+    joined = done.repartition("_row").sortWithinPartitions("_row", "_at").mapInArrow(join, f"{kinds}{fields}")
+    return direct.union(joined)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema)
-    return keep.mapInArrow(run, f"{kinds}, n_tokens long, `{ids}` array<int>")
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with n_tokens and ids array<int> (ids below 2**31). Null and empty texts have no ids."""
+    keep, called = set_aside(docs, (text,), ("n_tokens", ids))
+
+    def make(codec: Bpe, got: list[np.ndarray], joins: list[int]) -> list[pa.Array]:
+        n = np.array([len(x) for x in got], dtype=np.int64)
+        return [pa.array(n), list_array(np.concatenate(got).view(np.int32), n, pa.int32())]
+
+    return map_ids(keep, path, text, keep.columns, "n_tokens long, ids array<int>", make).toDF(*called.values(), "n_tokens", ids)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -268,31 +423,25 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
-    """docs (without their text) with n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass; with_ids adds ids."""
+    """docs (without their text) with n_tokens, ids_sha256, decoded_sha256 and n_joins (of leaves of a long text), encoded and
+    decoded in one pass; with_ids adds ids. A null text is empty."""
     import hashlib
 
-    bound_batches(docs.sparkSession)
-    new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
-    keep = docs.select(*[c for c in docs.columns if c not in new])
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", "n_joins", *(["ids"] if with_ids else [])]
+    keep, called = set_aside(docs, (text,), new)
     rest = [c for c in keep.columns if c != text]
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        codec = bpe(path, CACHE // 3)
-        for b in small_batches(batches, text, cache="tokens"):
-            got = codec.encode_batch(utf8(b.column(text)))
-            n = np.array([len(x) for x in got], dtype=np.int64)
-            sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in got]
-            back = [hashlib.sha256(x.encode()).hexdigest() for x in codec.decode_batch(got)]
-            cols = [*(b.column(c) for c in rest), pa.array(n), pa.array(sha), pa.array(back)]
-            if with_ids:
-                cols.append(list_array(np.concatenate(got).view(np.int32), n, pa.int32()))
-            yield pa.RecordBatch.from_arrays(cols, [*rest, *new])
+    def make(codec: Bpe, got: list[np.ndarray], joins: list[int]) -> list[pa.Array]:
+        n = np.array([len(x) for x in got], dtype=np.int64)
+        sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in got]
+        back = [hashlib.sha256(x.encode()).hexdigest() for x in codec.decode_batch(got)]
+        return [pa.array(n), pa.array(sha), pa.array(back), pa.array(joins, pa.int32()), *([list_array(np.concatenate(got).view(np.int32), n, pa.int32())] if with_ids else [])]
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep.schema if f.name != text)
-    return keep.mapInArrow(run, f"{kinds}n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins int" + (", ids array<int>" if with_ids else "")
+    return map_ids(keep, path, text, rest, fields, make, CACHE // 3).toDF(*(called[c] for c in rest), *new)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of documents."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins for every row of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return round_trip(docs, vocabulary())

@@ -235,3 +235,42 @@ def test_collisions_are_told_apart(spark, docs):
         of.setdefault(FP.canonical(r.text), set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in of.values()) and len({x for v in of.values() for x in v}) == len(of)
     assert FP.canonical("Ｆｕｌｌ  ﬁ\n Straße") == "full fi strasse"
+
+
+def test_cut_texts_equal_library(lib):
+    rng, codec = random.Random(9), T.Bpe(T.vocabulary(), leaf=16)
+    parts = ["the", "ing's", "'t", "é", "ﬁ", "İ", "0", "12", ".", "!?", "\n", "\t", "\x1c", "\xa0", "日本", "😀", "<|endoftext|>", "Σ", " ", " ", "́", "ª", "\x00", "unbelievable", "x" * 30, "日本語" * 9]
+    joins = 0
+    for _ in range(1500):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        ids, n = codec.encode_text(t.encode())
+        joins += n
+        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    assert joins > 5000
+
+
+def test_join_grows_until_both_sides_agree(lib):
+    codec = T.Bpe(T.vocabulary())
+    enc = lambda x: np.array(lib.encode(x.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    a, b = b"one two three fo", b"ur five six"
+    assert codec.join_texts((a, enc(a)), (b, enc(b))) == (a + b, enc(a + b))
+    wrong = enc(b"one two") + enc(b"something") + enc(b"fo")  # a side that disagrees near the join is encoded again
+    assert codec.join_texts((a, wrong), (b, enc(b)))[1] == enc(a + b)
+
+
+def test_long_runs_are_spread_over_tasks(spark, lib):
+    rng = random.Random(10)
+    run = lambda n: "".join(rng.choice(["in", "th", "an", "e", "qz", "ing", "x", "日本", "é"]) for _ in range(n))
+    texts = [run(400_000), "short", " ".join(run(rng.randint(1, 30)) for _ in range(20000)), f"a {run(30000)}.{run(9)}!{run(40000)} b", None, run(30000) + "<|endoftext|>" + run(10), "w " * 40000, "w " * 40000]
+    d = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, _row int")
+    got = {r.doc_id: r for r in T.round_trip(d, T.vocabulary(), with_ids=True).collect()}
+    assert len(got) == len(texts) and all(r["_row"] == k for k, r in got.items())
+    for k, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert got[k].ids == ids and got[k].n_tokens == len(ids)
+    assert got[0].n_joins > 20 and got[1].n_joins == got[4].n_joins == 0 and got[2].n_joins > 10
+    assert T.encode(d, T.vocabulary()).select("text", "_row", "n_tokens").orderBy("_row").collect()[0].n_tokens == got[0].n_tokens
+
+
+def test_tables_take_joins(spark, sf):
+    assert T.op8(spark, sf).selectExpr("sum(n_joins) n").first().n > 0
