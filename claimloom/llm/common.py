@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,9 +21,11 @@ worker_caches: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
+    """The folder that driver and executors share. Only in a local session, whose tasks run in the driver, may it be unset."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="claimloom-"))
         at = _own_folder[0]
@@ -56,6 +59,29 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class ByteCache(dict):
+    """What make(key) gives by key, the oldest out when the keys together are over `most` in length; larger keys are not kept."""
+
+    def __init__(self, name: str, make: Callable, most: int):
+        self.name, self.make, self.most, self.size = name, make, most, 0
+
+    def __missing__(self, key):
+        got = self.make(key)
+        if len(key) <= self.most:
+            worker_caches.setdefault(self.name, self.empty)
+            while self and self.size + len(key) > self.most:
+                old = next(iter(self))
+                self.size -= len(old)
+                del self[old]
+            self[key] = got
+            self.size += len(key)
+        return got
+
+    def empty(self) -> None:
+        self.clear()
+        self.size = 0
+
+
 def set_aside(df: DataFrame, used: Iterable[str], replaced: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str]]:
     """df without the columns `replaced`, whose columns other than `used` have names that no operator takes, and what each
     column of the result was called."""
@@ -100,30 +126,34 @@ def list_array(values, lengths, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, tag: str = "cc", most_rounds: int | None = None) -> DataFrame:
     """Connected components of edges(a, b): one row (node, comp) per node, comp being the component's smallest node.
 
-    Alternating large-star and small-star rounds; each joins a node's neighbours with the smallest of them, so that a
-    node with very many neighbours costs a partial aggregate and a join that adaptive execution splits. Rounds are
-    written in the shared folder. Self-loops and null ends are ignored; an empty edge table gives an empty result.
+    Alternating large-star and small-star rounds until nothing changes; each joins a node's neighbours with the smallest
+    of them. What a round looks up is written first, so that a node with very many neighbours costs a partial aggregate
+    and a plain join, which adaptive execution splits or broadcasts. More than most_rounds raise an error; there is no
+    incomplete result. Self-loops and null ends are ignored; an empty edge table gives an empty result.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = stage(e, f"{tag}-0")
-    for k in range(most_rounds):
+    before, k = _mark(now), 0
+    while before[0]:
+        if most_rounds is not None and k >= most_rounds:
+            raise RuntimeError(f"components are not complete after {most_rounds} rounds")
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m")), f"{tag}-m{k}")
         large = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         mid = stage(large, f"{tag}-l{k}")
-        low = mid.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = mid.join(low, mid.a == low.u).select("a", "b", "m")
+        low2 = stage(mid.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), f"{tag}-n{k}")
+        small = mid.join(low2, mid.a == low2.u).select("a", "b", "m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct()
         after = stage(small, f"{tag}-s{k}")
-        same = _mark(now) == _mark(after)
-        unstage(now)
-        unstage(mid)
-        now = after
-        if same:
+        for d in (now, low, mid, low2):
+            unstage(d)
+        mark, now, k = _mark(after), after, k + 1
+        if mark == before:
             break
+        before = mark
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return ends.union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, list_array, small_batches, stage, unstage, utf8, worker_caches
+from .common import ByteCache, bound_batches, components, list_array, small_batches, stage, unstage, utf8, worker_caches
 
 WIDTH = 5
 BANDS, ROWS, LOW_BITS = 32, 4, 2
@@ -19,8 +18,10 @@ MINIMA = BANDS * ROWS
 WORDS = MINIMA * LOW_BITS // 64
 #: One-bit minima of the few texts whose pairs are looked at across components.
 LONG = 2048
-#: Ids of texts to be compared that are broadcast as a semi-join; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids of texts to be compared that are broadcast as a semi-join, 40 MB with their nodes; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Nodes of a band's group that meet the whole group in one task.
+PAIR_BLOCK = 512
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,6 +43,11 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def _forget() -> None:
+    _words.clear()
+    _sets.empty()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
@@ -57,7 +63,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles; of the whole sequence if it has fewer words; none of no words."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    worker_caches["near_dedup"] = _words.clear
+    worker_caches["near_dedup"] = _forget
     h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(WIDTH, len(h))
     n = len(h) - k + 1
@@ -151,9 +157,8 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row_
     return rows.mapInArrow(sign, SIGNATURES)
 
 
-@lru_cache(maxsize=64)
-def _set_of(text: bytes) -> np.ndarray:
-    return shingles(words_of(text))
+#: Sets of the texts that many others are compared with, for up to 4 MB of texts.
+_sets = ByteCache("near_dedup", lambda text: shingles(words_of(text)), 4 << 20)
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -170,7 +175,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "ta", cache="near_dedup"):
-            ok = [_alike(shingles(words_of(x)), _set_of(y), percent) for x, y in zip(utf8(b.column("ta")), utf8(b.column("tb")), strict=True)]
+            ok = [_alike(shingles(words_of(x)), _sets[y], percent) for x, y in zip(utf8(b.column("ta")), utf8(b.column("tb")), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
@@ -204,7 +209,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Texts with the same words are one node. A band's nodes are candidates, but only their components matter, so a group
     of m near copies costs m comparisons, not m * m: each node is compared with the band's smallest; where a band still
-    has nodes of several components, with its most central one; then nodes across components with each other. Before
+    has nodes of several components, with its most central one; then nodes across components with each other, in blocks of PAIR_BLOCK by a whole group. Before
     that, the shingles that a node shares with other components are counted: nodes or pairs that these cannot bring to
     the threshold are out, which is exact. Pairs pass the packed low bits within the join, in the first band they share, then their full
     sets are compared. 32 bands of 4 minima miss a pair at similarity 0.75 once in 190,000 cases, and at 0.8 once in 10 million.
@@ -217,7 +222,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sigs = stage(signatures(docs, text, doc_id, row_id), "sigs")
     nodes = stage(sigs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     in_bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = in_bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
+    shared = stage(in_bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last"), "shared")
     bands = stage(in_bands.join(shared, "key").select("key", F.col("node").alias("a"), "b"), "bands")
     sig = nodes.select("node", "sig")
 
@@ -230,25 +235,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     whole = _linked(nodes, confirm(stars, texts, percent), None, "cc1")
 
     open_ = _open(bands, whole, "open1")
+    if open_.isEmpty():
+        return _grouped(sigs, nodes, whole)
     mass = _shared_mass(open_, texts)
     n = nodes.select(F.col("node").alias("a"), "sig", "n_shingles")
     open_ = stage(open_.join(mass, "a").join(n, "a").where(_can_link("n_shingles", "shared", "shared", "shared", percent)), "open2")
     central = open_.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n_shingles")).alias("share"), F.col("a").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"), F.col("shared").alias("mb"))).alias("l")).select("key", "l.*")
+    central = stage(central, "central")
     to_center = open_.join(central, "key").where("comp <> cb").select("a", "b", F.col("sig").alias("sa"), "sb", F.col("n_shingles").alias("na"), "nb", F.col("shared").alias("ma"), "mb")
     stars2 = to_center.where((estimate("sa", "sb") >= floor_of(percent / 100)) & _can_link("na", "nb", "ma", "mb", percent)).select("a", "b").distinct()
     stars2 = stage(stars2.join(stars, ["a", "b"], "left_anti"), "stars2")
     whole = _linked(nodes, confirm(stars2, texts, percent), whole, "cc2")
 
-    rest = _open(open_.select("key", "a"), whole, "open3").join(mass, "a").join(n.join(nodes.select(F.col("node").alias("a"), "bands"), "a"), "a")
+    rest = _open(open_.select("key", "a"), whole, "open3")
+    if rest.isEmpty():
+        return _grouped(sigs, nodes, whole)
+    rest = rest.join(mass, "a").join(n.join(nodes.select(F.col("node").alias("a"), "bands"), "a"), "a")
     rest = rest.join(_sketches(texts.join(rest.select(F.col("a").alias("node")).distinct(), "node", "left_semi")), "a")
-    side = lambda x: rest.select("key", F.col("a").alias(x), F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("shared").alias(f"m{x}"), F.col("long").alias(f"l{x}"), F.col("bands").alias(f"k{x}"))
-    x, y = side("a"), side("b")
-    across = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & _can_link("na", "nb", "ma", "mb", percent) & (estimate("sa", "sb") >= floor_of(percent / 100)) & (long_estimate("la", "lb") >= floor_of(percent / 100, LONG, 1)) & (x.key == F.array_min(F.array_intersect("ka", "kb")))).select("a", "b")
+    rest = stage(rest, "rest")
+    blocks = stage(rest.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks")), "blocks")
+    rest = rest.join(blocks, "key")
+    side = lambda x, block: rest.select("key", block.alias("block"), F.col("a").alias(x), F.col("comp").alias(f"c{x}"), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("shared").alias(f"m{x}"), F.col("long").alias(f"l{x}"), F.col("bands").alias(f"k{x}"))
+    x, y = side("a", F.pmod(F.xxhash64("a"), "blocks").cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    across = x.join(y, (x.key == y.key) & (x.block == y.block) & (F.col("ca") < F.col("cb")) & _can_link("na", "nb", "ma", "mb", percent) & (estimate("sa", "sb") >= floor_of(percent / 100)) & (long_estimate("la", "lb") >= floor_of(percent / 100, LONG, 1)) & (x.key == F.array_min(F.array_intersect("ka", "kb")))).select("a", "b")
     done = stars.union(stars2)
     across = stage(across.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti"), "across")
     whole = _linked(nodes, confirm(across, texts, percent), whole, "cc3")
     for d in (bands, stars, texts, open_, mass, stars2, across):
         unstage(d)
+    return _grouped(sigs, nodes, whole)
+
+
+def _grouped(sigs: DataFrame, nodes: DataFrame, whole: DataFrame) -> DataFrame:
+    """The result's rows from the components (node, comp) of linked nodes."""
     labels = nodes.select("node", "doc_id").join(whole, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     low = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = labels.join(low, "comp").select("node", "component_id", "comp")
@@ -281,7 +300,7 @@ def _open(bands: DataFrame, comps: DataFrame, tag: str) -> DataFrame:
     """(key, a, comp): the nodes of bands whose nodes are in more than one component."""
     members = stage(bands.select("key", "a").join(comps.select(F.col("node").alias("a"), "comp"), "a", "left").select("key", "a", F.coalesce("comp", "a").alias("comp")), f"{tag}-members")
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return stage(members.join(mixed, "key"), tag)
+    return stage(members.join(stage(mixed, f"{tag}-mixed"), "key"), tag)
 
 
 def _shared_mass(open_: DataFrame, texts: DataFrame) -> DataFrame:

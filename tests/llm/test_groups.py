@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.llm import common
@@ -207,3 +208,58 @@ def test_tree_matching():
         pairs = list(H.Matcher().pairs(a, b))
         assert H.Matcher().score(a, b) == plain(a, b) == len(pairs)
         assert all(x.tag == y.tag for x, y in pairs)
+
+
+def test_components_are_complete_or_raise(spark):
+    from claimloom.llm.common import components
+
+    n = 100_000
+    path = spark.range(n - 1).select(((F.col("id") * 7919) % n).alias("a"), (((F.col("id") + 1) * 7919) % n).alias("b"))
+    got = components(path)
+    assert got.count() == n and got.select("comp").distinct().collect() == [(0,)]
+    with pytest.raises(RuntimeError):
+        components(path, most_rounds=1)
+
+
+def test_shared_folder_or_error(spark):
+    from claimloom.llm import common
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Fake)
+    Fake.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Fake)
+    Fake.sparkContext.master = "local[4]"
+    assert common.shared_dir(Fake)
+
+
+def test_pairs_across_components_in_blocks(spark, monkeypatch):
+    """A ring of texts, each like its neighbours only, under one band key: every link has to be found by some block."""
+    monkeypatch.setattr(N, "PAIR_BLOCK", 3)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    rows = []
+    for k in range(40):
+        words = list(base)
+        for j in range(k * 4, k * 4 + 30):
+            words[(j * 10) % 400] = f"v{j}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: set(N.shingles(N.words_of(t.encode())).tolist()) for k, t in rows}
+    top = {k: k for k in sets}
+
+    def find(k):
+        return k if top[k] == k else find(top[k])
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                top[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {k: find(k) for k in sets}
