@@ -9,24 +9,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_batches, utf8
+from .common import bound_batches, set_aside, small_batches, utf8
 
-BITS = 6
-V = 1 << 3 * BITS
 UND = "und"
+#: Longer texts are counted slice by slice.
+SLICE = 4 << 20
 
 
 def _byte_classes() -> np.ndarray:
-    """0 for ASCII other than letters, 1-26 for letters of either case, 27-58 for bytes of other characters."""
+    """0 for ASCII other than letters, 1-26 for letters of either case, 27-58 for bytes that continue a character (two of
+    them each), 59 and more for bytes that begin one: each has its own class, but for those of rare scripts."""
     t = np.zeros(256, dtype=np.int32)
     for k in range(26):
         t[65 + k] = t[97 + k] = 1 + k
-    high = np.arange(128, 256)
-    t[128:] = 27 + (high & 31)
+    t[128:192] = 27 + (np.arange(128, 192) & 31)
+    now = 58
+    for b in range(192, 256):
+        if b in ALONE or b - 1 in ALONE or b == 192:
+            now += 1
+        t[b] = now
     return t
 
 
+#: First bytes of the characters of widely used scripts: Latin (C3-C5), Greek, Cyrillic, Hebrew, Arabic, and E0-EF.
+ALONE = frozenset([*range(0xC3, 0xC6), 0xCE, 0xCF, 0xD0, 0xD1, 0xD7, 0xD8, 0xD9, *range(0xE0, 0xEA)])
 CLASSES = _byte_classes()
+K = int(CLASSES.max()) + 1
+V = K**3
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,16 +45,39 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(x) + 1 for x in texts])
     mid = c[1 : 1 + len(owner)]
     at = np.flatnonzero(mid)
-    index = (c[at] << 2 * BITS) | (mid[at] << BITS) | c[at + 2]
+    index = (c[at] * K + mid[at]) * K + c[at + 2]
     ascii_letter = np.zeros(len(texts), dtype=bool)
     ascii_letter[owner[at[mid[at] < 27]]] = True
     return owner[at], index.astype(np.int64), ascii_letter
 
 
+def bags(texts: list[bytes], most: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, trigram's index, count), sorted, and for every text whether it has an ASCII letter. A text longer than
+    `most` bytes is counted slice by slice, so that memory grows with V and not with the text."""
+    short = [x if len(x) <= most else b"" for x in texts]
+    owner, index, letter = trigrams(short)
+    keys, n = np.unique(owner * V + index, return_counts=True)
+    parts = [(keys, n)]
+    for k in (k for k, x in enumerate(texts) if len(x) > most):
+        total = np.zeros(V, dtype=np.int64)
+        for at in range(0, len(texts[k]), most):
+            around = np.frombuffer((texts[k][at - 1 : at] if at else b" ") + texts[k][at : at + most + 1] + (b"" if at + most < len(texts[k]) else b" "), dtype=np.uint8)
+            c = CLASSES[around]
+            mid = np.flatnonzero(c[1:-1]) + 1
+            letter[k] |= bool((c[mid] < 27).any())
+            total += np.bincount((c[mid - 1] * K + c[mid]) * K + c[mid + 1], minlength=V)
+        at = np.flatnonzero(total)
+        parts.append((k * V + at, total[at]))
+    keys, n = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+    order = np.argsort(keys, kind="stable") if len(parts) > 1 else slice(None)
+    return keys[order] // V, keys[order] % V, n[order], letter
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and P(trigram | language), from all rows of docs with a text and a language.
 
-    Counts are summed in tasks before they are shuffled; what reaches the driver has at most V numbers a language.
+    Counts are summed in tasks before they are shuffled; what reaches the driver has at most V numbers a language. A
+    language whose texts have no trigram is learned with equal probabilities; no labelled rows give no languages.
     """
     bound_batches(docs.sparkSession)
 
@@ -54,9 +86,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
         for b in small_batches(batches, "text"):
             texts, langs = utf8(b.column("text")), b.column("lang").to_pylist()
             for one in set(langs):
-                _, index, _ = trigrams([t for t, x in zip(texts, langs, strict=True) if x == one])
+                _, index, n, _ = bags([t for t, x in zip(texts, langs, strict=True) if x == one])
                 sums.setdefault(one, np.zeros(V, dtype=np.int64))
-                sums[one] += np.bincount(index, minlength=V)
+                np.add.at(sums[one], index, n)
         for one, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "g", "n"])
@@ -73,22 +105,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     return langs, (counts + smoothing) / (counts.sum(0) + smoothing * seen)
 
 
-def infer(texts: list[bytes], probs: np.ndarray, penalty: float, rounds: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def infer(texts: list[bytes], probs: np.ndarray, penalty: float, rounds: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Language proportions of each text (n x languages) and whether it has a letter.
 
     A text is a bag of trigrams, each drawn from one of its languages. The set starts with the likeliest language; the
     one whose share has the steepest likelihood is tried next, proportions are fitted by expectation-maximisation, and
-    it stays if the log-likelihood gains more than penalty * log(number of trigrams).
+    it stays if the log-likelihood gains more than penalty * log(number of trigrams). The penalty alone ends this, but
+    where `most` languages are asked for.
     """
     n, m = len(texts), probs.shape[1]
     share = np.zeros((n, m))
-    owner, index, letter = trigrams(texts)
+    owner, index, c, letter = bags(texts)
     for k in np.flatnonzero(~letter):
         letter[k] = any(ch.isalpha() for ch in texts[k].decode("utf-8", "replace"))
     if not len(owner) or not m:
         return share, letter
-    keys, c = np.unique(owner * V + index, return_counts=True)
-    owner, p = keys // V, probs[keys % V]
+    p = probs[index]
     docs, start = np.unique(owner, return_index=True)
     row = np.repeat(np.arange(len(docs)), np.diff(np.append(start, len(owner))))
     c = c.astype(np.float64)
@@ -98,7 +130,7 @@ def infer(texts: list[bytes], probs: np.ndarray, penalty: float, rounds: int, mo
     pi = np.zeros((len(docs), m))
     pi[np.arange(len(docs)), best] = 1.0
     ll, live = single.max(1), np.arange(len(docs))
-    for _ in range(min(most, m) - 1):
+    for _ in range(min(most or m, m) - 1):
         pick = np.isin(row, live) if len(live) < len(docs) else slice(None)
         r, q, w = row[pick], p[pick], c[pick]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -125,7 +157,7 @@ def infer(texts: list[bytes], probs: np.ndarray, penalty: float, rounds: int, mo
     return share, letter
 
 
-def identify(docs: DataFrame, langs: list[str], probs: np.ndarray, text: str = "text", penalty: float = 4.0, rounds: int = 12, most: int = 4) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], probs: np.ndarray, text: str = "text", penalty: float = 4.0, rounds: int = 12, most: int | None = None) -> DataFrame:
     """docs with lang_pred, score (the share of lang_pred), n_langs and lang_shares ("lang=share" by falling share).
 
     A null text or one without a letter is `und` with score 0, as is every text when no language was learned. Ties go
@@ -134,7 +166,7 @@ def identify(docs: DataFrame, langs: list[str], probs: np.ndarray, text: str = "
     """
     bound_batches(docs.sparkSession)
     new = ["lang_pred", "score", "n_langs", "lang_shares"]
-    keep = docs.select(*[c for c in docs.columns if c not in new])
+    keep, called = set_aside(docs, (text,), new)
     if text not in keep.columns:
         raise ValueError(f"no column {text}")
     held = docs.sparkSession.sparkContext.broadcast((langs, probs))
@@ -154,7 +186,7 @@ def identify(docs: DataFrame, langs: list[str], probs: np.ndarray, text: str = "
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(count, pa.int32()), pa.array(mixes, pa.string())], [*b.schema.names, *new])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema)
-    return keep.mapInArrow(predict, f"{kinds}, lang_pred string, score double, n_langs int, lang_shares string")
+    return keep.mapInArrow(predict, f"{kinds}, lang_pred string, score double, n_langs int, lang_shares string").toDF(*called.values(), *new)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -9,21 +9,66 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, small_batches, utf8
+from .common import bound_batches, set_aside, small_batches, utf8
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Templates by label. [[ ]] encloses an optional region, {{m-n}} is a replaceable region of m to n words.
+# The wording of public licences, as templates. [[ ]] encloses an optional region; {{m-n}} is a replaceable
+# region of m to n words, {{m-}} of m words or more. Everything else is mandatory, word by word.
+_AS_IS_HOLDERS = """this software is provided by {{1-}} as is and any express or implied warranties including but not limited to the implied
+ warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-}} be liable for any direct indirect
+ incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or
+ profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or
+ otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_BSD_2 = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+ [[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+ [[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+ in the documentation and or other materials provided with the distribution"""
+_MIT_GRANT = """permission is hereby granted free of charge to any person obtaining a copy of {{1-}} to deal in the software without restriction including
+ without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom
+ the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+ [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without
+ warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+ noninfringement in no event shall {{1-}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising
+ from out of or in connection with the software or the use or other dealings in the software"""
+_ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
+ copyright notice and this permission notice appear in all copies the software is provided as is and {{1-}} disclaims all warranties with regard to this
+ software including all implied warranties of merchantability and fitness in no event shall {{1-}} be liable for any special direct indirect or
+ consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+ action arising out of or in connection with the use or performance of this software"""
+_APACHE_HEADER = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a
+ copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software
+ distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for
+ the specific language governing permissions and limitations under the license"""
+
+
+def _gnu(name: str, version: str) -> str:
+    """The notice that files under a licence of that family carry. The program's name before `is distributed` is one to four
+    words: a longer region there would take in altered wording of the option before it."""
+    return f"""is free software you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software
+ foundation [[either]] version {version} of the license [[or at your option any later version]] {{{{1-4}}}} is distributed in the hope that it will be useful
+ but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} public license for
+ more details"""
+
+
 TEMPLATES = {
-    "mit-notice": ["[[this {{0-3}} is]] [[released]] [[licensed]] under the [[terms of the]] mit license [[copyright {{0-12}}]]"],
-    "mit-text": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"],
+    "mit-notice": ["[[this {{0-}} is]] [[released]] [[licensed]] under the [[terms of the]] mit license"],
+    "mit-text": [_MIT_GRANT],
+    "bsd-2-clause-text": [f"{_BSD_2} {_AS_IS_HOLDERS}"],
+    "bsd-3-clause-text": [f"{_BSD_2} [[3]] [[c]] neither the name of {{{{1-}}}} nor the names of {{{{1-}}}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_AS_IS_HOLDERS}"],
+    "isc-text": [_ISC],
     "apache-2.0-notice": ["licensed under the apache license version 2 0 [[the license]]"],
+    "apache-2.0-header": [_APACHE_HEADER],
+    "gpl-2.0-notice": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2"],
     "gpl-3.0-notice": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3"],
-    "gpl-text": ["it under the terms of the gnu general public license as published by the free software foundation [[either]] version {{1-1}} of the license"],
-    "bsd-text": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "gpl-2.0-header": [_gnu("general", "2")],
+    "gpl-3.0-header": [_gnu("general", "3")],
+    "lgpl-2.1-header": [_gnu("lesser general", "2 1")],
+    "lgpl-3.0-header": [_gnu("lesser general", "3")],
+    "mpl-2.0-header": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"],
     "cc-by-nc-4.0-notice": ["licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0", "creative commons attribution noncommercial 4 0 [[international]]"],
-    "all-rights-reserved": ["copyright {{0-12}} all rights reserved"],
+    "all-rights-reserved": ["copyright {{0-}} all rights reserved"],
 }
 
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -43,30 +88,35 @@ class Automaton:
         self.next: list[dict[bytes | None, list[int]]] = [{}]
         self.skip: list[list[int]] = [[]]
         opened: list[int] = []
-        mandatory: list[bytes] = []
+        self.need: set[bytes] = set()
         now = 0
-        for part in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|[^\s\[\]{}]+", template):
+        for part in re.findall(r"\[\[|\]\]|\{\{\d+-\d*\}\}|[^\s\[\]{}]+", template):
             if part == "[[":
                 opened.append(now)
             elif part == "]]":
                 self.skip[opened.pop()].append(now)
             elif part.startswith("{{"):
-                least, most = map(int, part[2:-2].split("-"))
-                start = now
-                steps = [start]
-                for _ in range(most):
+                least, _, most = part[2:-2].partition("-")
+                steps = [now]
+                for _ in range(int(most or least)):
                     now = self._add(now, None)
                     steps.append(now)
-                for s in steps[least:-1]:
+                if not most:  # a state of its own that any word leads back to
+                    self.next.append({None: [len(self.next)]})
+                    self.skip.append([])
+                    self.skip[now].append(len(self.next) - 1)
+                    now = len(self.next) - 1
+                for s in steps[int(least) : -1] if most else ():
                     self.skip[s].append(now)
             else:
                 now = self._add(now, part.encode())
                 if not opened:
-                    mandatory.append(part.encode())
+                    self.need.add(part.encode())
         self.last = now
-        self.first = frozenset(w for s in self.closure({0}) for w in self.next[s] if w is not None)
-        self.key = max(mandatory, key=len)
-        if not self.first or any(None in self.next[s] for s in self.closure({0})):
+        begin = self.closure({0})
+        self.first = frozenset(w for s in begin for w in self.next[s] if w is not None)
+        self.key = max(self.need, key=lambda w: (len(w), w))
+        if not self.first or any(None in self.next[s] for s in begin) or self.last in begin:
             raise ValueError("a template begins with a word")
 
     def _add(self, state: int, word: bytes | None) -> int:
@@ -97,6 +147,30 @@ class Automaton:
             at += 1
 
 
+    def places(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(start, end) of accepted runs, each end with its earliest start. All places are followed side by side, so that a
+        replaceable region of any length costs no more than its states do."""
+        begin, out = self.closure({0}), []
+        live: dict[int, int] = {}
+        for at, w in enumerate(words):
+            if w in self.first:
+                for s in begin:
+                    live.setdefault(s, at)
+            if not live:
+                continue
+            after: dict[int, int] = {}
+            todo = [(t, start) for s, start in live.items() for k in (w, None) for t in self.next[s].get(k, ())]
+            while todo:
+                t, start = todo.pop()
+                if start < after.get(t, at + 1):
+                    after[t] = start
+                    todo += [(x, start) for x in self.skip[t]]
+            live = after
+            if self.last in live:
+                out.append((live[self.last], at + 1))
+        return out
+
+
 @lru_cache(maxsize=4)
 def automata(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[str, bool, Automaton]]:
     """(label, is base, automaton) of the base phrases and of the templates."""
@@ -105,30 +179,38 @@ def automata(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[s
 
 
 def scan_text(text: bytes, machines: list[tuple[str, bool, Automaton]]) -> tuple[int, list[tuple[int, int, str, bool]]]:
-    """The number of words and (start, end, label, is base) of every place where a template is accepted."""
+    """The number of words and (start, end, label, is base) of the places where a template is accepted; of those of one
+    template that are within each other, or differ in their start or end only, the longest."""
     folded, words = words_of(text)
-    live = [m for m in machines if m[2].key in folded]
     found = []
-    if live:
-        wanted = frozenset().union(*(m[2].first for m in live))
-        for at in [k for k, w in enumerate(words) if w in wanted]:
-            for label, base, a in live:
-                if words[at] in a.first and (end := a.match(words, at)) > at:
-                    found.append((at, end, label, base))
-    return len(words), found
+    have = None
+    for label, base, a in machines:
+        if a.key not in folded:
+            continue
+        have = have or set(words)
+        if not a.need <= have:
+            continue
+        last = (-1, -1)
+        for place in a.places(words):
+            if place[0] == last[0] and not base:
+                found.pop()
+            found.append((*place, label, base))
+            last = place
+    return len(words), sorted(found)
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """docs (without their text) with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base phrases are templates without regions. labels adds those of `templates` (TEMPLATES if none are given). score
-    is 1 where a template with full wording is accepted, 0.5 where a base phrase alone stands, else 0. A null text is
-    empty: no words, null first_word and last_word, empty labels.
+    is 1 where a template is accepted, all of its mandatory words in their order, 0.5 where a base phrase alone stands,
+    else 0. A null text is empty: no words, null first_word and last_word, empty labels. Columns of docs with the names of
+    new ones are replaced, others of any name stay.
     """
     bound_batches(docs.sparkSession)
     given = tuple((k, tuple(v)) for k, v in (TEMPLATES if templates is None else templates).items())
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    keep = docs.select(*[c for c in docs.columns if c not in new])
+    keep, called = set_aside(docs, (text,), new)
     rest = [c for c in keep.columns if c != text]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -144,7 +226,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] |
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [*rest, *new])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep.schema if f.name != text)
-    return keep.mapInArrow(run, f"{kinds}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return keep.mapInArrow(run, f"{kinds}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").toDF(*(called[c] for c in rest), *new)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

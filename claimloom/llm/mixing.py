@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import set_aside, stage
 
 #: Sources whose targets are broadcast.
 BROADCAST_SOURCES = 100_000
@@ -41,12 +41,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     The draw is the first 52 bits of md5(seed:doc_id:size), so reruns agree and repeated rows share a draw. A null
     text has size 0; null sources are one source; a source of size 0 has target and rate 0. Columns of docs with the
-    names of new ones are replaced. Only per-source totals are shuffled: one row for each source and task. The table of
+    names of new ones are replaced, others of any name stay. Only per-source totals are shuffled: one row for each source and task. The table of
     targets is written out and broadcast back if it has at most BROADCAST_SOURCES rows, so that texts stay where they
     are and a source may hold any share of them; with more sources than that it is joined by a shuffle.
     """
     new = ["size", "source_size", "target", "rate", "copies"]
-    d = docs.select(*[c for c in docs.columns if c not in new]).withColumn("size", n_words(text))
+    docs, called = set_aside(docs, (text, source, doc_id), new)
+    out = [c for c in docs.columns if keep_text or c != text]
+    d = docs.withColumn("size", n_words(text))
     if not keep_text:
         d = d.drop(text)
     sums = docs.select(F.col(source), n_words(text).alias("size")).groupBy(source).agg(F.sum("size").alias("source_size"))
@@ -54,7 +56,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     d = d.join(F.broadcast(t) if t.count() <= BROADCAST_SOURCES else t, d[source].eqNullSafe(t["_source"]), "left").drop("_source")
     d = d.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("size").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return d.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    d = d.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    return d.select(*out, *new).toDF(*(called[c] for c in out), *new)
 
 
 def emit(mixed: DataFrame, copy: str = "copy") -> DataFrame:

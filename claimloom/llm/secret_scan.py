@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_batches, stage
+from .common import bound_batches, set_aside, small_batches, stage
 
 # Kinds in the order in which spans of one start are listed, and their patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -38,6 +38,8 @@ MORE = [
 ]
 ANCHORS = {"pem": "-----BEGIN ", "github": "gh", "slack": "xox", "google": "AIza", "jwt": "eyJ"}
 BASE = ("assign", "access", "hex")
+#: More repositories than these hold only what is copied.
+MOST_REPOS = 20
 KINDS = (*BASE, *(k for k, _ in MORE), "live")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -83,9 +85,9 @@ _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("sto
 
 
 def scan(docs: DataFrame, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """docs with `found`: the candidates of each text, whose values are kept as 128-bit hashes only."""
+    """docs with `found`: the candidates of each text, whose values are kept as 128-bit hashes only. A null text has none."""
     bound_batches(docs.sparkSession)
-    keep = docs.select(*[c for c in docs.columns if c != "found"])
+    keep, called = set_aside(docs, (text,), ("found",))
     out = [c for c in keep.columns if not (drop_text and c == text)]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -94,7 +96,7 @@ def scan(docs: DataFrame, text: str = "text", drop_text: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), pa.array(rows, _FOUND)], [*out, "found"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep.schema if f.name in out)
-    return keep.mapInArrow(run, f"{kinds}found {FOUND}")
+    return keep.mapInArrow(run, f"{kinds}found {FOUND}").toDF(*(called[c] for c in out), "found")
 
 
 def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
@@ -107,35 +109,33 @@ def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def judged(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", most_owners: int = 1, drop_text: bool = False) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", most_owners: int = 1, most_repos: int = MOST_REPOS, drop_text: bool = False) -> DataFrame:
     """docs with `spans` array<struct<start, rank, kind, stop>> by start and kind, n_live and n_example.
 
-    A candidate value that more than most_owners owners hold is an example that people copy; one that stays with its
-    owner and looks drawn at random is live, and its value gets a span of kind `live` besides the candidate's own.
-    Without the texts, what a scan finds is small and written out, so that texts are scanned once.
-    Rows are numbered, so that repeated rows and ids stay apart; a null text has no spans. Rows without candidates,
-    nearly all, skip the join.
+    A candidate value is an example that people copy if more than most_owners owners or more than most_repos
+    repositories hold it. One that stays with its owner in a few repositories and looks drawn at random is live, and its
+    value gets a span of kind `live` besides the candidate's own. Texts are scanned once, into a written table with a
+    number for each row, so that repeated rows and ids stay apart; only what was found meets the counts, and of the texts
+    only those with candidates, a few, are shuffled, once each. A null text has no spans. Columns of docs called spans,
+    n_live, n_example or found are replaced, others of any name stay.
     """
-    names = [c for c in docs.columns if c not in ("spans", "n_live", "n_example", "found", "_row") and not (drop_text and c == text)]
-    found = scan(docs.select(*[c for c in docs.columns if c in names or c == text]), text, drop_text).withColumn("_row", F.monotonically_increasing_id())
-    if drop_text:
-        found = stage(found, "found")
-        owned = ownership(found, repo, owner)
-    else:
-        small = scan(docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.col(text).alias("text")), "text", True).where(F.size("found") > 0)
-        owned = ownership(stage(small, "found"), "repo", "owner")
+    keep, called = set_aside(docs, (text, repo, owner), ("spans", "n_live", "n_example", "found"))
+    names = [c for c in keep.columns if not (drop_text and c == text)]
+    found = stage(scan(keep, text, drop_text).withColumn("_row", F.monotonically_increasing_id()), "found")
+    hits = found.where(F.size("found") > 0)
+    owned = ownership(hits, repo, owner)
     kinds = F.array(*[F.lit(k) for k in KINDS])
     rank = lambda k: F.array_position(kinds, k).cast("int")
     span = lambda f, k, s, e: F.struct(f[s].alias("start"), rank(k).alias("rank"), k.alias("kind"), f[e].alias("stop"))
-    hits = found.where(F.size("found") > 0).select("_row", F.struct(*names).alias("_r"), F.explode("found").alias("f"))
-    hits = hits.join(owned, F.col("f.hash") == owned["hash"])
-    live = (F.col("n_owners") <= most_owners) & F.col("f.varied")
+    each = hits.select("_row", F.explode("found").alias("f")).join(owned, F.col("f.hash") == owned["hash"])
+    example = (F.col("n_owners") > most_owners) | (F.col("n_repos") > most_repos)
+    live = ~example & F.col("f.varied")
     f = F.col("f")
     both = F.when(live, F.array(span(f, f["kind"], "start", "stop"), span(f, F.lit("live"), "value_start", "value_stop"))).otherwise(F.array(span(f, f["kind"], "start", "stop")))
-    per = hits.groupBy("_row").agg(F.first("_r").alias("_r"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(both)))).alias("spans"), F.count_if(live).alias("n_live"), F.count_if(F.col("n_owners") > most_owners).alias("n_example"))
-    with_hits = per.select("_r.*", "spans", "n_live", "n_example")
+    per = each.groupBy("_row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(both)))).alias("spans"), F.count_if(live).alias("n_live"), F.count_if(example).alias("n_example"))
+    with_hits = hits.join(per, "_row").select(*names, "spans", "n_live", "n_example")
     none = found.where(F.size("found") == 0).select(*names, F.array().cast(with_hits.schema["spans"].dataType).alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
-    return none.union(with_hits)
+    return none.union(with_hits).toDF(*(called[c] for c in names), "spans", "n_live", "n_example")
 
 
 def _joined(spans) -> F.Column:
@@ -143,15 +143,18 @@ def _joined(spans) -> F.Column:
 
 
 def redact(judged_docs: DataFrame, text: str = "text", mask: str = "<secret>", n_chars: str | None = "n_chars") -> DataFrame:
-    """judged(...) rows whose text has `mask` in place of every span, overlapping ones together; its helper columns go."""
+    """judged(...) rows whose text has `mask` in place of every span, overlapping ones together; its helper columns go. A
+    null text stays null, whatever its spans."""
     bound_batches(judged_docs.sparkSession)
-    out = [c for c in judged_docs.columns if c not in ("spans", "n_live", "n_example")]
+    own = ("spans", "n_live", "n_example")
+    judged_docs, called = set_aside(judged_docs, (text, n_chars, *own))
+    out = [c for c in judged_docs.columns if c not in own]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, text):
             texts = []
             for t, spans in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True):
-                if spans:
+                if spans and t is not None:
                     parts, at = [], 0
                     for s in spans:
                         if s["start"] >= at:
@@ -168,7 +171,7 @@ def redact(judged_docs: DataFrame, text: str = "text", mask: str = "<secret>", n
     masked = dirty.mapInArrow(run, kinds)
     if n_chars in out:
         masked = masked.withColumn(n_chars, F.length(text).cast(judged_docs.schema[n_chars].dataType))
-    return clean.union(masked.select(*out))
+    return clean.union(masked.select(*out)).toDF(*(called[c] for c in out))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

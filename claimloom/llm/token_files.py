@@ -63,7 +63,7 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The codes of ids, most significant bit first, and the bit offset of every STEP-th id."""
+    """The codes of ids, most significant bit first, and the bit offset of every STEP-th id, in 64 bits where 32 don't hold them."""
     n = lengths[ids].astype(np.int64)
     end = np.cumsum(n)
     at = end - n
@@ -78,11 +78,18 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     words[word[first]] = np.bitwise_or.reduceat(part, first)
     cross = np.flatnonzero(~fits)
     words[word[cross] + 1] |= c[cross] << (64 - over[cross]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], at[::STEP].astype(np.uint32)
+    return words.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], at[::STEP].astype(np.uint32 if int(end[-1]) < 1 << 32 else np.uint64)
 
 
-def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """For every value of the next `longest` bits the id they begin with and its length."""
+def bits_for(n: int) -> int:
+    """The length limit for n different ids: LONGEST, or what they need if they are more than that many bits can tell apart."""
+    return max(LONGEST, (n - 1).bit_length() if n else 0)
+
+
+def decode_table(lengths: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For every value of the next `longest` bits (the longest code's, if not given, but LONGEST at least) the id they begin
+    with and its length."""
+    longest = longest or max(LONGEST, int(lengths.max(initial=0)))
     codes = canonical(lengths)
     symbol, size = np.zeros(1 << longest, dtype=np.uint32), np.ones(1 << longest, dtype=np.uint8)
     used = np.flatnonzero(lengths)
@@ -97,14 +104,15 @@ def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarra
 def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids of all blocks, one after another. Runs of STEP ids between checkpoints are decoded side by side."""
     symbol, size = table
+    longest = len(symbol).bit_length() - 1
     base = np.cumsum([0, *(len(p) for p in payloads)])[:-1]
     buf = np.frombuffer(b"".join(payloads) + bytes(2 * STEP + 8), dtype=np.uint8).astype(np.uint32)
-    three = (buf[:-2] << 16) | (buf[1:-1] << 8) | buf[2:]
+    four = (buf[:-3] << 24) | (buf[1:-2] << 16) | (buf[2:-1] << 8) | buf[3:]
     at = np.concatenate([c.astype(np.int64) + 8 * b for c, b in zip(checkpoints, base, strict=True)]) if payloads else np.zeros(0, np.int64)
     out = np.empty((len(at), STEP), dtype=np.uint32)
-    last = len(three) - 1
+    last, mask = len(four) - 1, (1 << longest) - 1
     for k in range(STEP):
-        look = (three[np.minimum(at >> 3, last)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        look = (four[np.minimum(at >> 3, last)] >> (32 - longest - (at & 7)).astype(np.uint32)) & mask
         out[:, k] = symbol[look]
         at += size[look]
     left = np.concatenate([np.minimum(STEP, n - np.arange(0, n, STEP)) for n in sizes]) if sizes else np.zeros(0, np.int64)
@@ -152,8 +160,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, text: str = "text
     got = rows.select("n", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(int(max(got.column("id").to_pylist(), default=-1)) + 1, dtype=np.int64)
     counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
-    longest = LONGEST
-    lengths = code_lengths(counts, longest)
+    lengths = code_lengths(counts, bits_for(int((counts > 0).sum())))
     codes = canonical(lengths)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": pa.array(used.astype(np.int32)), "bits": pa.array(lengths[used].astype(np.int32))})).coalesce(1).write.parquet(f"{path}/codes")
@@ -165,7 +172,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, text: str = "text
 
         def block() -> pa.RecordBatch:
             payload, marks = pack(_flat(raw, have), codes, lengths)
-            cols = [pa.array([shard], pa.int32()), pa.array([base], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([payload], pa.binary()), pa.array([marks.astype("<u4").tobytes()], pa.binary())]
+            cols = [pa.array([shard], pa.int32()), pa.array([base], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([payload], pa.binary()), pa.array([marks.astype(f"<u{marks.itemsize}").tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["shard", "base", "doc_ids", "doc_sizes", "payload", "checkpoints"])
 
         for b in small_batches(batches, "ids"):
@@ -187,7 +194,8 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, text: str = "text
 
 
 def read(spark, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids array<int>) of every document in files made by `write`.
+    """doc_id, start, n_tokens, ids_crc32 (and ids array<int>) of every document in files made by `write`; repeated and null
+    ids have a row each, as they were written.
 
     What the driver gets: the code lengths (one for each id) and the sizes of the shards (one for each file).
     """
@@ -205,7 +213,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
         table, starts = held.value
         for b in small_batches(batches, "payload", 4 << 20):
             sizes = b.column("doc_sizes").to_pylist()
-            ids = unpack(b.column("payload").to_pylist(), [np.frombuffer(x, dtype="<u4") for x in b.column("checkpoints").to_pylist()], [sum(x) for x in sizes], table)
+            ids = unpack(b.column("payload").to_pylist(), [np.frombuffer(x, dtype="<u4" if len(x) == 4 * -(-sum(z) // STEP) else "<u8") for x, z in zip(b.column("checkpoints").to_pylist(), sizes, strict=True)], [sum(x) for x in sizes], table)
             doc_ids = [d for x in b.column("doc_ids").to_pylist() for d in x]
             n = np.array([k for x in sizes for k in x], dtype=np.int64)
             begin = np.concatenate([starts[s] + at + np.cumsum([0, *x[:-1]]) for s, at, x in zip(b.column("shard").to_pylist(), b.column("base").to_pylist(), sizes, strict=True)])

@@ -16,6 +16,8 @@ from .common import bound_batches, stage
 CURVES, AXES, BITS = 4, 8, 7
 BLOCK = 4096
 SAMPLE = 64
+#: Queries that meet a block of points in one task at a time.
+ASKS = 2048
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -109,19 +111,27 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vecto
     projections, range-partitioned by curve and key; a query meets the points in a window around its place on each
     curve, and the k nearest by true distance over all curves stay. The window is the smallest (from least_window) that
     finds a share `target` of the true neighbours of `sample` query points, searched exhaustively: vectors without
-    structure get windows of much of the table, up to all of it. Rows with null vectors, null or non-finite
-    components, or only zeros take no part; nor do those whose length is not the most common one (ties: the smaller).
-    The vectors of the sample, one offset for each partition and curve, and the means are all that is broadcast.
+    structure get windows of much of the table, up to all of it. A block of points meets its queries in groups of about
+    ASKS, so that no task holds more than a group and a block. Rows with null ids, null vectors, null or non-finite
+    components, or only zeros take no part. Vectors of different lengths have no distance: each length is searched by
+    itself. The vectors of the sample, one offset for each partition and curve, and the means are all that is broadcast.
     """
     spark = rows.sparkSession
     bound_batches(spark)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     all_rows = usable(rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("query")).where(F.col("id").isNotNull()), "v")
-    top = all_rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if top is None:
-        return empty
-    dim = top.d
-    valid = stage(all_rows.where(F.size("v") == dim).withColumn("row", F.monotonically_increasing_id()).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "vectors")
+    valid = stage(all_rows.withColumn("row", F.monotonically_increasing_id()).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "vectors")
+    dims = [r.d for r in valid.groupBy(F.size("v").alias("d")).agg(F.count_if("query").alias("n")).where("n > 0").orderBy("d").collect()]
+    for k_dim, dim in enumerate(dims):
+        one = _search(valid if len(dims) == 1 else valid.where(F.size("v") == dim), dim, k, curves, target, least_window, sample)
+        out = one if k_dim == 0 else out.union(one)
+    return out
+
+
+def _search(valid: DataFrame, dim: int, k: int, curves: int, target: float, least_window: int, sample: int) -> DataFrame:
+    """search(...) among valid(id, v, query, row), whose vectors all have dim components."""
+    spark = valid.sparkSession
+    valid = valid.where(F.size("v") == dim)
     ranked = valid.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id", "row"))).where(F.col("n") <= k + 1)
     queries = valid.where("query").select("v").distinct().withColumn("asked", F.lit(True))
     points = ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("rows")).join(queries, "v", "left")
@@ -169,9 +179,11 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vecto
     window = max(least_window, _window(points, placed, k, target, sample))
 
     block = lambda c: F.floor(c / BLOCK)
-    right = placed.select("curve", block(F.col("place")).alias("block"), "place", "point", "low", "v")
+    asked = points.where("asked").count()
+    groups = max(1, -(-asked * min(2 * window + BLOCK, max(seen.values(), default=1)) // (max(seen.values(), default=1) * ASKS)))
+    right = placed.select("curve", block(F.col("place")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(int(groups) - 1))).alias("group"), "place", "point", "low", "v")
     last = F.lit(max(seen.values(), default=1) - 1)
-    asks = placed.where("asked").select(F.col("curve").alias("q_curve"), F.col("place").alias("q_place"), F.col("point").alias("ask"), F.col("v").alias("q_v"), F.explode(F.sequence(block(F.greatest(F.col("place") - window, F.lit(0))), block(F.least(F.col("place") + window, last)))).alias("q_block"))
+    asks = placed.where("asked").select(F.col("curve").alias("q_curve"), F.col("place").alias("q_place"), F.col("point").alias("ask"), F.pmod(F.xxhash64("point"), F.lit(int(groups))).cast("int").alias("q_group"), F.col("v").alias("q_v"), F.explode(F.sequence(block(F.greatest(F.col("place") - window, F.lit(0))), block(F.least(F.col("place") + window, last)))).alias("q_block"))
 
     def meet(key, left: pa.Table, table: pa.Table) -> pa.Table:
         if not left.num_rows or not table.num_rows:
@@ -188,7 +200,7 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vecto
             rows.append((np.full(len(keep), asked[i]), point[at[keep]], low[at[keep]], d[keep]))
         return pa.table({c: np.concatenate([r[j] for r in rows]) for j, c in enumerate(("ask", "point", "low", "score"))})
 
-    met = asks.groupBy("q_curve", "q_block").cogroup(right.groupBy("curve", "block")).applyInArrow(meet, "ask long, point long, low long, score double")
+    met = asks.groupBy("q_curve", "q_block", "q_group").cogroup(right.groupBy("curve", "block", "group")).applyInArrow(meet, "ask long, point long, low long, score double")
     best = met.dropDuplicates(["ask", "point"]).withColumn("n", F.row_number().over(W.partitionBy("ask").orderBy("score", "low", "point"))).where(F.col("n") <= k + 1)
     best = stage(best.select("ask", "point", "score"), "best")
     found = best.join(points.select("point", "rows"), "point").select("ask", "score", F.explode("rows").alias("r")).withColumn("n", F.row_number().over(W.partitionBy("ask").orderBy("score", "r.id", "r.row"))).where(F.col("n") <= k + 1)

@@ -263,3 +263,17 @@ def test_pairs_across_components_in_blocks(spark, monkeypatch):
             if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 top[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {k: find(k) for k in sets}
+
+
+def test_vectors_of_several_lengths_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(V, "ASKS", 3)
+    monkeypatch.setattr(V, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(2000)]
+    got = {}
+    for r in V.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, least_window=2000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(got) == 40
+    for q in got:
+        others = sorted((float(np.sqrt(((np.array(v) - np.array(rows[q][1])) ** 2).sum())), i) for i, v in rows if i != q and len(v) == len(rows[q][1]))[:10]
+        assert [(i, pytest.approx(s)) for s, i in others] == got[q]

@@ -117,7 +117,7 @@ def test_templates():
     assert labels("Licensed under the Apache Licence, Version 2.0") == set()
     assert labels("under the terms of the MIT license") == {"mit", "mit-notice"}
     assert labels("Copyright (c) 2020, 2021 Some Body. All rights reserved.") == {"all-rights-reserved"}
-    assert labels("copyright " + "w " * 13 + "all rights reserved") == set()
+    assert labels("copyright " + "w " * 13 + "all rights reserved") == {"all-rights-reserved"}  # a replaceable region of any length
     assert labels("mit mit license") == {"mit"}
 
 
@@ -274,3 +274,147 @@ def test_long_runs_are_spread_over_tasks(spark, lib):
 
 def test_tables_take_joins(spark, sf):
     assert T.op8(spark, sf).selectExpr("sum(n_joins) n").first().n > 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+GPL3 = """Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later version. Foo is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def template_labels(t):
+    return {x[2] for x in LS.scan_text(t.encode(), LS.automata(tuple((k, tuple(v)) for k, v in LS.TEMPLATES.items())))[1]} - set(LS.BASE.values())
+
+
+def test_whole_licences():
+    assert template_labels(MIT) == {"mit-text"}
+    assert template_labels(f"Some code. {MIT.replace('THE AUTHORS OR COPYRIGHT HOLDERS', 'some ' + 'body ' * 200)} More.") == {"mit-text"}
+    assert template_labels(GPL3) == {"gpl-3.0-header"} and template_labels(GPL3.replace("version 3", "version 2")) == {"gpl-2.0-header"}
+    assert template_labels(GPL3.replace("General", "Lesser General")) == {"lgpl-3.0-header"}
+    assert template_labels(ISC) == {"isc-text"}
+
+
+@pytest.mark.parametrize("text, old, new", [(MIT, "without restriction, including", "without restriction for evil only, including"), (MIT, "shall be included", "may be included"), (MIT, "free of charge", "for a charge"), (GPL3, "either version 3", "either version 4"), (GPL3, "any later version", "any version"), (ISC, "with or without fee", "with a fee")])
+def test_altered_wording_fails(text, old, new):
+    assert old in text and template_labels(text.replace(old, new)) == set()
+
+
+def test_altered_words_one_by_one():
+    words = LS.words_of(MIT.encode())[1]
+    need = LS.Automaton(LS.TEMPLATES["mit-text"][0])
+    start = words.index(b"permission")
+    skipped = 0
+    for k in range(start, len(words)):
+        changed = [*words[:k], b"zzz", *words[k + 1 :]]
+        skipped += bool(need.places(changed))
+    # only the words of the two replaceable regions may differ: "this ... files the software" and "the authors or copyright holders"
+    assert skipped == 8 + 5 and need.places(words) == [(start, len(words))]
+
+
+def test_unbounded_regions_against_expressions():
+    rng = random.Random(3)
+    a, p = LS.Automaton("a {{1-}} b [[c]] {{0-}} d"), re.compile(r"a( \w)+ b( c)?( \w)* d")
+    for _ in range(3000):
+        w = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
+        want = {}
+        for s in range(len(w)):
+            for e in range(s + 1, len(w) + 1):
+                if p.fullmatch(" ".join(w[s:e])):
+                    want.setdefault(e, s)
+        assert a.places([x.encode() for x in w]) == sorted(((s, e) for e, s in want.items()), key=lambda x: x[1])
+
+
+def test_repositories_and_owners_decide(spark):
+    one, many, two = "q7Zk29XwLm40Vbn8", "Zk29XwLm40Vbn8q7", "XwLm40Vbn8q7Zk29"
+    rows = [(1, "a", f"token={one} token={two}"), (2, "b", f"token={two}"), *((10 + k, "a", f"token={many}") for k in range(SS.MOST_REPOS + 1)), *((10 + k, "a", f"token={many}") for k in range(3))]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = SS.judged(d).collect()
+    of = {r.doc_id: (r.n_live, r.n_example) for r in got}
+    assert len(got) == len(rows) and of[1] == (1, 1) and of[2] == (0, 1) and of[10] == (0, 1)
+    fewer = {r.doc_id: (r.n_live, r.n_example) for r in SS.judged(d, most_repos=100).collect()}
+    assert fewer[10] == (1, 0)
+
+
+def test_live_spans_equal_plain_counts(spark, sf, docs):
+    holders, found = {}, {}
+    for d in docs:
+        found[d["doc_id"]] = SS.find(d["text"] or "")
+        for f in found[d["doc_id"]]:
+            repos, owners = holders.setdefault(f[3], (set(), set()))
+            repos.add(d["doc_id"])
+            owners.add(d["source"])
+    for r in SS.op3(spark, sf).collect():
+        want = []
+        for k, s, e, v, vs, ve in found[r.doc_id]:
+            want.append((s, SS.KINDS.index(k), f"{k}:{s}:{e}", e))
+            if len(holders[v][1]) <= 1 and len(holders[v][0]) <= SS.MOST_REPOS and SS.varied(v):
+                want.append((vs, SS.KINDS.index("live"), f"live:{vs}:{ve}", ve))
+        assert r.spans == ",".join(x[2] for x in sorted(set(want), key=lambda x: (x[0], x[1], x[3])))
+
+
+def test_codes_longer_than_sixteen_bits():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 50, 70_000)
+    lengths = TF.code_lengths(counts, TF.bits_for(70_000))
+    assert lengths.max() <= 17 and TF.bits_for(5) == TF.LONGEST
+    ids = rng.integers(0, 70_000, 5000)
+    payload, marks = TF.pack(ids, TF.canonical(lengths), lengths)
+    assert (TF.unpack([payload, payload], [marks, marks.astype(np.uint64)], [5000, 5000], TF.decode_table(lengths)) == np.r_[ids, ids]).all()
+
+
+def test_op9_tells_collisions_apart_by_row(spark, docs):
+    rows = [(r["doc_id"] // 2, r["text"]) for r in docs]  # repeated ids with different texts
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = FP.compared(d, bits=8).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0], x[1].encode()))
+    assert len(got) == len(rows)
+    of = {}
+    by_edit = {}
+    for k, (_, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        by_edit.setdefault(hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest(), []).append((t, t[: len(t) - half] + nxt[:half]))
+    for r in got:
+        edited = FP.canonical(by_edit[r.edited_sha256][0][1])
+        of.setdefault(edited, set()).add(r.edited_fingerprint)
+        own = {FP.canonical(t) for t, _ in by_edit[r.edited_sha256]}
+        if len(own) == 1:
+            of.setdefault(own.pop(), set()).add(r.fingerprint)
+        assert (r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint)
+    assert all(len(v) == 1 for v in of.values()) and len({x for v in of.values() for x in v}) == len(of)
+
+
+def test_very_long_texts_and_scripts(spark, docs):
+    d = spark.createDataFrame([(r["text"], r["lang"]) for r in docs] + [("Привет мир это текст", "ru"), ("Γειά σου κόσμε αυτό", "el"), ("สวัสดีชาวโลก", "th"), ("नमस्ते दुनिया", "hi")], "text string, lang string")
+    langs, probs = LI.train(d)
+    long = " ".join(r["text"] or "" for r in docs if r["lang"] == "fr").encode()
+    share, _ = LI.infer([long, "мир это мир".encode(), "σου κόσμε".encode(), "ชาวโลก".encode(), "दुनिया".encode()], probs, 4.0, 12)
+    assert [langs[k] for k in share.argmax(1)] == ["fr", "ru", "el", "th", "hi"]
+    some = [long, b"", "日本語".encode() * 400, b"abc"]
+    assert all(np.array_equal(x, y) for x, y in zip(LI.bags(some), LI.bags(some, 1000), strict=True))
+
+
+def test_operators_take_columns_of_any_name(spark):
+    names = ["_row", "_source", "_f", "_c", "_canon", "rank", "_at", "_leaf", "f", "repo", "owner", "hash", "a.b"]
+    d = spark.createDataFrame([(k, f"some text {k} token=q7Zk29XwLm40Vbn{k}", "s", *[k] * len(names)) for k in range(4)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for made in (SS.judged(d), SS.redact(SS.judged(d), n_chars=None), M.mix(d), FP.fingerprint(d), FP.fingerprint(d, bits=8), LS.scan(d), LI.identify(d, *LI.train(d.withColumn("lang", d.source))), T.round_trip(d, T.vocabulary()), T.encode(d, T.vocabulary())):
+        got = made.collect()
+        assert len(got) == 4 and all(r[n] == r["doc_id"] for r in got for n in names)
