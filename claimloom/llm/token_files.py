@@ -17,6 +17,8 @@ from .tokens import Bpe, map_ids, vocabulary
 LONGEST = 16
 BLOCK_IDS = 1 << 16
 STEP = 64
+#: Bytes of a text beyond which several tasks encode it; below, dealing out its leaves costs more than it spares.
+LONG_TEXT = 1 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -128,7 +130,7 @@ def token_rows(docs: DataFrame, vocab: str, end_id: int, text: str, doc_id: str)
         return [pa.array([len(x) + 1 for x in got], pa.int64()), pa.array([x.astype(kind).tobytes() + tail for x in got], pa.binary())]
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_ids(rows, vocab, "text", ["doc_id"], "n long, ids binary", make)
+    return map_ids(rows, vocab, "text", ["doc_id"], "n long, ids binary", make, over=LONG_TEXT)
 
 
 def _flat(raw: list[bytes], n: int) -> np.ndarray:

@@ -332,10 +332,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def map_ids(docs: DataFrame, path: str, text: str, rest: list[str], fields: str, make: Callable, most: int = CACHE) -> DataFrame:
+def map_ids(docs: DataFrame, path: str, text: str, rest: list[str], fields: str, make: Callable, most: int = CACHE, over: int = LEAF) -> DataFrame:
     """Columns `rest` of docs and those that make(codec, ids of each text, joins of each text) gives, of types `fields`.
 
-    Texts of up to a leaf are encoded where they are. Longer ones become a row for each leaf; these are dealt out and
+    Texts of up to `over` bytes, a leaf or more, are encoded where they are. Longer ones become a row for each leaf; these are dealt out and
     encoded, then come together again by text, in order, to be joined. Repeated rows stay apart by a row number.
     """
     bound_batches(docs.sparkSession)
@@ -388,8 +388,8 @@ def map_ids(docs: DataFrame, path: str, text: str, rest: list[str], fields: str,
 
     size = F.coalesce(F.octet_length(text), F.lit(0))
     need = list(dict.fromkeys([*rest, text]))
-    direct = docs.where(size <= LEAF).select(*need).mapInArrow(short, f"{kinds}{fields}")
-    cuts = docs.where(size > LEAF).select(*need).withColumn("_row", F.monotonically_increasing_id())
+    direct = docs.where(size <= over).select(*need).mapInArrow(short, f"{kinds}{fields}")
+    cuts = docs.where(size > over).select(*need).withColumn("_row", F.monotonically_increasing_id())
     inner = f"{kinds}_row long, _at int, _segment int, _kind int, _leaf binary"
     done = cuts.mapInArrow(cut, inner).repartition("_row", "_at").mapInArrow(leaves, f"{inner}, _ids binary")
     joined = done.repartition("_row").sortWithinPartitions("_row", "_at").mapInArrow(join, f"{kinds}{fields}")

@@ -418,3 +418,11 @@ def test_operators_take_columns_of_any_name(spark):
     for made in (SS.judged(d), SS.redact(SS.judged(d), n_chars=None), M.mix(d), FP.fingerprint(d), FP.fingerprint(d, bits=8), LS.scan(d), LI.identify(d, *LI.train(d.withColumn("lang", d.source))), T.round_trip(d, T.vocabulary()), T.encode(d, T.vocabulary())):
         got = made.collect()
         assert len(got) == 4 and all(r[n] == r["doc_id"] for r in got for n in names)
+
+
+def test_token_files_of_long_texts(spark, lib, monkeypatch, tmp_path):
+    monkeypatch.setattr(TF, "LONG_TEXT", T.LEAF)
+    texts = ["word " * 30000, None, "日本語" * 20000, "a b"]
+    TF.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "t"), T.vocabulary(), 2)
+    got = {r.doc_id: r.ids for r in TF.read(spark, str(tmp_path / "t"), with_ids=True).collect()}
+    assert got == {k: [*lib.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
