@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import clamp, col
+from .text import clamp, col, stripped
 
 # Names of verdicts and plain-text cues, later ones winning.
 SUPPORT = ["support", "supported", "supported_by_evidence", "true", "verified", "verifies", "entails", "entailment", "likely_true"]
@@ -17,6 +17,25 @@ CUES = [
     (r"(?:not\s+supported|does\s+not\s+support|not\s+true|incorrect)", "refute"),
     (r"(?:cannot\s+verify|can['’]t\s+verify)", "neutral"),
 ]
+#: Cues anywhere in a text, also of other languages, where none of the words above is found; the first that is found decides.
+LENIENT = {
+    "support": [
+        "correct", "yes", "supported by evidence", "claim is true", "सही", "सत्य", "உண்மை", "நிரூபிக்கப்பட்டது", "నిజం", "సరైనది", "ಸತ್ಯ", "ಸರಿಯಾಗಿದೆ", "സത്യം", "ശരി",
+    ],
+    "refute": [
+        "incorrect", "wrong", "no", "claim is false", "गलत", "असत्य", "தவறு", "பொய்", "తప్పు", "అబద్ధం", "ತಪ್ಪು", "ಸುಳ್ಳು", "തെറ്റ്", "അസത്യ",
+    ],
+    "neutral": [
+        "cannot verify", "not enough", "insufficient", "unclear", "unknown", "अनिश्चित", "पर्याप्त प्रमाण नहीं", "தெரியவில்லை", "போதுமான ஆதாரம் இல்லை", "సరిపడ ఆధారాలు లేవు",
+        "ಅಪರ್ಯಾಪ್ತ ಸಾಕ್ಷಿ", "മതിയായ തെളിവില്ല",
+    ],
+}
+# Patterns of keyed values, whose matches results depend on: a key's value, its confidence and reason, and those in plain text.
+KEYED = r"(?i)[\"']?{}[\"']?\s*[:=]\s*[\"']?([a-zA-Z_ -]+)"
+KEYED_CONFIDENCE = r"(?i)[\"']?confidence[\"']?\s*[:=]\s*[\"']?([0-9]{1,3}(?:\.[0-9]+)?%?)"
+KEYED_REASON = r"(?is)[\"']?(?:reason|rationale|explanation)[\"']?\s*[:=]\s*[\"']?(.+)"
+PLAIN_CONFIDENCE, PLAIN_PERCENT = r"confidence[^0-9]*([01](?:\.\d+)?)", r"([0-9]{1,3}(?:\.\d+)?)\s*%"
+PLAIN_REASON = r"(?is)reason[^:]*:\s*(.+)"
 KEYS = ["verdict", "label", "classification", "decision", "result"]
 _B, _E = r"(?:^|[^a-z0-9_])", r"(?:$|[^a-z0-9_])"
 
@@ -34,8 +53,10 @@ def verdict_name(c: Column) -> Column:
 
 
 def plain_verdict(c: Column) -> Column:
-    """What the last matching cue says, null without any."""
+    """What the last matching cue says; without any, the kind whose first lenient cue occurs, in their order; else null."""
     low, out = F.lower(c), F.lit(None).cast("string")
+    for name, cues in reversed(LENIENT.items()):
+        out = F.when(low.rlike("|".join(cues)), name).otherwise(out)
     for pattern, name in CUES:
         out = F.when(low.rlike(_B + pattern + _E), name).otherwise(out)
     return out
@@ -49,25 +70,31 @@ def _number(raw: Column) -> Column:
 def verifier_answer(c: Column | str) -> Column:
     """struct(verdict, confidence, reason) of strict JSON, of the {...} in a text, of keyed values, or of plain words.
 
-    verdict is null where nothing is recognised; confidence defaults to 0.5, reason to the text's first 600 characters.
+    verdict is null where nothing is recognised. confidence defaults to 0.5; that of plain words is a number after the
+    word, or else the first percentage. reason is what follows its key, or the text's first 600 characters.
     """
     raw = unfenced(c)
     kind = "verdict string, label string, confidence string, reason string"
     inner = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
     whole = F.coalesce(F.when(F.from_json(raw, kind)["verdict"].isNotNull(), F.from_json(raw, kind)), F.when(F.from_json(inner, kind)["verdict"].isNotNull(), F.from_json(inner, kind)))
-    keyed = F.coalesce(*[F.when((x := F.regexp_extract(raw, rf"(?i)[\"']?{k}[\"']?\s*[:=]\s*[\"']?([a-zA-Z_ -]+)", 1)) != "", verdict_name(x)) for k in KEYS])
-    conf = F.regexp_extract(raw, r"(?i)[\"']?confidence[\"']?\s*[:=]\s*[\"']?([0-9]{1,3}(?:\.[0-9]+)?%?)", 1)
-    percent = F.regexp_extract(raw, r"([0-9]{1,3}(?:\.\d+)?)\s*%", 1)
-    loose = F.coalesce(F.when(conf != "", _number(conf)), F.when(keyed.isNull() & (percent != ""), percent.try_cast("double") / 100), F.lit(0.5))
-    why = F.regexp_extract(raw, r"(?is)[\"']?(?:reason|rationale|explanation)[\"']?\s*[:=]\s*[\"']?(.+)", 1)
-    reason = F.substring(F.when(why != "", F.regexp_replace(why, r"[\"',}\s]+$", "")).otherwise(raw), 1, 600)
+    keyed = F.coalesce(*[F.when((x := F.regexp_extract(raw, KEYED.format(k), 1)) != "", verdict_name(x)) for k in KEYS])
+    got = lambda text, pattern: F.when((x := F.regexp_extract(text, pattern, 1)) != "", x)
+    low = F.lower(raw)
+    plain = F.coalesce(got(low, PLAIN_CONFIDENCE).try_cast("double"), got(low, PLAIN_PERCENT).try_cast("double") / 100)
+    confidence = F.coalesce(F.when(keyed.isNotNull(), _number(got(raw, KEYED_CONFIDENCE))).otherwise(plain), F.lit(0.5))
+    why = F.when(keyed.isNotNull(), stripped_of_marks(got(raw, KEYED_REASON))).otherwise(stripped(got(raw, PLAIN_REASON)))
     return F.struct(
         F.when(whole.isNotNull(), verdict_name(whole["verdict"])).otherwise(F.coalesce(keyed, plain_verdict(raw))).alias("verdict"),
-        F.when(whole.isNotNull(), F.coalesce(_number(whole["confidence"]), F.lit(0.5))).otherwise(loose).alias("confidence"),
-        F.when(whole.isNotNull(), F.coalesce(whole["reason"], F.lit(""))).otherwise(reason).alias("reason"),
+        F.when(whole.isNotNull(), F.coalesce(_number(whole["confidence"]), F.lit(0.5))).otherwise(confidence).alias("confidence"),
+        F.when(whole.isNotNull(), F.coalesce(whole["reason"], F.lit(""))).otherwise(F.substring(F.coalesce(why, raw), 1, 600)).alias("reason"),
     )
 
 
+def stripped_of_marks(c: Column) -> Column:
+    """Without white space, then without quotes, commas, closing braces and blanks, at both ends."""
+    return F.regexp_replace(stripped(c), r'^[",} ]+|[",} ]+\z', "")
+
+
 def closed_json(c: Column | str) -> Column:
     """JSON cut off at its end, with an open string and open brackets closed."""
     t = F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s*```$", ""))

@@ -14,6 +14,14 @@ STOPWORDS = (
     "through during before after above below between out off over under again further then once here there when where why how all both each few more most "
     "other some such no nor not only own same so than too very just because but and or if while that this these those it its"
 ).split()
+#: What search keywords leave out.
+KEYWORD_STOPWORDS = (
+    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at by from "
+    "as into through during before after above below between out off over under again further then once here there when where why how all both each few more most "
+    "other some such no nor not only own same so than too very just because but and or if while that this these those it its"
+).split()
+#: White space in all scripts.
+SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 BOILERPLATE = ["cookie", "privacy policy", "terms of service", "subscribe", "newsletter", "sign in", "advertisement", "all rights reserved", "javascript", "enable cookies", "accept all"]
 TOKEN = r"([A-Za-zऀ-ൿ]{3,})"
 SCRIPTS = {"te": r"[ఀ-౿]", "ta": r"[஀-௿]", "kn": r"[ಀ-೿]", "ml": r"[ഀ-ൿ]", "hi": r"[ऀ-ॿ]"}
@@ -50,7 +58,7 @@ def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), SPACE + "+", " "))
 
 
 def norm_key(c: Column | str) -> Column:
@@ -119,11 +127,12 @@ def first_date(c: Column | str) -> Column:
     return F.coalesce(*[extract(c, p) for p in DATE_PATTERNS], F.lit(""))
 
 
-NUMERIC = "(?i)" + LEFT + rf"(\d[\d,]*(?:\.\d+)?(?:\s?(?:{UNITS}))?)" + RIGHT
+NUMERIC = rf"\b(\d[\d,]*(?:\.\d+)?(?:\s?(?:{UNITS}))?)\b"
 
 
 def numeric_claim(c: Column | str) -> Column:
-    return F.coalesce(F.trim(extract(c, NUMERIC)), F.lit(""))
+    """The first number with its unit. It ends at a word's edge, so that a % counts only before a letter or digit."""
+    return F.coalesce(F.trim(extract(c, "(?iU)" + NUMERIC)), F.lit(""))
 
 
 TEXT_DATES = [
@@ -186,8 +195,8 @@ def language_ok(c: Column | str, lang: Column | str) -> Column:
 
 
 def clean_claim(c: Column | str) -> Column:
-    """Zero-width characters dropped, white space collapsed. Quotes stay as they are."""
-    return collapse(F.regexp_replace(F.coalesce(col(c), F.lit("")), "[​-‍﻿]", ""))
+    """White space collapsed, then zero-width characters dropped. Quotes stay as they are."""
+    return F.regexp_replace(collapse(c), "[​-‍﻿]", "")
 
 
 def ocr_clean(c: Column | str) -> Column:
@@ -198,14 +207,16 @@ def ocr_clean(c: Column | str) -> Column:
 
 
 def to_question(c: Column | str) -> Column:
-    t = collapse(c)
-    body = F.regexp_replace(t, r"[.!?]+$", "")
-    return F.when(t == "", "").when(F.endswith(t, F.lit("?")), t).otherwise(F.concat(F.lit("Is it true that "), body, F.lit("?")))
+    """A claim that ends in a question mark as it is, another without the space and marks at its end, asked for; as it is where
+    nothing else is left."""
+    t = F.coalesce(col(c), F.lit(""))
+    body = F.regexp_replace(F.regexp_replace(t, SPACE + r"+\z", ""), r"[.!;:]+\z", "")
+    return F.when(F.endswith(t, F.lit("?")) | (body == ""), t).otherwise(F.concat(F.lit("Is it true that "), body, F.lit("?")))
 
 
 def keywords(c: Column | str, most: int = 10) -> Column:
-    """The first ten words that are no stop words, have two characters and begin with a letter or digit, joined."""
-    ok = F.filter(words(c), lambda w: (~w.isin(*STOPWORDS)) & (F.length(w) > 1) & w.rlike(r"^[\p{L}\p{N}]"))
+    """The first ten words, in their case, that are no stop words, have two characters and begin with a letter or digit, joined."""
+    ok = F.filter(F.split(collapse(c), " "), lambda w: (~F.lower(w).isin(*KEYWORD_STOPWORDS)) & (F.length(w) > 1) & w.rlike(r"^[\p{L}\p{N}]"))
     return F.array_join(F.slice(ok, 1, most), " ")
 
 
@@ -235,10 +246,6 @@ def numeric_id(c: Column | str) -> Column:
     return F.regexp_extract(F.coalesce(col(c).cast("string"), F.lit("")), r"(\d+)$", 1).try_cast("bigint")
 
 
-def strip_fences(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"```(?:json|JSON)?", ""))
-
-
 def fact_span(text: Column | str, claim_tokens: Column) -> Column:
     """Sentences that share a token with the claim, or have a date or number, until over 700 characters; at most 900.
 
@@ -257,11 +264,50 @@ def snippets(items: Column, most: int = 320) -> Column:
 
 
 def sentences(c: Column | str) -> Column:
-    """Sentence pieces over several scripts: bullets and bars end a sentence, decimals do not."""
-    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s*[•●▪|]\s*", ". ")
-    t = F.regexp_replace(t, r"(\d)\.(\d)", "$1\u0001$2")
-    parts = F.split(t, r"\n+|(?<=[.!?।;:])\s+")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit("\u0001"), F.lit(".")))), lambda x: x != "")
+    """Sentence pieces over several scripts: line breaks, end marks, colons and semicolons before white space, bullets and bars
+    end a sentence; full stops of East Asian texts and double bars count as a danda."""
+    t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[|]+|[•‣▪]+", ". ")
+    t = F.regexp_replace(t, "[。॥]+", "। ")
+    parts = F.split(t, r"\n+|(?<=[.!?।;:])" + SPACE + "+")
+    return F.filter(F.transform(parts, lambda x: stripped(x)), lambda x: x != "")
+
+
+def stripped(c: Column | str, also: str = "") -> Column:
+    """Without white space and the characters `also` (of a character class) at both ends."""
+    edge = f"[{SPACE[1:-1]}{also}]+"
+    return F.regexp_replace(col(c), rf"^{edge}|{edge}\z", "")
+
+
+# Beginnings that are no sentences, cues of sentences and of facts, and what recognition leaves at a line's start.
+NOT_SENTENCE = r"^(?:figure|fig\.|table|chart|source|note|page|section)\b"
+SENTENCE_VERBS = "is are was were has have had will can caused causes lead leads resulted result reported shows showed indicates indicated specifies states includes".split()
+FACT_VERBS = "is are was were has have had includes include specifies states reported caused occurred recorded announced killed affected".split()
+OCR_PREFIX = r"(?i)^(?:py\)|@o\d+|ocr|ai)\s*[:\-)]?\s*"
+SENTENCE_LETTERS = r"[A-Za-z\u0900-\u097F\u0B80-\u0BFF\u0C00-\u0CFF\u0D00-\u0D7F]"
+
+
+def sentence_like(c: Column | str) -> Column:
+    """Not the line of a figure, table or source, and with an end mark, a verb cue, or a comma, colon or semicolon."""
+    t = stripped(c)
+    low = F.lower(t)
+    verbs = F.arrays_overlap(F.regexp_extract_all(low, F.lit("([A-Za-z']+)"), F.lit(1)), F.array(*[F.lit(v) for v in SENTENCE_VERBS]))
+    return (t != "") & ~low.rlike("(?U)" + NOT_SENTENCE) & (t.rlike(r"[.!?।]\z") | verbs | t.rlike("[,:;]"))
+
+
+def verifiable(c: Column | str) -> Column:
+    """With a number of up to four digits, a sign of money or percent, a verb of facts anywhere, or a capitalised word."""
+    low = F.lower(col(c))
+    verb = reduce(lambda x, v: x | F.contains(low, F.lit(v)), FACT_VERBS, F.lit(False))
+    return col(c).rlike(r"(?U)\b\d{1,4}\b|%|₹|\$") | verb | col(c).rlike(r"(?U)\b[A-Z][a-z]+\b")
+
+
+def claim_sentences(c: Column | str) -> Column:
+    """Sentences of a document for claims: dotted abbreviations hold together, bullets, dashes and what recognition left at
+    the start go."""
+    t = collapse(F.regexp_replace(col(c), r"(?U)\b([A-Za-z])\.\s+([A-Za-z])\.\b", "$1.$2."))
+    t = F.regexp_replace(t, r"(?U)\b((?:[A-Za-z]\.){2,})", "$1\u0001")
+    clean = lambda x: stripped(F.regexp_replace(F.replace(stripped(x, r"\-–—•*"), F.lit("\u0001"), F.lit("")), OCR_PREFIX, ""))
+    return F.filter(F.transform(sentences(t), clean), lambda x: x != "")
 
 
 def repaired(c: Column | str) -> Column:

@@ -10,7 +10,9 @@ from ..functions.text import LEFT, RIGHT, SCRIPTS, words
 from ..functions.urls import has_any
 from ..functions.values import OPINION
 
-BASELINE_SOURCES = ["web_search:generic", "structured_api:wikipedia", "structured_api:wikidata"]
+# Sources that every route ends with, and the order of kinds of sources.
+BASELINE_SOURCES = ["structured_api:wikipedia", "web_search:general", "scraping:general"]
+PRIORITY = ["structured_api", "web_search", "scraping"]
 
 
 def checkability(claim: str, lang: str, bypass: tuple[str, ...] = (), min_words: int = 6, opinion=OPINION, model: Column | None = None) -> Column:
@@ -80,8 +82,9 @@ def overridden(rows: DataFrame, text: str, rules=OVERRIDES) -> DataFrame:
 
 
 def route(rows: DataFrame, table: DataFrame, level1: str = "level1", level2: str = "level2", general: str = "GENERAL_FACTUAL", baseline: list[str] | None = None) -> DataFrame:
-    """rows with `sources`, ordered and distinct: those of (level1, level2), else of (level1, _default), else of the general
-    topic; the baseline ones follow. table: level1, level2, pos, source, a small dimension."""
+    """rows with `sources`, distinct: those of (level1, level2), else of (level1, _default), else of the general topic; the
+    baseline ones follow. Kinds come in the order of PRIORITY, others last, each in that order. table: level1, level2, pos,
+    source, a small dimension."""
     dim = table.groupBy("level1", "level2").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]).alias("s"))
     at = lambda a, b, name: dim.select(F.col("level1").alias(a), F.col("level2").alias(b), F.col("s").alias(name))
     r = rows.join(at("_a", "_b", "_s1"), (F.col(level1) == F.col("_a")) & (F.col(level2) == F.col("_b")), "left").drop("_a", "_b")
@@ -91,7 +94,13 @@ def route(rows: DataFrame, table: DataFrame, level1: str = "level1", level2: str
     r = r.crossJoin(F.broadcast(g.union(rows.sparkSession.sql("SELECT cast(array() AS array<string>)")).limit(1)))
     own = F.coalesce("_s1", "_s2", "_s3")
     base = F.array(*[F.lit(x) for x in (BASELINE_SOURCES if baseline is None else baseline)])
-    return r.withColumn("sources", F.array_union(own, base)).drop("_s1", "_s2", "_s3")
+    return r.withColumn("sources", by_priority(F.array_union(own, base))).drop("_s1", "_s2", "_s3")
+
+
+def by_priority(sources: Column) -> Column:
+    kinds = F.array(*[F.lit(k) for k in PRIORITY])
+    place = lambda x: F.when(F.array_position(kinds, F.split(x, ":")[0]) > 0, F.array_position(kinds, F.split(x, ":")[0])).otherwise(len(PRIORITY) + 1)
+    return F.transform(F.array_sort(F.transform(sources, lambda x, i: F.struct(place(x).alias("k"), i.alias("i"), x.alias("x")))), lambda y: y["x"])
 
 
 def image_claim(c: Column | str) -> Column:

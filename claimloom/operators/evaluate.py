@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Quantiles at which distinct scores are parted.
+PARTS = 256
+
 
 def ratio(n: Column, of: Column) -> Column:
     return F.when(of > 0, n / of).otherwise(0.0)
@@ -94,12 +97,19 @@ def class_metrics(rows: DataFrame, expected: str, predicted: str, by: list[str]
 def ranking_metrics(rows: DataFrame, score: str, label: str) -> DataFrame:
     """roc_auc (ties count half) and average_precision, from counts per distinct score.
 
-    Only the table of distinct scores is ordered as a whole; rows are summed into it first.
+    Rows are summed into distinct scores first. These are parted at quantiles; sums run within a part, and what lies above
+    it comes from the parts' totals, so that no task orders all of them.
     """
     per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    w = W.orderBy(F.desc("s"))
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    r = per.withColumn("tp", F.sum("pos").over(upto)).withColumn("fp", F.sum("neg").over(upto))
+    bounds = sorted(set(rows.approxQuantile(score, [k / PARTS for k in range(1, PARTS)], 0.5 / PARTS)))
+    part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x < F.col("s"))) if bounds else F.lit(0)
+    per = per.withColumn("part", part)
+    totals = per.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    over = W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)  # PARTS rows at most
+    totals = totals.select("part", F.coalesce(F.sum("p").over(over), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n"))
+    upto = W.partitionBy("part").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    r = per.withColumn("tp", F.sum("pos").over(upto)).withColumn("fp", F.sum("neg").over(upto)).join(F.broadcast(totals), "part")
+    r = r.withColumn("tp", F.col("tp") + F.col("p")).withColumn("fp", F.col("fp") + F.col("n"))
     p, n = F.sum("pos"), F.sum("neg")
     above = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") * 0.5))
     ap = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))

@@ -137,6 +137,8 @@ def distinct_claims(rows: DataFrame, by: str, pos: str, text: str = "sentence",
     def order(f: pd.DataFrame) -> list[int]:
         kept, tokens, keys = [], [], set()
         for i, s in enumerate(f[text].fillna("")):
+            if len(kept) >= most:
+                break
             key = " ".join(s.lower().split())
             t = set(_CLAIM_TOKENS.findall(key))
             if key in keys or any(len(t & o) / (len(t | o) or 1) >= at_least for o in tokens):
@@ -144,7 +146,7 @@ def distinct_claims(rows: DataFrame, by: str, pos: str, text: str = "sentence",
             keys.add(key)
             tokens.append(t)
             kept.append(i)
-        return kept[:most]
+        return kept
 
     return _per_group(rows, by, pos, order)
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, clamp, norm_key, token_set, word_set
+from ..functions.text import STOPWORDS, clamp, entity, fact_span, first_date, norm_key, numeric_claim, overlap_ratio, token_set, word_set
 from ..functions.urls import has_any, host, in_domains
 from ..functions.values import CREDIBILITY, DISCUSSION, HALF_LIFE, HIGH_TRUST, LOW_TRUST, NEUTRAL_CUES, POLARITY_REFUTE, POLARITY_SUPPORT, REFUTE_CUES, SUPPORT_CUES
 
@@ -167,21 +167,43 @@ def scrape_quality(score: Column, text: Column, title: Column, overlap: Column,
     return score + F.least(F.length(text), F.lit(4000)) / 4000.0 + F.when(F.coalesce(title, F.lit("")) != "", 0.05).otherwise(0.0) + overlap * 0.8 - boilerplate * penalty
 
 
-def structured_quality(span: Column, entity: Column, date: Column, numeric: Column) -> Column:
-    """What was extracted from a scraped row: fact span, entity, date, number."""
+def structured_quality(overlap: Column, date: Column, numeric: Column, entity: Column) -> Column:
+    """0.55 of the share of the claim's words, 0.20 for a date, 0.15 for a number, 0.10 for a name."""
     part = lambda c, w: F.when(F.coalesce(c, F.lit("")) != "", w).otherwise(0.0)
-    return clamp(part(span, 0.55) + part(entity, 0.20) + part(date, 0.15) + part(numeric, 0.10))
+    return clamp(F.coalesce(overlap, F.lit(0.0)) * 0.55 + part(date, 0.20) + part(numeric, 0.15) + part(entity, 0.10))
+
+
+def enriched(rows: DataFrame, claim: str = "claim", text: str = "text", least: float = 0.62, span_chars: int = 60) -> DataFrame:
+    """Scraped rows with fact_span, entity, date, numeric_claim, scrape_struct_quality and structured_from_scrape, found in the
+    span of facts or else in the text; a span of 60 characters takes the text's place. Rows without text stay as they are,
+    with nulls."""
+    t, c = F.trim(F.coalesce(text, F.lit(""))), token_set(claim)
+    r = rows.withColumn("fact_span", F.when(t != "", fact_span(t, c)))
+    of = F.when(F.col("fact_span") != "", F.col("fact_span")).otherwise(t)
+    r = r.withColumns({"entity": F.when(t != "", entity(of)), "date": F.when(t != "", first_date(of)), "numeric_claim": F.when(t != "", numeric_claim(of)), "_overlap": overlap_ratio(token_set(of), c)})
+    r = r.withColumn("scrape_struct_quality", F.when(t != "", structured_quality(F.col("_overlap"), F.col("date"), F.col("numeric_claim"), F.col("entity"))))
+    r = r.withColumn("structured_from_scrape", F.col("scrape_struct_quality") >= least).drop("_overlap")
+    return r.withColumn(text, F.when(F.length("fact_span") >= span_chars, F.col("fact_span")).otherwise(F.col(text)))
+
+
+# Hosts by prior, words of hosts that raise a candidate, and the words that mark claims and headings.
+PRIOR_HOSTS = [
+    (["gov", "nic.in", "who.int", "worldbank.org", "un.org", "nasa.gov", "wikipedia.org"], 0.95),
+    (["reuters.com", "bbc.com", "apnews.com"], 0.90),
+    (["arxiv.org", "nature.com", "science.org"], 0.88),
+    (["medium.com", "blog", "wordpress"], 0.55),
+]
+RAISED_HOSTS = ["gov", "who.int", "worldbank", "wikipedia", "reuters", "bbc"]
+REPORT_WORDS = ["according to", "reported", "states"]
+IMPACT_WORDS = ["killed", "affected", "flooding", "struck", "surge", "deaths", "injured", "displaced"]
+HEADING_WORDS = ["introduction", "figure:", "table:", "contents", "environmental impact assessment"]
 
 
 def domain_prior(h: Column) -> Column:
-    return (
-        F.when(h == "", 0.5)
-        .when(has_any(h, ["gov", "nic.in", "who.int", "worldbank.org", "un.org", "nasa.gov", "wikipedia.org"]), 0.95)
-        .when(has_any(h, ["reuters.com", "bbc.com", "apnews.com"]), 0.90)
-        .when(has_any(h, ["arxiv.org", "nature.com", "science.org"]), 0.88)
-        .when(has_any(h, ["medium.com", "blog", "wordpress"]), 0.55)
-        .otherwise(0.70)
-    )
+    out = F.when(h == "", 0.5)
+    for hosts, prior in PRIOR_HOSTS:
+        out = out.when(has_any(h, hosts), prior)
+    return out.otherwise(0.70)
 
 
 def prescore(query_tokens: Column, text_tokens: Column) -> Column:
@@ -190,7 +212,7 @@ def prescore(query_tokens: Column, text_tokens: Column) -> Column:
 
 
 def candidate_score(lexical: Column, h: Column, score: Column) -> Column:
-    bonus = F.when(has_any(h, ["gov", "who.int", "worldbank", "wikipedia", "reuters", "bbc"]), 0.06).otherwise(0.0)
+    bonus = F.when(has_any(h, RAISED_HOSTS), 0.06).otherwise(0.0)
     return clamp(lexical * 0.45 + domain_prior(h) * 0.35 + F.coalesce(score, F.lit(0.5)) * 0.2 + bonus)
 
 
@@ -231,11 +253,11 @@ def claim_score(c: Column | str) -> Column:
     return (
         hit(t.rlike(r"(?:^|[^\p{L}\p{N}_])(?:19|20)\d{2}(?:$|[^\p{L}\p{N}_])"), 2.0)
         + hit(t.rlike(r"(?:^|[^\p{L}\p{N}_])\d+(?:$|[^\p{L}\p{N}_])|%"), 1.5)
-        + hit(has_any(low, ["according to", "reported", "states"]), 1.0)
+        + hit(has_any(low, REPORT_WORDS), 1.0)
         + hit(t.rlike(r"(?:^|[^\p{L}\p{N}_])[A-Z][a-z]+(?:$|[^\p{L}\p{N}_])"), 1.0)
-        + hit(has_any(low, ["killed", "affected", "flooding", "struck", "surge", "deaths", "injured", "displaced"]), 1.8)
+        + hit(has_any(low, IMPACT_WORDS), 1.8)
         + hit(t.rlike(r"(?:^|[^\p{L}\p{N}_])(?:on|in)\s+\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}(?:$|[^\p{L}\p{N}_])"), 1.2)
-        - hit(has_any(low, ["introduction", "figure:", "table:", "contents", "environmental impact assessment"]), 2.0)
+        - hit(has_any(low, HEADING_WORDS), 2.0)
         - hit(F.trim(t).rlike(r"^[A-Z][A-Za-z\s:,-]{0,120}$"), 1.2)
         + F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(n - 28) / 40.0)
     )

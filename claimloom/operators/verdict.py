@@ -72,13 +72,15 @@ def with_missing(claims: DataFrame, verdicts: DataFrame, by: str, checkable: Col
 
 
 def decisive_columns(o: Options = Options(), tier: str = "evidence_tier", stance: str = "stance", weight: str = "evidence_weight") -> list[Column]:
-    f = F.when(F.col(tier) == "strong", 1.0).when(F.col(tier) == "soft", o.soft_factor).otherwise(0.0)
+    t = F.lower(F.when(F.coalesce(tier, F.lit("")) == "", "soft").otherwise(F.col(tier)))
+    f = F.when(t == "strong", 1.0).when(t == "soft", o.soft_factor).otherwise(0.0)
     side = lambda k: F.coalesce(total(F.when(F.col(stance) == k, F.col(weight) * f)), F.lit(0.0)).alias(f"{k}_score")
-    return [side("support"), side("refute"), F.count_if((F.col(tier) == "strong") & F.col(stance).isin("support", "refute")).alias("strong_count")]
+    return [side("support"), side("refute"), F.count_if((t == "strong") & F.col(stance).isin("support", "refute")).alias("strong_count")]
 
 
 def decisive(evidence: DataFrame, by: str, o: Options = Options()) -> DataFrame:
-    """by, support_score, refute_score, strong_count: weights of support and refute, soft ones at soft_factor."""
+    """by, support_score, refute_score, strong_count: weights of support and refute, soft ones at soft_factor; a row without a
+    tier is soft."""
     return evidence.groupBy(by).agg(*decisive_columns(o))
 
 
@@ -86,13 +88,26 @@ def apply_decisive(v: DataFrame, d: DataFrame, by: str, o: Options = Options())
     return decide(v.join(d, by), F.lit(True), o)
 
 
+# The sentences that later stages add to the reasons.
+NOT_DECISIVE = "Phase7 decisive guard: insufficient decisive support/refute evidence."
+DECISIVE = "Phase7 decisive aggregation selected non-neutral verdict from strong/soft evidence."
+GATED = "Multi retrieval quality gate abstained: evidence quality/diversity too weak for non-neutral verdict."
+CALIBRATED = "Calibration abstain: support/refute margin or confidence below threshold."
+
+
+def noted(v: DataFrame, sentence: Column) -> DataFrame:
+    """v whose reasons, if it has any, are followed by a sentence; a null one adds nothing."""
+    return v.withColumn("reasoning", F.trim(F.concat_ws(" ", "reasoning", sentence))) if "reasoning" in v.columns else v
+
+
 def decide(v: DataFrame, where: Column, o: Options = Options()) -> DataFrame:
     """Verdicts of other languages: neutral without strong evidence, enough in total and a gap; else the heavier side."""
     s, r = F.col("support_score"), F.col("refute_score")
     gap = F.abs(s - r)
     weak = (F.col("strong_count") == 0) | (s + r < o.decisive_min_total) | (gap < o.decisive_min_gap)
     conf = F.when(weak, F.greatest("confidence", F.lit(0.45))).otherwise(F.greatest(F.col("confidence"), clamp(gap / F.greatest(s + r, F.lit(1e-6)), 0.5, 0.99)))
-    out = v.withColumn("confidence", F.when(where, conf).otherwise(F.col("confidence")))
+    out = noted(v, F.when(where & weak, NOT_DECISIVE).when(where, DECISIVE))
+    out = out.withColumn("confidence", F.when(where, conf).otherwise(F.col("confidence")))
     return out.withColumn("verdict", F.when(~where, F.col("verdict")).when(weak, "neutral").when(s > r, "support").otherwise("refute")).drop("support_score", "refute_score", "strong_count")
 
 
@@ -127,7 +142,7 @@ def apply_gate(v: DataFrame, g: DataFrame, by: str, o: Options = Options()) -> D
 def abstain(out: DataFrame, where: Column, o: Options = Options()) -> DataFrame:
     """Support and refute become neutral where the evidence failed too many checks."""
     stop = where & F.col("verdict").isin("support", "refute") & (F.col("failed") >= o.gate_failed)
-    return out.withColumn("confidence", F.when(stop, clamp(F.col("confidence"), 0.45, 0.65)).otherwise(F.col("confidence"))).withColumn("verdict", F.when(stop, "neutral").otherwise(F.col("verdict"))).drop("failed")
+    return noted(out, F.when(stop, GATED)).withColumn("confidence", F.when(stop, clamp(F.col("confidence"), 0.45, 0.65)).otherwise(F.col("confidence"))).withColumn("verdict", F.when(stop, "neutral").otherwise(F.col("verdict"))).drop("failed")
 
 
 def calibrate(v: DataFrame, english: Column, o: Options = Options()) -> DataFrame:
@@ -135,7 +150,7 @@ def calibrate(v: DataFrame, english: Column, o: Options = Options()) -> DataFram
     conf, gap = F.when(english, o.conf_en).otherwise(o.conf_multi), F.when(english, o.gap_en).otherwise(o.gap_multi)
     ok = ~F.col("verdict").isin("support", "refute") | ((F.col("confidence") >= conf) & (F.abs(F.col("agg_support") - F.col("agg_refute")) >= gap))
     lower = F.greatest(F.lit(0.45), F.col("agg_neutral"), F.least(F.col("confidence"), conf))
-    return v.withColumn("confidence", F.when(ok, F.col("confidence")).otherwise(lower)).withColumn("verdict", F.when(ok, F.col("verdict")).otherwise("neutral"))
+    return noted(v, F.when(~ok, CALIBRATED)).withColumn("confidence", F.when(ok, F.col("confidence")).otherwise(lower)).withColumn("verdict", F.when(ok, F.col("verdict")).otherwise("neutral"))
 
 
 def percent(c: Column) -> Column:

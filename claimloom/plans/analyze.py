@@ -67,12 +67,12 @@ def scored(claims: DataFrame, evidence: DataFrame, s: Settings) -> DataFrame:
 
 def decided(claims: DataFrame, e: DataFrame, s: Settings) -> DataFrame:
     """claim_id, verdict, confidence, evidence_count, reason, reasoning: verdict, for other languages the decisive rule and
-    the quality gate, then calibration."""
+    the quality gate, then calibration. The reasons are those of the first verdict; each later stage that acts adds its own."""
     o = s.verdicts
     agg = e.groupBy("claim_id").agg(*verdict.sum_columns(), *verdict.decisive_columns(o), verdict.gate_column(o))
-    v = verdict.verdict(agg, o).join(claims.select("claim_id", "english"), "claim_id")
+    v = verdict.verdict(agg, o).withColumn("reasoning", verdict.reasoning()).join(claims.select("claim_id", "english"), "claim_id")
     v = verdict.abstain(verdict.decide(v, ~F.col("english"), o), ~F.col("english"), o)
-    v = verdict.calibrate(v, F.col("english"), o).withColumn("reasoning", verdict.reasoning())
+    v = verdict.calibrate(v, F.col("english"), o)
     out = verdict.with_missing(claims.select("claim_id", "ok", "reason"), v.drop("english"), "claim_id", F.col("ok"))
     return out.select("claim_id", "verdict", F.round("confidence", 6).alias("confidence"), "evidence_count", "reason", F.coalesce("reasoning", F.lit("")).alias("reasoning"))
 

@@ -233,28 +233,38 @@ def f8(spark, sf):
 
 
 @query("f10_extractors", f"""
-SELECT doc_id, coalesce(trim(nullif(regexp_extract(text, '{X.LEFT}([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}){X.RIGHT}', 1), '')), '') AS entity, coalesce(trim(nullif(regexp_extract(text, '{X.NUMERIC}', 1), '')), '') AS number FROM documents
+SELECT doc_id, coalesce(trim(nullif(regexp_extract(text, '{X.LEFT}([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}){X.RIGHT}', 1), '')), '') AS entity, coalesce(trim(nullif(regexp_extract(text, '(?i){X.NUMERIC}', 1), '')), '') AS number FROM documents
 """)
 def f10(spark, sf):
     return t(spark, sf, "documents").select("doc_id", X.entity("text").alias("entity"), X.numeric_claim("text").alias("number"))
 
 
-@query("f13_scripts", """
-SELECT doc_id, CASE WHEN n = 0 THEN true ELSE a::DOUBLE / n >= 0.8 END AS english_like, 'en' AS detected, false AS multilingual, a >= 8 AS latin_ok, a AS n_latin
-FROM (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) AS n, len(regexp_extract_all(text, '[A-Za-z]')) AS a FROM documents)
+_SCRIPT = {k: f"len(regexp_extract_all(m, '{p}'))" for k, p in X.SCRIPTS.items()}
+_DETECTED = "CASE " + " ".join(f"WHEN {n} > 0 THEN '{k}'" for k, n in _SCRIPT.items()) + " ELSE 'en' END"
+
+
+@query("f13_scripts", f"""
+WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'తెలుగు లో వ్రాసిన వాక్యం ' WHEN 1 THEN 'தமிழில் எழுதிய வாக்கியம் ' WHEN 2 THEN 'ಕನ್ನಡದಲ್ಲಿ ಬರೆದ ವಾಕ್ಯ ' WHEN 3 THEN 'മലയാളത്തിൽ എഴുതിയ വാക്യം ' WHEN 4 THEN 'हिंदी में लिखा वाक्य ' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 3) END AS m FROM documents)
+SELECT doc_id, CASE WHEN n = 0 THEN true ELSE a::DOUBLE / n >= 0.8 END AS english_like, {_DETECTED} AS detected, {_DETECTED} <> 'en' AS multilingual, a >= 8 AS latin_ok, a AS n_latin,
+  CASE {_DETECTED} {" ".join(f"WHEN '{k}' THEN {n} >= 12 AND a <= greatest(8, floor({n} * 0.25))" for k, n in _SCRIPT.items())} ELSE a >= 8 END AS script_ok
+FROM (SELECT *, len(regexp_extract_all(m, '\\p{{L}}')) AS n, len(regexp_extract_all(m, '[A-Za-z]')) AS a FROM t)
 """)
 def f13(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", X.english_like("text").alias("english_like"), X.detect_language("text", F.lit("auto")).alias("detected"), X.looks_multilingual("text").alias("multilingual"), X.language_ok("text", F.lit("en")).alias("latin_ok"), X.latin_count("text").cast("long").alias("n_latin"))
+    prefix = ["తెలుగు లో వ్రాసిన వాక్యం ", "தமிழில் எழுதிய வாக்கியம் ", "ಕನ್ನಡದಲ್ಲಿ ಬರೆದ ವಾಕ್ಯ ", "മലയാളത്തിൽ എഴുതിയ വാക്യം ", "हिंदी में लिखा वाक्य ", "", ""]
+    m = F.concat(F.element_at(F.array(*[F.lit(x) for x in prefix]), (F.col("doc_id") % 7 + 1).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 3)))
+    d = t(spark, sf, "documents").select("doc_id", m.alias("m")).withColumn("detected", X.detect_language("m", F.lit("auto")))
+    return d.select("doc_id", X.english_like("m").alias("english_like"), "detected", X.looks_multilingual("m").alias("multilingual"), X.language_ok("m", F.lit("en")).alias("latin_ok"), X.latin_count("m").cast("long").alias("n_latin"), X.language_ok("m", "detected").alias("script_ok"))
 
 
-@query("f19_keywords", "SELECT item_id, array_to_string(list_filter(string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' '), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "], w) AND regexp_matches(w, '^[\\p{L}\\p{N}]'))[1:10], ' ') AS keywords FROM benchmark")
+@query("f19_keywords", "SELECT item_id, array_to_string(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.KEYWORD_STOPWORDS) + "], lower(w)) AND regexp_matches(w, '^[\\p{L}\\p{N}]'))[1:10], ' ') AS keywords FROM benchmark")
 def f19(spark, sf):
     return t(spark, sf, "benchmark").select("item_id", X.keywords("text").alias("keywords"))
 
 
-@query("f18_question", "SELECT item_id, 'Is it true that ' || regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.!?]+$', '') || '?' AS question, CASE WHEN length(k) < 24 THEN '' ELSE substr(k, 1, 200) END AS title_key FROM (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM benchmark)")
+@query("f18_question", "SELECT item_id, CASE WHEN ends_with(q, '?') OR b = '' THEN q ELSE 'Is it true that ' || b || '?' END AS question, CASE WHEN length(k) < 24 THEN '' ELSE substr(k, 1, 200) END AS title_key FROM (SELECT *, regexp_replace(regexp_replace(q, '\\s+$', ''), '[.!;:]+$', '') AS b FROM (SELECT *, text || CASE item_id % 5 WHEN 0 THEN '?' WHEN 1 THEN ';: ' WHEN 2 THEN '!' WHEN 3 THEN '? ' ELSE '' END AS q, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM benchmark))")
 def f18(spark, sf):
-    return t(spark, sf, "benchmark").select("item_id", X.to_question("text").alias("question"), X.title_key("text").alias("title_key"))
+    q = F.concat("text", F.element_at(F.array(*[F.lit(x) for x in ("?", ";: ", "!", "? ", "")]), (F.col("item_id") % 5 + 1).cast("int")))
+    return t(spark, sf, "benchmark").select("item_id", X.to_question(q).alias("question"), X.title_key("text").alias("title_key"))
 
 
 @query("f21_queries", "SELECT item_id, len(q) AS n, q[1] AS first FROM (SELECT item_id, list_distinct([lower(w1), lower(w2)]) AS d, CASE WHEN lower(w1) = lower(w2) THEN [w1] ELSE [w1, w2] END AS q FROM (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1] AS w1, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[2] AS w2 FROM benchmark))")
@@ -264,12 +274,25 @@ def f21(spark, sf):
     return t(spark, sf, "benchmark").select("item_id", F.size(q).cast("long").alias("n"), q[0].alias("first"))
 
 
-@query("f24_sentences")
+#: Pieces of sentences: what ends one is marked, because the engine of the SQL has no look-behind.
+PIECES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '([{1}])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+SENTENCES = PIECES.format(r"regexp_replace(regexp_replace(text, '[|]+|[•‣▪]+', '. ', 'g'), '[。॥]+', '। ', 'g')", ".!?।;:")
+
+
+@query("f24_sentences", f"SELECT doc_id, generate_subscripts(s, 1)::INTEGER - 1 AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)")
 def f24(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("pos", "sentence"))
 
 
-@query("f9_fact_span")
+_DATED = " OR ".join(f"regexp_matches(x, '{p}')" for p in X.DATE_PATTERNS)
+
+
+@query("f9_fact_span", EV + f"""
+, s AS (SELECT pos, {PIECES.format('text', '.!?')} AS s, {tok('claim')} AS c FROM ev),
+g AS (SELECT *, list_filter(s, lambda x: len(list_intersect({tok('x')}, c)) > 0 OR {_DATED} OR regexp_matches(x, '(?i){X.NUMERIC}')) AS good FROM s)
+SELECT pos, CASE WHEN len(s) = 0 THEN '' WHEN len(c) = 0 THEN substr(s[1], 1, 700) WHEN len(good) = 0 THEN substr(s[1], 1, 900)
+  ELSE substr(list_reduce(good, lambda a, x: CASE WHEN length(a) > 700 THEN a ELSE a || ' ' || x END), 1, 900) END AS span FROM g
+""")
 def f9(spark, sf):
     return evidence(spark, sf).select("pos", X.fact_span("text", X.token_set("claim")).alias("span"))
 
@@ -462,7 +485,12 @@ def k2(spark, sf):
     return G.mmr(e, "claim_id", "rank", 10).select("claim_id", "pos", "place")
 
 
-@query("k3_soft_diversity")
+@query("k3_soft_diversity", EV + r"""
+, r AS (SELECT claim_id, list({'pos': pos, 'host': host, 'title': CASE WHEN length(tk) < 24 THEN '' ELSE substr(tk, 1, 200) END} ORDER BY pos) AS l FROM (SELECT *, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS tk FROM ev) GROUP BY claim_id),
+a AS (SELECT claim_id, l, list_reduce(l, lambda k, x: CASE WHEN len(k) < 12 AND (x.host = '' OR len(list_filter(k, lambda y: y.host = x.host)) < 2) AND (x.title = '' OR len(list_filter(k, lambda y: y.title = x.title)) = 0) THEN list_append(k, x) ELSE k END, l[1:0]) AS k FROM r),
+b AS (SELECT claim_id, list_reduce(l, lambda k, x: CASE WHEN len(k) < 12 AND len(list_filter(k, lambda y: y.pos = x.pos)) = 0 AND (x.title = '' OR len(list_filter(k, lambda y: y.title = x.title)) = 0) THEN list_append(k, x) ELSE k END, k) AS k FROM a)
+SELECT claim_id, unnest(list_transform(k, lambda y: y.pos)) AS pos, unnest(range(1, len(k) + 1)) AS place FROM b
+""")
 def k3(spark, sf):
     e = evidence(spark, sf).withColumn("host", U.host("url")).withColumn("title_key", X.title_key("title")).select("claim_id", "pos", "host", "title_key")
     return G.diversity(e, "claim_id", "pos", 12, 2).select("claim_id", "pos", "place")
@@ -473,7 +501,16 @@ def k4(spark, sf):
     return G.drop_similar(evidence(spark, sf).select("claim_id", "pos", "url", "text", "score"), "claim_id", "pos").select("claim_id", "pos", "place")
 
 
-@query("k5_distinct_claims")
+_CLAIM_TOKENS = "list_distinct(regexp_extract_all({0}, '([A-Za-zऀ-ൿ0-9%]+)', 1))"
+
+
+@query("k5_distinct_claims", rf"""
+WITH s AS (SELECT doc_id, generate_subscripts(s, 1)::INTEGER - 1 AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)),
+f AS (SELECT *, {_CLAIM_TOKENS.format('k')} AS w FROM (SELECT *, lower(trim(regexp_replace(sentence, '\s+', ' ', 'g'))) AS k FROM s) WHERE len(string_split(k, ' ')) BETWEEN 6 AND 60),
+l AS (SELECT doc_id, list({{'pos': pos, 'sentence': sentence, 'k': k, 'w': w}} ORDER BY pos) AS l FROM f GROUP BY doc_id),
+a AS (SELECT doc_id, list_reduce(l, lambda k, x: CASE WHEN len(k) < 20 AND len(list_filter(k, lambda y: y.k = x.k OR len(list_intersect(x.w, y.w))::DOUBLE / greatest(len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)), 1) >= 0.78)) = 0 THEN list_append(k, x) ELSE k END, l[1:0]) AS k FROM l)
+SELECT doc_id, unnest(list_transform(k, lambda y: y.pos)) AS pos, unnest(list_transform(k, lambda y: y.sentence)) AS sentence, unnest(range(1, len(k) + 1)) AS place FROM a
+""")
 def k5(spark, sf):
     s = t(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("pos", "sentence")).where(F.size(X.words("sentence")).between(6, 60))
     return G.distinct_claims(s, "doc_id", "pos").select("doc_id", "pos", "sentence", "place")

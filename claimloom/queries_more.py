@@ -14,7 +14,7 @@ from .operators import scoring as S
 from .operators import selection as K
 from .operators import verdict as V
 from .plans import verify
-from .queries import DOWN, EV, EVEN, TABLE, UP, evidence, query, t, tok, words
+from .queries import DOWN, EV, EVEN, SENTENCES, TABLE, UP, evidence, query, t, tok, words
 from .streaming import limits as L
 
 # scores ------------------------------------------------------------------------------------------------------------------
@@ -28,15 +28,8 @@ def s1(spark, sf):
     return evidence(spark, sf).select("pos", F.round(S.keyword_relevance("claim", "text"), 6).alias("relevance"))
 
 
-@query("s2_embedding_relevance", "SELECT a.vec_id AS claim_id, b.vec_id, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 4) AS relevance FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id WHERE a.vec_id < 20")
+@query("s2_embedding_relevance", "SELECT a.vec_id AS claim_id, b.vec_id, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 4) AS relevance FROM embeddings b JOIN (SELECT label, min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) a ON a.label IS NOT DISTINCT FROM b.label")
 def s2(spark, sf):
-    e = t(spark, sf, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("claim_id"), F.col("embedding").alias("q"), "label")
-    return e.join(F.broadcast(q), "label").where("vec_id <> claim_id").select("claim_id", "vec_id", F.round(S.embedding_relevance(F.col("q"), F.col("embedding")), 4).alias("relevance"))
-
-
-@query("s2_embedding_relevance_all", "SELECT a.vec_id AS claim_id, b.vec_id, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 4) AS relevance FROM embeddings b JOIN (SELECT label, min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) a ON a.label IS NOT DISTINCT FROM b.label")
-def s2_all(spark, sf):
     e = t(spark, sf, "embeddings")
     q = e.groupBy(F.col("label").alias("claim_label")).agg(F.min("vec_id").alias("claim_id"), F.min_by("embedding", "vec_id").alias("q"))
     both = e.join(q, F.col("label").eqNullSafe(F.col("claim_label")))
@@ -143,7 +136,21 @@ def a28(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.round(S.weighted_score(scores, F.create_map(F.lit("a"), F.lit(2.0), F.lit("b"), F.lit(1.0))), 6).alias("score"))
 
 
-@query("k6_claim_scores")
+def _claim_score(c: str) -> str:
+    """claim_score in SQL, for a sentence without white space at its ends."""
+    edge = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+    hit = lambda p, v: f"CASE WHEN {p} THEN {v} ELSE 0 END"
+    some = lambda ws: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in ws) + ")"
+    like = lambda p: f"regexp_matches({c}, '{p}')"
+    parts = [
+        hit(like(rf"{edge[0]}(?:19|20)\d{{2}}{edge[1]}"), 2.0), hit(like(rf"{edge[0]}\d+{edge[1]}|%"), 1.5), hit(some(S.REPORT_WORDS), 1.0), hit(like(rf"{edge[0]}[A-Z][a-z]+{edge[1]}"), 1.0), hit(some(S.IMPACT_WORDS), 1.8),
+        hit(like(rf"{edge[0]}(?:on|in)\s+\d{{1,2}}\s+[A-Za-z]{{3,9}}\s+\d{{4}}{edge[1]}"), 1.2), hit(some(S.HEADING_WORDS), -2.0), hit(like(r"^[A-Z][A-Za-z\s:,-]{0,120}$"), -1.2),
+        rf"greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(len(list_filter(string_split(trim(regexp_replace({c}, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) - 28) / 40.0::DOUBLE)",
+    ]
+    return " + ".join(parts)
+
+
+@query("k6_claim_scores", f"SELECT doc_id, pos, round(({_claim_score('sentence')})::DOUBLE, 6) AS score FROM (SELECT doc_id, generate_subscripts(s, 1)::INTEGER - 1 AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents))")
 def k6(spark, sf):
     s = t(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("pos", "sentence"))
     return s.select("doc_id", "pos", F.round(S.claim_score("sentence"), 6).alias("score"))
@@ -162,7 +169,19 @@ def a1(spark, sf):
     return v.select("claim_id", "verdict", F.round("confidence", 6).alias("confidence"), "evidence_count", "conflict")
 
 
-@query("a2_reasoning")
+def _percent(c: str) -> str:
+    return f"round_even({c} * 100, 0)::INTEGER || '%'"
+
+
+def _level(three: list[str]) -> str:
+    return f"CASE WHEN c >= 0.75 THEN '{three[0]}' WHEN c >= 0.55 THEN '{three[1]}' ELSE '{three[2]}' END"
+
+
+_REASONS = f"""replace('{V.COUNT}', '{{}}', k::VARCHAR) || CASE WHEN cf THEN ' {V.CONFLICT}' ELSE '' END || ' Support: ' || {_percent('s')} || ', Refute: ' || {_percent('r')} || ', Neutral: ' || {_percent('n')} || '. '
+  || CASE v WHEN 'support' THEN {_level(V.SUPPORT)} WHEN 'refute' THEN {_level(V.REFUTE)} ELSE CASE WHEN cf THEN '{V.CONTRADICTORY}' WHEN k < 2 THEN '{V.INSUFFICIENT}' ELSE '{V.MIXED}' END END || ' ' || replace({_level(V.CLOSING)}, '{{}}', {_percent('c')})"""
+
+
+@query("a2_reasoning", EV + f"SELECT claim_id, {_REASONS} AS reasoning FROM {_VERDICT}")
 def a2(spark, sf):
     return V.verdict(V.sums(weighed(spark, sf), "claim_id")).select("claim_id", V.reasoning().alias("reasoning"))
 
@@ -206,14 +225,26 @@ def a4(spark, sf):
     return v.select("claim_id", "verdict", F.round("confidence", 6).alias("confidence"))
 
 
-@query("a_whole_verdict")
+@query("a_whole_verdict", EV + f"""
+, z AS (SELECT *, {_TIER} AS tier, {_LABEL} AS st FROM {_W}),
+d AS (SELECT claim_id, {_SUM.format("CASE WHEN st = 'support' THEN w * f ELSE 0 END")} AS ds, {_SUM.format("CASE WHEN st = 'refute' THEN w * f ELSE 0 END")} AS dr, count(*) FILTER (WHERE tier = 'strong' AND st <> 'neutral') AS strong_count FROM (SELECT *, CASE tier WHEN 'strong' THEN 1.0 WHEN 'soft' THEN 0.6 ELSE 0 END::DOUBLE AS f FROM z) GROUP BY claim_id),
+g AS (SELECT claim_id, (count(*) < 4)::INTEGER + (count(*) FILTER (WHERE st <> 'neutral') < 2)::INTEGER + (count(DISTINCT CASE WHEN host <> '' THEN host END) < 2)::INTEGER + (count(DISTINCT type) < 1)::INTEGER + (count(*) FILTER (WHERE st <> 'neutral' AND tier = 'strong') < 1)::INTEGER
+  + (coalesce({_SUM.format("CASE WHEN st <> 'neutral' THEN relevance END")} / count(*) FILTER (WHERE st <> 'neutral'), 0) < 0.5)::INTEGER + (coalesce({_SUM.format("CASE WHEN st <> 'neutral' THEN cr END")} / count(*) FILTER (WHERE st <> 'neutral'), 0) < 0.4)::INTEGER AS failed FROM z GROUP BY claim_id),
+x AS (SELECT v.*, d.*, strong_count = 0 OR ds + dr < 0.35 OR abs(ds - dr) < 0.15 AS weak, failed FROM (SELECT *, {_REASONS} AS why FROM {_VERDICT}) v JOIN d ON v.claim_id = d.claim_id JOIN g ON g.claim_id = v.claim_id),
+y AS (SELECT *, CASE WHEN weak THEN 'neutral' WHEN ds > dr THEN 'support' ELSE 'refute' END AS v1, CASE WHEN weak THEN greatest(c, 0.45) ELSE greatest(c, least(0.99, greatest(0.5, abs(ds - dr) / greatest(ds + dr, 1e-6)))) END AS c1, why || CASE WHEN weak THEN ' {V.NOT_DECISIVE}' ELSE ' {V.DECISIVE}' END AS why1 FROM x),
+q AS (SELECT *, v1 <> 'neutral' AND failed >= 2 AS stop FROM y),
+u AS (SELECT *, CASE WHEN stop THEN 'neutral' ELSE v1 END AS v2, CASE WHEN stop THEN least(0.65, greatest(0.45, c1)) ELSE c1 END AS c2, why1 || CASE WHEN stop THEN ' {V.GATED}' ELSE '' END AS why2 FROM q),
+o AS (SELECT *, v2 = 'neutral' OR (c2 >= 0.60 AND abs(s - r) >= 0.12) AS ok FROM u)
+SELECT b.item_id AS claim_id, CASE WHEN v2 IS NULL OR NOT ok THEN 'neutral' ELSE v2 END AS verdict, round(CASE WHEN v2 IS NULL THEN 0.3 WHEN ok THEN c2 ELSE greatest(0.45, n, least(c2, 0.60)) END, 6) AS confidence, coalesce(k, 0) AS evidence_count, why2 || CASE WHEN ok THEN '' ELSE ' {V.CALIBRATED}' END AS reasoning
+FROM benchmark b LEFT JOIN o ON o.claim_id = b.item_id
+""")
 def a_whole(spark, sf):
     e = tiered(spark, sf)
-    v = V.verdict(V.sums(e, "claim_id"))
+    v = V.verdict(V.sums(e, "claim_id")).withColumn("reasoning", V.reasoning())
     v = V.apply_gate(V.apply_decisive(v, V.decisive(e, "claim_id"), "claim_id"), V.gate(e, "claim_id"), "claim_id")
     v = V.calibrate(v, F.lit(False))
     claims = t(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"))
-    return V.with_missing(claims, v, "claim_id").select("claim_id", "verdict", F.round("confidence", 6).alias("confidence"), "evidence_count")
+    return V.with_missing(claims, v, "claim_id").select("claim_id", "verdict", F.round("confidence", 6).alias("confidence"), "evidence_count", "reasoning")
 
 
 @query("a6_telemetry", EV + "SELECT claim_id, 'type' AS kind, type AS value, count(*) AS n FROM ev GROUP BY 1, 3 UNION ALL SELECT claim_id, 'lang', lang, count(*) FROM ev GROUP BY 1, 3 UNION ALL SELECT claim_id, 'host', host, n FROM (SELECT claim_id, host, n, row_number() OVER (PARTITION BY claim_id ORDER BY n DESC, host) AS k FROM (SELECT claim_id, host, count(*) AS n FROM ev WHERE host <> '' GROUP BY 1, 2)) WHERE k <= 10")
@@ -513,11 +544,22 @@ def st1(spark, sf):
     return L.sliding_count(t(spark, sf, "events"), "user_id", seconds=3600).select("event_id", "in_window")
 
 
-@query("st1_admission")
+@query("st1_admission", """
+WITH l AS (SELECT user_id, list({'k': event_id, 't': ts} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+a AS (SELECT user_id, l, list_transform(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: x.t - y.t < INTERVAL 86400 SECONDS)) < 2 THEN list_append(a, x) ELSE a END, l[1:0]), lambda y: y.k) AS ok FROM l)
+SELECT x.k AS key, user_id AS bucket, x.t AS ts, list_contains(ok, x.k) AS admitted FROM (SELECT user_id, ok, unnest(l) AS x FROM a)
+""")
 def st1b(spark, sf):
     return L.admit(t(spark, sf, "events"), "user_id", seconds=86400, limit=2)
 
 
+@query("st4_cooldown", """
+SELECT event_id, greatest(ts, coalesce(max(CASE WHEN event_id % 7 = 0 THEN ts END) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) + INTERVAL 3600 SECONDS, ts)) AS ready FROM events
+""")
+def st4(spark, sf):
+    return L.cooldown(t(spark, sf, "events"), "event_type", F.col("event_id") % 7 == 0, seconds=3600).select("event_id", "ready")
+
+
 @query("st5_usage", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def st5(spark, sf):
     return L.usage(t(spark, sf, "events"), "event_type", every="1 hour")

@@ -14,6 +14,7 @@ from .operators import scoring as S
 from .operators import selection as K
 from .queries import EV, evidence, query, t, tok
 from .queries_more import _RUN, run
+from .sources import providers as P
 
 
 @query("n10_image_claims", r"""
@@ -33,9 +34,10 @@ def n11(spark, sf):
     return r.where(F.col("language").isNotNull() & F.col("expected").isin("support", "refute", "neutral"))
 
 
-@query("n13_claim_artefacts", "SELECT item_id, trim(text) AS claim FROM benchmark")
+@query("n13_claim_artefacts", "SELECT item_id, CASE item_id % 4 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) WHEN 2 THEN trim(text) || ' This claim is provided in Hindi. Or so.' ELSE trim(text) || ' this claim was provided in Hindi' END AS claim FROM benchmark")
 def n13(spark, sf):
-    return t(spark, sf, "benchmark").select("item_id", X.without_artefact(F.concat("text", F.lit("  This claim is provided in Hindi. "))).alias("claim"))
+    tails = F.array(*[F.lit(x) for x in ("  This claim is provided in Hindi. ", "\n\tTHIS claim  is presented in tamil", " This claim is provided in Hindi. Or so.", " this claim was provided in Hindi")])
+    return t(spark, sf, "benchmark").select("item_id", X.without_artefact(F.concat(F.trim("text"), F.element_at(tails, (F.col("item_id") % 4 + 1).cast("int")))).alias("claim"))
 
 
 @query("n6_publication_dates", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS published_at FROM events")
@@ -47,14 +49,12 @@ def n6(spark, sf):
     return t(spark, sf, "events").select("event_id", publication_date(page).alias("published_at"))
 
 
-@query("f20_anchors", "SELECT doc_id, list_distinct(regexp_extract_all(substr(text, 1, 400), '([A-Za-z][A-Za-z0-9-]+|[0-9][0-9,.]*)', 1)) IS NOT NULL AS has, len(regexp_extract_all(substr(text, 1, 400), '([A-Za-z][A-Za-z0-9-]+|[0-9][0-9,.]*)', 1)[1:1]) AS n FROM documents")
+@query("f20_anchors", r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9._/-]*|\p{Nd}+(?:[.,]\p{Nd}+)?(?:%|[A-Za-z]+)?') AS l FROM documents), w AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l),
+f AS (SELECT doc_id, lower(x) AS k, min(i) AS i, arg_min(x, i) AS x FROM w WHERE length(x) >= 2 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
+SELECT d.doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE n <= 10), '') AS anchors FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+""")
 def f20(spark, sf):
-    a = X.ascii_anchors(F.substring("text", 1, 400))
-    return t(spark, sf, "documents").select("doc_id", a.isNotNull().alias("has"), F.least(F.size(a), F.lit(1)).cast("long").alias("n"))
-
-
-@query("f20_anchors_whole")
-def f20_whole(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.array_join(X.ascii_anchors("text"), " ").alias("anchors"))
 
 
@@ -77,13 +77,19 @@ def f27(spark, sf):
 
 
 @query("f29_verifier_answers", """
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'support' WHEN 1 THEN 'refute' WHEN 2 THEN 'neutral' ELSE 'refute' END AS verdict, CASE o_orderkey % 4 WHEN 0 THEN (o_custkey % 100)::DOUBLE / 100 WHEN 1 THEN 0.87 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS confidence FROM orders
+SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'support' WHEN 1 THEN 'refute' WHEN 2 THEN 'neutral' WHEN 3 THEN 'refute' WHEN 4 THEN 'support' WHEN 5 THEN 'refute' WHEN 6 THEN 'neutral' WHEN 7 THEN 'refute' END AS verdict,
+  CASE o_orderkey % 9 WHEN 0 THEN (o_custkey % 100)::DOUBLE / 100 WHEN 1 THEN 0.87 WHEN 2 THEN 0.25 WHEN 4 THEN 0.8 WHEN 7 THEN 0.73 ELSE 0.5 END::DOUBLE AS confidence,
+  CASE o_orderkey % 9 WHEN 0 THEN 'x' WHEN 1 THEN 'Well: {"label": "false", "confidence": 87%, "why": "a "b"' WHEN 2 THEN 'few, "sources' WHEN 3 THEN 'This is not supported at all' WHEN 4 THEN 'यह दावा सही है, 80% निश्चित' WHEN 5 THEN 'இது தவறு' WHEN 6 THEN 'అది సరిపడ ఆధారాలు లేవు' WHEN 7 THEN 'sources deny it' ELSE '----' END AS reason FROM orders
 """)
 def f29(spark, sf):
-    k = F.col("o_orderkey") % 4
+    k = F.col("o_orderkey") % 9
     strict = F.concat(F.lit('```json\n{"verdict": "supported", "confidence": '), ((F.col("o_custkey") % 100) / F.lit(100.0)).cast("string"), F.lit(', "reason": "x"}\n```'))
-    raw = F.when(k == 0, strict).when(k == 1, 'Well: {"label": "false", "confidence": 87%, "why": "a "b"').when(k == 2, "decision = neutral; confidence = 25%").otherwise("This is not supported at all")
-    return t(spark, sf, "orders").select("o_orderkey", A.verifier_answer(raw).alias("r")).select("o_orderkey", "r.verdict", "r.confidence")
+    others = [
+        'Well: {"label": "false", "confidence": 87%, "why": "a "b"', 'decision = neutral; confidence = 25%, explanation="few, "sources"",} ', "This is not supported at all", "यह दावा सही है, 80% निश्चित", "இது தவறு", "అది సరిపడ ఆధారాలు లేవు",
+        "It is not true, confidence: 0.73; reason given: sources deny it", "----",
+    ]
+    raw = F.when(k == 0, strict).otherwise(F.get(F.array(*[F.lit(x) for x in others]), (k - 1).cast("int")))
+    return t(spark, sf, "orders").select("o_orderkey", A.verifier_answer(raw).alias("r")).select("o_orderkey", "r.verdict", "r.confidence", "r.reason")
 
 
 @query("f31_line_updates", "SELECT o_custkey, n::INTEGER AS idx, (n::DOUBLE / 10) AS relevance, CASE n % 2 WHEN 0 THEN 'support' ELSE 'refute' END AS stance FROM (SELECT o_custkey, unnest(range(1, least(count(*), 5) + 1)) AS n FROM orders GROUP BY o_custkey)")
@@ -194,10 +200,23 @@ def u2(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.array_union(own, F.array(F.lit("base"), F.lit("more"))).alias("sources"))
 
 
-@query("s17_structured_quality", "SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 0.55 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.20 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 0.15 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 0.10 ELSE 0 END)::DOUBLE AS quality FROM documents")
+@query("s17_structured_quality", f"""
+WITH t AS (SELECT doc_id, text, {tok("b.text")} AS c, {tok("d.text")} AS w, coalesce(nullif(regexp_extract(d.text, '{X.LEFT}([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}){X.RIGHT}', 1), ''), '') AS e, {" OR ".join(f"regexp_matches(d.text, '{p}')" for p in X.DATE_PATTERNS)} AS dated, regexp_matches(d.text, '(?i){X.NUMERIC}') AS num FROM (SELECT doc_id, doc_id % 40 AS item_id, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40) || CASE doc_id % 3 WHEN 0 THEN ' 2021-03-04' WHEN 1 THEN ' five' ELSE ' 17 km' END AS text FROM documents) d JOIN benchmark b USING (item_id))
+SELECT doc_id, round((0.55 * CASE WHEN len(c) = 0 THEN 0 ELSE len(list_intersect(w, c))::DOUBLE / len(c) END + CASE WHEN dated THEN 0.20 ELSE 0 END + CASE WHEN num THEN 0.15 ELSE 0 END + CASE WHEN e <> '' THEN 0.10 ELSE 0 END)::DOUBLE, 6) AS quality FROM t
+""".replace("SELECT doc_id, text, ", "SELECT doc_id, "))
 def s17(spark, sf):
-    part = lambda n: F.when(F.col("doc_id") % n == 0, "x").otherwise("")
-    return t(spark, sf, "documents").select("doc_id", F.round(S.structured_quality(part(2), part(3), part(5), part(7)), 6).alias("quality"))
+    tail = F.when(F.col("doc_id") % 3 == 0, " 2021-03-04").when(F.col("doc_id") % 3 == 1, " five").otherwise(" 17 km")
+    d = t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.concat(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40), tail).alias("text"))
+    d = d.join(t(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim")), "item_id")
+    q = S.structured_quality(X.overlap_ratio(X.token_set("text"), X.token_set("claim")), X.first_date("text"), X.numeric_claim("text"), X.entity("text"))
+    return d.select("doc_id", F.round(q, 6).alias("quality"))
+
+
+@query("s17_enriched_rows")
+def s17b(spark, sf):
+    """What is found in whole scraped texts, and the text that goes on."""
+    e = S.enriched(evidence(spark, sf).select("pos", "claim", "text"))
+    return e.select("pos", "text", "fact_span", "entity", "date", "numeric_claim", F.round("scrape_struct_quality", 6).alias("quality"), "structured_from_scrape")
 
 
 @query("a10_binary_counts", _RUN + "SELECT count(*) FILTER (WHERE expected = 'support' AND post = 'support') AS tp, count(*) FILTER (WHERE expected = 'refute' AND post = 'refute') AS tn, count(*) FILTER (WHERE expected <> 'support' AND post = 'support') AS fp, count(*) FILTER (WHERE expected = 'support' AND post <> 'support') AS fn FROM run")
@@ -229,6 +248,18 @@ def f3(spark, sf):
     return t(spark, sf, "pages").select("page_id", U.loose_host(F.regexp_replace("url", "^https://", "")).alias("host"))
 
 
+@query("src18_web_rows", "SELECT conv_id, turn, trim(role || ' ' || text) AS text, CASE WHEN turn % 2 = 0 THEN role ELSE 'NewsAPI' END AS title, role AS source, 'https://n.org/' || conv_id AS url, 0.5::DOUBLE AS score, 'web_search' AS type, 'newsapi' AS search_provider FROM conversations")
+def src18(spark, sf):
+    c = t(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("description"), F.col("text").alias("content"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("headline"), F.struct(F.col("role").alias("name")).alias("source"), F.concat(F.lit("https://n.org/"), "conv_id").alias("url"))
+    return P.web_rows(c.withColumnRenamed("headline", "title"), "newsapi").drop("description", "content")
+
+
+@query("src19_structured_rows", "SELECT n_nationkey, n_name || ' (' || n_regionkey || ')' AS text, 'World Bank: World Bank' AS source, 'https://api.worldbank.org/v2/indicator/' || n_regionkey || '?format=json' AS url, 0.9::DOUBLE AS score, 'structured_api' AS type FROM nation")
+def src19b(spark, sf):
+    n = t(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("id"))
+    return P.structured_rows(n, "worldbank").select("n_nationkey", "text", "source", "url", "score", "type")
+
+
 @query("plan_analyze")
 def plan_analyze(spark, sf):
     """All stages, over claims of two languages and the evidence of this module's tables."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,3 +152,73 @@ def slot(function, kind: str):
         return function(c.fillna(""))
 
     return run
+
+
+def loaded_slot(load, kind: str):
+    """A model as a column function of any number of text columns: load() gives, once for each task of a worker, a function of
+    as many series; null texts become empty."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        model = load()
+        for columns in batches:
+            yield model(*[c.fillna("") for c in columns])
+
+    return run
+
+
+def relevance_of(logits) -> pd.Series:
+    """Rows of logits as relevance: the sigmoid of a single one, else the second class's share."""
+    x = np.asarray(logits, dtype=float)
+    if x.ndim == 1 or x.shape[1] == 1:
+        return pd.Series(1 / (1 + np.exp(-x.reshape(-1))))
+    e = np.exp(x - x.max(1, keepdims=True))
+    return pd.Series(e[:, 1] / e.sum(1))
+
+
+# Names of a model's classes, and their order where a model does not name all three.
+CLASSES = {"support": "support supported entailment entails true", "refute": "refute refuted contradiction contradicts false", "neutral": "neutral nei"}
+CLASS_ORDER = ["support", "neutral", "refute"]
+
+
+def class_order(names: dict | None) -> list[str | None]:
+    """What each of a model's outputs stands for, from its names by index."""
+    of = {w: k for k, ws in CLASSES.items() for w in ws.split()} | {"not enough info": "neutral"}
+    found = {int(k): of.get(str(v).strip().lower()) for k, v in (names or {}).items() if str(k).strip().lstrip("-").isdigit()}
+    return [found.get(i) for i in range(max(found) + 1)] if set(found.values()) >= set(CLASS_ORDER) else list(CLASS_ORDER)
+
+
+def stance_of(logits, names: dict | None = None) -> pd.DataFrame:
+    """Rows of logits as support, refute and neutral, whatever the order of the model's classes."""
+    x = np.asarray(logits, dtype=float)
+    e = np.exp(x - x.max(1, keepdims=True))
+    p = e / e.sum(1, keepdims=True)
+    out = pd.DataFrame(0.0, index=range(len(p)), columns=["support", "refute", "neutral"])
+    for i, name in enumerate(class_order(names)[: p.shape[1]]):
+        if name:
+            out[name] = p[:, i]
+    return out
+
+
+def verified(claims: DataFrame, evidence: DataFrame, by: str, pos: str, load=None) -> DataFrame:
+    """claims with `answer`: what a verifier says of a claim and its numbered evidence; null where none is given.
+
+    load() gives a function of two series, claims and evidence as text, once for each task. evidence has source, relevance
+    and text; a claim's rows are those that its verdict is made of, a few."""
+    from ..functions.text import snippets
+
+    items = evidence.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(pos, "source", "relevance", "text"))).alias("_items"))
+    shown = claims.join(items, by, "left").withColumn("_shown", F.coalesce(snippets(F.col("_items")), F.lit("")))
+    answer = loaded_slot(load, "string")("claim", "_shown") if load else F.lit(None).cast("string")
+    return shown.withColumn("answer", answer).drop("_items", "_shown")
+
+
+def chained(first: DataFrame, text: str, keys: list[str], *slots) -> DataFrame:
+    """first with `result`: each different text once through the slots in turn, a later one only where the earlier gave
+    nothing; rows with equal texts share the result."""
+    once = first.select(F.col(text).alias("_text")).where(F.coalesce("_text", F.lit("")) != "").distinct().withColumn("result", F.lit(None).cast("string"))
+    for s in slots:
+        open_ = F.coalesce("result", F.lit("")) == ""
+        done = once.where(~open_)
+        once = done.unionByName(once.where(open_).withColumn("result", s("_text")))
+    return first.join(once, F.col(text) == F.col("_text"), "left").drop("_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,32 +43,53 @@ def admit(events: DataFrame, by: str, ts: str = "ts", key: str = "event_id", sec
     return rows.groupBy("bucket").applyInPandas(run, f"key long, bucket {kind}, ts timestamp, admitted boolean")
 
 
+def cooldown(events: DataFrame, by: str, limited: Column, ts: str = "ts", seconds: int = 3) -> DataFrame:
+    """events with ready: when a call may go out, its own moment or `seconds` after the last call of its bucket that the
+    provider limited. Only calls of the last `seconds` are looked at, whatever a bucket's size."""
+    e = events.withColumn("_hit", F.when(limited, F.col(ts)))
+    last = F.expr(f"max(_hit) OVER (PARTITION BY {by} ORDER BY {ts} RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)")
+    until = F.greatest(F.col(ts), last + F.expr(f"INTERVAL {seconds} SECONDS"))
+    return e.withColumn("ready", until).drop("_hit")
+
+
 class _Admission(StatefulProcessor):
-    """Keeps the admitted moments of a bucket; they expire with the window."""
+    """Keeps the admitted moments of a bucket; when the watermark has passed its last call's window, the bucket is forgotten."""
 
-    def __init__(self, seconds: int, limit: int):
-        self.seconds, self.limit = seconds, limit
+    def __init__(self, seconds: int, limit: int, late: int):
+        self.seconds, self.limit, self.late = seconds, limit, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "times array<double>", ttlDurationMs=None)
+        self.handle = handle
+        self.recent = handle.getValueState("recent", "times array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         f = pd.concat(list(rows)).sort_values(["ts", "key"], kind="stable")
         had = self.recent.get()
-        ok, recent = admit_in_order([t.timestamp() for t in f["ts"]], list(had[0]) if had else [], self.seconds, self.limit)
+        times = [t.timestamp() for t in f["ts"]]
+        ok, recent = admit_in_order(times, list(had[0]) if had else [], self.seconds, self.limit)
         self.recent.update((recent,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(1000 * (max([*recent, *times]) + self.seconds + self.late)) + 1)
         yield f.assign(admitted=ok)[["key", "bucket", "ts", "admitted"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def admit_stream(events: DataFrame, by: str, ts: str = "ts", key: str = "event_id", seconds: int = 60, limit: int = 30) -> DataFrame:
-    """The stream of admit: needs the RocksDB state store."""
+def admit_stream(events: DataFrame, by: str, ts: str = "ts", key: str = "event_id", seconds: int = 60, limit: int = 30, late: int = 600) -> DataFrame:
+    """The stream of admit: needs the RocksDB state store. Calls that come more than `late` seconds after later ones are left
+    out; a bucket whose last call's window lies further back than that holds no state."""
     ship(events.sparkSession)
     kind = events.schema[by].dataType.simpleString()
     rows = events.select(F.col(key).cast("long").alias("key"), F.col(by).alias("bucket"), F.col(ts).alias("ts"))
-    return rows.groupBy("bucket").transformWithStateInPandas(_Admission(seconds, limit), f"key long, bucket {kind}, ts timestamp, admitted boolean", "Append", "None")
+    # a clock that runs `late` ahead, so that the first moments of a stream are not behind its watermark
+    rows = rows.withColumn("clock", F.col("ts") + F.expr(f"INTERVAL {late} SECONDS")).withWatermark("clock", f"{late} seconds")
+    return rows.groupBy("bucket").transformWithStateInPandas(_Admission(seconds, limit, late), f"key long, bucket {kind}, ts timestamp, admitted boolean", "Append", "EventTime")
 
 
 def usage(events: DataFrame, by: str, ts: str = "ts", every: str = "1 minute", late: str | None = None) -> DataFrame:

@@ -52,10 +52,10 @@ def test_anchors_of_whole_texts(spark, sf, tmp_path):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     texts += [None, "", "a b 5", "भारत " * 200 + "GDP gdp 7.5% Gdp 12kg v1.2/x-y ३४ 1,000,000", " ".join(f"W{k % 12} w{k % 12}" for k in range(400))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.anchors for r in q.QUERIES["f20_anchors_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.anchors for r in q.QUERIES["f20_anchors"](spark, str(tmp_path)).collect()}
     assert got == {k: plain(x) for k, x in enumerate(texts)}
 
 
 def test_every_vector_has_a_relevance(spark, sf):
     ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
-    assert sorted(r.vec_id for r in q.QUERIES["s2_embedding_relevance_all"](spark, sf).collect()) == sorted(ids)
+    assert sorted(r.vec_id for r in q.QUERIES["s2_embedding_relevance"](spark, sf).collect()) == sorted(ids)

