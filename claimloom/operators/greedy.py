@@ -11,6 +11,8 @@ from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,23 +134,35 @@ def drop_similar(rows: DataFrame, by: str, pos: str, above: float = 0.90, url: s
 
 
 def distinct_claims(rows: DataFrame, by: str, pos: str, text: str = "sentence", at_least: float = 0.78, most: int = 20) -> DataFrame:
-    """Candidates in order, less those whose tokens are at_least like a kept one's; at most so many for each document."""
+    """Candidates in order, less those whose tokens are at_least like a kept one's; the first `most` for each document."""
 
-    def order(f: pd.DataFrame) -> list[int]:
+    def order(texts: list[str]) -> list[int]:
         kept, tokens, keys = [], [], set()
-        for i, s in enumerate(f[text].fillna("")):
+        for i, s in enumerate(texts):
             if len(kept) >= most:
                 break
-            key = " ".join(s.lower().split())
-            t = set(_CLAIM_TOKENS.findall(key))
-            if key in keys or any(len(t & o) / (len(t | o) or 1) >= at_least for o in tokens):
+            key = " ".join((s or "").lower().split())
+            if key in keys:
                 continue
-            keys.add(key)
-            tokens.append(t)
-            kept.append(i)
+            t = set(_CLAIM_TOKENS.findall(key))
+            n = len(t)
+            for o in tokens:
+                if min(n, len(o)) > (at_least - 0.01) * max(n, len(o)) and (both := len(t & o)) / ((n + len(o) - both) or 1) >= at_least:
+                    break
+            else:
+                keys.add(key)
+                tokens.append(t)
+                kept.append(i)
         return kept
 
-    return _per_group(rows, by, pos, order)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(pos, "ascending")]))
+        picked = order(table.column(text).to_pylist())
+        return table.take(pa.array(picked, pa.int64())).append_column("place", pa.array(range(1, len(picked) + 1), pa.int64()))
+
+    ship(rows.sparkSession)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy(by).applyInArrow(run, f"{names}, place long")
 
 
 def informative_claims(rows: DataFrame, by: str, pos: str, text: str = "sentence", overlap: float = 0.60, most: int = 2) -> DataFrame:
