@@ -287,12 +287,15 @@ def f24(spark, sf):
 _DATED = " OR ".join(f"regexp_matches(x, '{p}')" for p in X.DATE_PATTERNS)
 
 
-@query("f9_fact_span", EV + f"""
-, s AS (SELECT pos, {PIECES.format('text', '.!?')} AS s, {tok('claim')} AS c FROM ev),
-g AS (SELECT *, list_filter(s, lambda x: len(list_intersect({tok('x')}, c)) > 0 OR {_DATED} OR regexp_matches(x, '(?i){X.NUMERIC}')) AS good FROM s)
-SELECT pos, CASE WHEN len(s) = 0 THEN '' WHEN len(c) = 0 THEN substr(s[1], 1, 700) WHEN len(good) = 0 THEN substr(s[1], 1, 900)
-  ELSE substr(list_reduce(good, lambda a, x: CASE WHEN length(a) > 700 THEN a ELSE a || ' ' || x END), 1, 900) END AS span FROM g
-""")
+SPAN = f"""
+, sp AS (SELECT *, {PIECES.format('text', '.!?')} AS s, {tok('claim')} AS c FROM ev),
+g AS (SELECT *, list_filter(s, lambda x: len(list_intersect({tok('x')}, c)) > 0 OR {_DATED} OR regexp_matches(x, '(?i){X.NUMERIC}')) AS good FROM sp),
+sn AS (SELECT *, CASE WHEN len(s) = 0 THEN '' WHEN len(c) = 0 THEN substr(s[1], 1, 700) WHEN len(good) = 0 THEN substr(s[1], 1, 900)
+  ELSE substr(list_reduce(good, lambda a, x: CASE WHEN length(a) > 700 THEN a ELSE a || ' ' || x END), 1, 900) END AS span FROM g)
+"""
+
+
+@query("f9_fact_span", EV + SPAN + "SELECT pos, span FROM sn")
 def f9(spark, sf):
     return evidence(spark, sf).select("pos", X.fact_span("text", X.token_set("claim")).alias("span"))
 
@@ -479,7 +482,16 @@ def k1(spark, sf):
     return C.with_rank(e, ["claim_id"], [F.desc("quality"), "pos"], "rank").select("claim_id", "pos", "quality", F.col("rank").cast("long").alias("rank"))
 
 
-@query("k2_mmr")
+_JACCARD = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+
+
+@query("k2_mmr", EV + f"""
+, r AS (SELECT claim_id, pos, score, {tok("title || ' ' || source || ' ' || text")} AS w, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, pos) AS rank FROM ev),
+l AS (SELECT claim_id, list({{'rank': rank, 'score': score, 'w': w}} ORDER BY rank) AS l FROM r WHERE rank <= 30 GROUP BY claim_id),
+p AS (SELECT claim_id, list_transform(list_reduce(range(10), lambda k, i: CASE WHEN len(k) >= len(l) THEN k ELSE list_append(k, list_filter(l, lambda z: z.rank = -(list_max(list_transform(list_filter(l, lambda x: NOT list_contains(list_transform(k, lambda y: y.rank), x.rank)),
+    lambda x: {{'v': 0.75::DOUBLE * x.score - 0.25::DOUBLE * coalesce(list_max(list_transform(k, lambda y: {_JACCARD.format('x.w', 'y.w')})), 0.0::DOUBLE), 'n': -x.rank}}))).n)[1]) END, l[1:0]), lambda y: y.rank) AS k FROM l)
+SELECT claim_id, pos, CASE WHEN rank > 30 THEN rank WHEN list_contains(k, rank) THEN list_position(k, rank) ELSE len(k) + rank - len(list_filter(k, lambda y: y < rank)) END::BIGINT AS place FROM r JOIN p USING (claim_id)
+""")
 def k2(spark, sf):
     e = C.with_rank(evidence(spark, sf), ["claim_id"], [F.desc("score"), "pos"], "rank").select("claim_id", "pos", F.col("rank").cast("long").alias("rank"), "score", "title", "source", "text")
     return G.mmr(e, "claim_id", "rank", 10).select("claim_id", "pos", "place")
@@ -496,7 +508,15 @@ def k3(spark, sf):
     return G.diversity(e, "claim_id", "pos", 12, 2).select("claim_id", "pos", "place")
 
 
-@query("k4_drop_similar")
+_TWIN = "list_filter(a.kept, lambda y: len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w))::DOUBLE / least(len(x.w), len(y.w)) > 0.9::DOUBLE)[1]"
+
+
+@query("k4_drop_similar", EV + f"""
+, r AS (SELECT claim_id, list({{'pos': pos, 'url': url, 'score': score, 'w': {WORDS.format('text')}}} ORDER BY pos) AS l FROM ev GROUP BY claim_id),
+z AS (SELECT claim_id, list_reduce(l, lambda a, x: CASE WHEN x.url <> '' AND list_contains(a.urls, x.url) THEN a WHEN {_TWIN} IS NULL THEN {{'kept': list_append(a.kept, x), 'urls': list_append(a.urls, x.url)}}
+  WHEN x.score > {_TWIN}.score THEN {{'kept': list_append(list_filter(a.kept, lambda q: q.pos <> {_TWIN}.pos), x), 'urls': a.urls}} ELSE a END, {{'kept': l[1:0], 'urls': []::VARCHAR[]}}).kept AS k FROM r)
+SELECT claim_id, unnest(list_transform(k, lambda y: y.pos)) AS pos, unnest(range(1, len(k) + 1)) AS place FROM z
+""")
 def k4(spark, sf):
     return G.drop_similar(evidence(spark, sf).select("claim_id", "pos", "url", "text", "score"), "claim_id", "pos").select("claim_id", "pos", "place")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import urls as U
+from .functions.values import OPINION
 from .operators import classify as C
 from .operators import dataset as D
 from .operators import evaluate as E
@@ -14,7 +15,7 @@ from .operators import scoring as S
 from .operators import selection as K
 from .operators import verdict as V
 from .plans import verify
-from .queries import DOWN, EV, EVEN, SENTENCES, TABLE, UP, evidence, query, t, tok, words
+from .queries import DOWN, EV, EVEN, PIECES, SENTENCES, TABLE, UP, evidence, query, t, tok, words
 from .streaming import limits as L
 
 # scores ------------------------------------------------------------------------------------------------------------------
@@ -573,6 +574,25 @@ def plan_verify(spark, sf):
     return verify.verify_claims(t(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text"), UP, DOWN, EVEN)
 
 
-@query("plan_best_claims")
+_WORDS = r"len(list_filter(string_split(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+_EDGES = r"^[\s\-–—•*]+|[\s\-–—•*]+$"
+_CLEANED = rf"regexp_replace(regexp_replace(replace(regexp_replace(x, '{_EDGES}', '', 'g'), chr(2), ''), '{X.OCR_PREFIX}', ''), '^\s+|\s+$', '', 'g')"
+_LIKE = rf"""(NOT regexp_matches(lower(@), '^(?:(?:figure|table|chart|source|note|page|section){X.RIGHT}|fig\.[\p{{L}}\p{{N}}_])') AND (regexp_matches(@, '[.!?।]$') OR len(list_intersect(regexp_extract_all(lower(@), '([A-Za-z'']+)'), [{", ".join(f"'{v}'" for v in X.SENTENCE_VERBS)}])) > 0 OR regexp_matches(@, '[,:;]')))"""
+_FACTS = rf"(regexp_matches(x, '{X.LEFT}\d{{1,4}}{X.RIGHT}|%|₹|\$') OR regexp_matches(x, '{X.LEFT}[A-Z][a-z]+{X.RIGHT}') OR " + " OR ".join(f"contains(lower(x), '{v}')" for v in X.FACT_VERBS) + ")"
+_OPINIONS = " OR ".join(f"contains(lower(x), '{o}')" for o in OPINION)
+
+
+@query("plan_best_claims", rf"""
+WITH a AS (SELECT doc_id, text, regexp_replace(trim(regexp_replace(regexp_replace(text, '\b([A-Za-z])\.\s+([A-Za-z])\.\b', '\1.\2.', 'g'), '\s+', ' ', 'g')), '\b((?:[A-Za-z]\.){{2,}})', '\1' || chr(2), 'g') AS m FROM documents),
+c AS (SELECT doc_id, list_filter(list_transform({SENTENCES.replace("(text,", "(m,")}, lambda x: {_CLEANED}), lambda x: length(x) >= 20 AND {_WORDS.format('x')} BETWEEN 15 AND 80 AND {_LIKE.replace('@', 'x')}) AS l FROM a),
+e AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS x FROM c UNION ALL SELECT doc_id, 1000000000 + i, l[i] || ' ' || l[i + 1] FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM c WHERE len(l) > 1) WHERE {_WORDS.format("(l[i] || ' ' || l[i + 1])")} BETWEEN 15 AND 80),
+f AS (SELECT doc_id, list({{'pos': pos, 'x': x, 'k': k, 'w': list_distinct(regexp_extract_all(k, '([A-Za-zऀ-ൿ0-9%]+)', 1))}} ORDER BY pos) AS l FROM (SELECT *, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS k FROM e WHERE {_FACTS}) GROUP BY doc_id),
+g AS (SELECT doc_id, list_reduce(l, lambda k, x: CASE WHEN len(k) < 20 AND len(list_filter(k, lambda y: y.k = x.k OR len(list_intersect(x.w, y.w))::DOUBLE / greatest(len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)), 1) >= 0.78)) = 0 THEN list_append(k, x) ELSE k END, l[1:0]) AS k FROM f),
+h AS (SELECT doc_id, y.pos AS pos, y.x AS x FROM (SELECT doc_id, unnest(k) AS y FROM g)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS n FROM (SELECT *, round(({_claim_score('x')})::DOUBLE, 6) AS score FROM h WHERE NOT ends_with(trim(x), '?') AND NOT ({_OPINIONS}))),
+b AS (SELECT doc_id, x AS sentence, score FROM r WHERE n = 1),
+z AS (SELECT doc_id, list_filter({PIECES.format('text', '.!?।')}, lambda x: {_WORDS.format('x')} >= 15 AND {_LIKE.replace('@', 'x')})[1] AS sentence FROM documents)
+SELECT doc_id, coalesce(b.sentence, z.sentence) AS sentence, score FROM z LEFT JOIN b USING (doc_id) WHERE coalesce(b.sentence, z.sentence) IS NOT NULL
+""")
 def plan_documents(spark, sf):
     return verify.best_claims(t(spark, sf, "documents"), "doc_id", "text")

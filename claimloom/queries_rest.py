@@ -12,7 +12,7 @@ from .operators import dataset as D
 from .operators import evaluate as E
 from .operators import scoring as S
 from .operators import selection as K
-from .queries import EV, evidence, query, t, tok
+from .queries import EV, SPAN, evidence, query, t, tok
 from .queries_more import _RUN, run
 from .sources import providers as P
 
@@ -212,7 +212,16 @@ def s17(spark, sf):
     return d.select("doc_id", F.round(q, 6).alias("quality"))
 
 
-@query("s17_enriched_rows")
+_FIRST = "coalesce({}, '')".format(", ".join(f"nullif(regexp_extract(x, '{p}', 1), '')" for p in X.DATE_PATTERNS))
+
+
+@query("s17_enriched_rows", EV + SPAN + f"""
+, t AS (SELECT *, CASE WHEN span <> '' THEN span ELSE trim(text) END AS x FROM sn WHERE trim(text) <> ''),
+u AS (SELECT *, coalesce(trim(regexp_extract(x, '{X.LEFT}([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}){X.RIGHT}', 1)), '') AS entity, {_FIRST} AS date, coalesce(trim(regexp_extract(x, '(?i){X.NUMERIC}', 1)), '') AS numeric_claim, CASE WHEN len(c) = 0 THEN 0 ELSE len(list_intersect({tok('x')}, c))::DOUBLE / len(c) END AS o FROM t),
+q AS (SELECT *, 0.55::DOUBLE * o + CASE WHEN date <> '' THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN numeric_claim <> '' THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN entity <> '' THEN 0.10::DOUBLE ELSE 0 END AS quality FROM u)
+SELECT pos, CASE WHEN length(span) >= 60 THEN span ELSE text END AS text, span AS fact_span, entity, date, numeric_claim, round(quality, 6) AS quality, quality >= 0.62 AS structured_from_scrape FROM q
+UNION ALL SELECT pos, text, NULL, NULL, NULL, NULL, NULL, NULL FROM sn WHERE trim(text) = ''
+""")
 def s17b(spark, sf):
     """What is found in whole scraped texts, and the text that goes on."""
     e = S.enriched(evidence(spark, sf).select("pos", "claim", "text"))
