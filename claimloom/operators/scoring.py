@@ -41,10 +41,16 @@ def keyword_stance(claim: Column | str, text: Column | str, support=SUPPORT_CUES
     """struct(support, refute, neutral): cue hits, 0.3 for each shared word over three, over their total and 0.1. Stop words count here."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
     shared = F.size(F.array_intersect(word_set(claim), word_set(text)))
-    s = cue_hits(low, support).cast("double") + F.when(shared > 3, shared * 0.3).otherwise(0.0)
-    r, n = cue_hits(low, refute).cast("double"), cue_hits(low, neutral).cast("double")
-    total = s + r + n + 0.1
-    return F.struct((s / total).alias("support"), (r / total).alias("refute"), (n / total).alias("neutral"))
+
+    def shares(x: Column) -> Column:
+        s = x["s"].cast("double") + F.when(x["shared"] > 3, x["shared"] * 0.3).otherwise(0.0)
+        r, n = x["r"].cast("double"), x["n"].cast("double")
+        total = s + r + n + 0.1
+        return F.struct((s / total).alias("support"), (r / total).alias("refute"), (n / total).alias("neutral"))
+
+    # words and cues are found once a row: as the element of an array they have a name
+    found = F.struct(cue_hits(low, support).alias("s"), cue_hits(low, refute).alias("r"), cue_hits(low, neutral).alias("n"), shared.alias("shared"))
+    return F.transform(F.array(found), shares)[0]
 
 
 def stance_label(p: Column) -> Column:
