@@ -46,10 +46,13 @@ def topics(claims: DataFrame, taxonomy: DataFrame, key: str, text: str, divisor:
     dim = dim.groupBy(*(within or [])).agg(F.sort_array(F.collect_list(F.struct("pos", "label", "ks"))).alias("_dim"))
     joined = claims.join(dim, within, "left") if within else claims.crossJoin(F.broadcast(dim))
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.transform("_dim", lambda d: F.struct(F.size(F.filter(d["ks"], lambda k: F.contains(low, k))).alias("n"), (-d["pos"]).alias("p"), d["label"].alias("label")))
-    best = F.array_max(hits)
+    # the text is lower-cased once a row: as the element of an array it has a name
+    of = lambda x: F.transform("_dim", lambda d: F.struct(F.size(F.filter(d["ks"], lambda k: F.contains(x, k))).alias("n"), (-d["pos"]).alias("p"), d["label"].alias("label")))
+    best = F.transform(F.array(low), lambda x: F.array_max(of(x)))[0]
+    joined = joined.withColumn("_best", best)
+    best = F.col("_best")
     got = F.coalesce(best["n"], F.lit(0)) > 0
-    return joined.withColumn("label", F.when(got, best["label"]).otherwise(default)).withColumn("conf", F.when(got, F.least(best["n"] / F.lit(float(divisor)), F.lit(cap))).otherwise(default_conf)).drop("_dim")
+    return joined.withColumn("label", F.when(got, best["label"]).otherwise(default)).withColumn("conf", F.when(got, F.least(best["n"] / F.lit(float(divisor)), F.lit(cap))).otherwise(default_conf)).drop("_dim", "_best")
 
 
 def classify(claims: DataFrame, level1: DataFrame, level2: DataFrame, key: str, text: str) -> DataFrame:

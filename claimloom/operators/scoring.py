@@ -48,9 +48,9 @@ def keyword_stance(claim: Column | str, text: Column | str, support=SUPPORT_CUES
         total = s + r + n + 0.1
         return F.struct((s / total).alias("support"), (r / total).alias("refute"), (n / total).alias("neutral"))
 
-    # words and cues are found once a row: as the element of an array they have a name
-    found = F.struct(cue_hits(low, support).alias("s"), cue_hits(low, refute).alias("r"), cue_hits(low, neutral).alias("n"), shared.alias("shared"))
-    return F.transform(F.array(found), shares)[0]
+    # the lower-cased text, words and cues are found once a row: as elements of arrays they have names
+    found = F.transform(F.array(low), lambda x: F.struct(cue_hits(x, support).alias("s"), cue_hits(x, refute).alias("r"), cue_hits(x, neutral).alias("n"), shared.alias("shared")))
+    return F.transform(found, shares)[0]
 
 
 def stance_label(p: Column) -> Column:
