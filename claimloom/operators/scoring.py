@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, clamp, entity, fact_span, first_date, norm_key, numeric_claim, overlap_ratio, token_set, word_set
+from ..functions.text import SPACE, STOPWORDS, clamp, entity, fact_span, first_date, numeric_claim, overlap_ratio, token_set, word_set
 from ..functions.urls import has_any, host, in_domains
 from ..functions.values import CREDIBILITY, DISCUSSION, HALF_LIFE, HIGH_TRUST, LOW_TRUST, NEUTRAL_CUES, POLARITY_REFUTE, POLARITY_SUPPORT, REFUTE_CUES, SUPPORT_CUES
 
@@ -254,7 +254,7 @@ def claim_score(c: Column | str) -> Column:
     """How much a sentence looks like a checkable claim: numbers, years, names, reports, impact, a length of about 28 words."""
     t = F.col(c) if isinstance(c, str) else c
     low = F.lower(t)
-    n = F.size(F.filter(F.split(norm_key(t), " "), lambda w: w != ""))
+    n = F.regexp_count(t, F.lit(f"[^{SPACE[1:-1]}]+"))
     hit = lambda cond, v: F.when(cond, v).otherwise(0.0)
     return (
         hit(t.rlike(r"(?:^|[^\p{L}\p{N}_])(?:19|20)\d{2}(?:$|[^\p{L}\p{N}_])"), 2.0)
