@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import band_join, fingerprints, html_extract, language_id, license_scan, mixing, near_dedup, secret_scan, token_files, tokens, vector_search, warc_zst
+from . import band_join, fingerprints, hard_negatives, html_extract, language_id, license_scan, mixing, near_dedup, secret_scan, token_files, tokens, vector_search, warc_zst
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_round_trip": tokens.op8,
     "op9_fingerprints": fingerprints.op9,
     "op10_vector_search": vector_search.op10,
+    "op11_hard_negatives": hard_negatives.op11,
     "op12_warc_zst": warc_zst.op12,
     "op13_band_join": band_join.op13,
 }
@@ -41,4 +42,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-SQL = {"op2_near_dedup": OP2_SQL, "op5_source_mix": mixing.OP5_SQL, "op12_warc_zst": warc_zst.OP12_SQL, "op13_band_join": band_join.OP13_SQL}
+SQL = {"op2_near_dedup": OP2_SQL, "op5_source_mix": mixing.OP5_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL, "op12_warc_zst": warc_zst.OP12_SQL, "op13_band_join": band_join.OP13_SQL}
