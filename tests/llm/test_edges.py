@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as P
 from claimloom.llm.queries import QUERIES, SQL
 from tests.conftest import same
+from tests.llm.test_joins import plain_band
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -14,6 +15,12 @@ def test_odd_rows(spark, tables, name):
         assert sorted((r.page_id is None, r.text) for r in got) == sorted([(False, "A B & C"), (False, ""), (False, ""), (False, ""), (True, "deep"), (False, "plain text")])
     elif name.startswith("op10_"):
         assert {(r.query_id, r["rank"]): r.vec_id for r in got if r.query_id != 200} == {(0, 1): 100, (0, 2): 1, (0, 3): 7, (0, 4): 200, (0, 5): 200, (100, 1): 0, (100, 2): 1, (100, 3): 7, (100, 4): 200, (100, 5): 200}
+    elif name.startswith("op11_"):
+        assert sorted(map(tuple, got)) == [(200, 200, 1, 1, 65536, 32768)] * 2
+    elif name.startswith("op12_"):
+        assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(0, 9004, "response", None), (1, 66, "response", None), (2, 0, "response", None), (3, 0, "revisit", 2), (3, 0, "revisit", 2), (5, 20, "response", None)]
+    elif name.startswith("op13_"):
+        assert sorted(map(str, got)) == sorted(map(str, plain_band(tables["odd"])))
     else:
         assert len(got) == 12
 
