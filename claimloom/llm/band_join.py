@@ -18,6 +18,8 @@ from .common import bound_batches, stage
 DIGITS, WIDTH = 2, 100
 #: Leaves or keys of a block from which blocks get more digits.
 LEAVES = 100_000
+#: A p with more than one in HOT of all keys is salted; there are fewer than HOT of them.
+HOT = 1000
 TOP = 1 << 60
 
 
@@ -143,7 +145,8 @@ def band_join(keys: DataFrame, values: DataFrame, owner: str = "item_id", order:
     interval goes to the blocks that it touches (three at most with two digits), where three descents give its totals and a
     best-first walk its nearest lines. Blocks have more digits where one of them would have more than leaves_most leaves.
     An owner's own values are taken off its totals by a join of sums by (owner, u). No stage holds one row per line of a
-    hot owner or a hot u, and nothing is broadcast or collected but the largest block's size.
+    hot owner or a hot u. Keys of a common p are salted. Broadcast are only these p, fewer than HOT; collected is nothing
+    but the largest block's size and the number of keys.
     """
     spark = keys.sparkSession
     bound_batches(spark)
@@ -159,7 +162,9 @@ def band_join(keys: DataFrame, values: DataFrame, owner: str = "item_id", order:
     left = keys.select(owner, "p").groupBy(owner, "p").agg(F.count("*").alias("copies"))
     fine = F.col(owner).isNotNull() & F.col("p").isNotNull() & (F.abs("p") < TOP)
     lo, hi = band(gap, permille)
-    asked = stage(left.where(fine).select("p").distinct().withColumns({"lo": lo, "hi": hi}), "asked")
+    asked = stage(left.where(fine).groupBy("p").agg(F.count("*").alias("owners")).withColumns({"lo": lo, "hi": hi}), "asked")
+    share = (asked.agg(F.sum("owners")).first()[0] or 0) // HOT + 64
+    hot = F.broadcast(asked.where(F.col("owners") > share).select("p", F.ceil(F.col("owners") / share).cast("int").alias("salts")))
     leaves, digits = stage(leaves, "leaves"), DIGITS
     sizes = leaves.select(block_of(F.col("u"), digits).alias("b")).unionAll(asked.select(block_of(F.col("p"), digits))).groupBy("b").count()
     most = sizes.agg(F.max("count")).first()[0] or 0
@@ -181,7 +186,9 @@ def band_join(keys: DataFrame, values: DataFrame, owner: str = "item_id", order:
 
     within = left.where(fine).select(owner, "p", lo.alias("lo"), hi.alias("hi")).join(own, owner).where("u BETWEEN lo AND hi")
     off = within.groupBy(owner, "p").agg(F.sum("n").alias("own_n"), F.sum(F.col("n") * F.abs(F.col("u") - F.col("p"))).alias("own_gap"), F.sum("w").alias("own_w"))
-    both = left.where(fine).join(off, [owner, "p"], "left").join(found, "p", "left").unionByName(left.where(~F.coalesce(fine, F.lit(False))), allowMissingColumns=True)
+    found = found.join(hot, "p", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    salted = left.where(fine).join(off, [owner, "p"], "left").join(hot, "p", "left").withColumn("salt", F.pmod(F.xxhash64(owner), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    both = salted.join(found, ["p", "salt"], "left").unionByName(left.where(~F.coalesce(fine, F.lit(False))), allowMissingColumns=True)
     minus = lambda a, b: F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))
     near = F.slice(F.filter("lines", lambda x: x[owner] != F.col(owner)), 1, k)
     near = F.coalesce(near, F.array().cast(T.ArrayType(entry)))
