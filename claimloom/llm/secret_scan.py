@@ -34,7 +34,8 @@ MORE = [
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abeprs]-[A-Za-z0-9-]{10,}")),
     ("google", re.compile(r"AIza[0-9A-Za-z_-]{35,}")),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+")),
+    # from the first eyJ of the run before the point; each run is looked at twice at most
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++)")),
 ]
 ANCHORS = {"pem": "-----BEGIN ", "github": "gh", "slack": "xox", "google": "AIza", "jwt": "eyJ"}
 BASE = ("assign", "access", "hex")
@@ -69,7 +70,8 @@ def find(text: str) -> list[tuple[str, int, int, str, int, int]]:
         if kind == "pem":
             out += [(kind, *m.span(), *_body(m)) for m in pattern.finditer(text)]
         else:
-            out += [(kind, *m.span(), m[0], *m.span()) for m in pattern.finditer(text)]
+            of = pattern.groups
+            out += [(kind, *m.span(of), m[of], *m.span(of)) for m in pattern.finditer(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -104,9 +106,10 @@ def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
 
     A value in a third of all rows is summed in each task before anything is shuffled.
     """
-    each = found.where(F.size("found") > 0).select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.explode("found.hash").alias("hash"))
-    by_owner = each.distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    both = F.array(F.struct(F.lit(True).alias("repo"), F.col(repo).cast("string").alias("name")), F.struct(F.lit(False).alias("repo"), F.col(owner).cast("string").alias("name")))
+    each = found.where(F.size("found") > 0).select(F.explode(F.array_distinct("found.hash")).alias("hash"), both.alias("both"))
+    each = each.select("hash", F.inline("both")).distinct()
+    return each.groupBy("hash").agg(F.count_if("repo").alias("n_repos"), F.count_if(~F.col("repo")).alias("n_owners"))
 
 
 def judged(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", most_owners: int = 1, most_repos: int = MOST_REPOS, drop_text: bool = False) -> DataFrame:
@@ -115,7 +118,8 @@ def judged(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str
     A candidate value is an example that people copy if more than most_owners owners or more than most_repos
     repositories hold it. One that stays with its owner in a few repositories and looks drawn at random is live, and its
     value gets a span of kind `live` besides the candidate's own. Texts are scanned once, into a written table with a
-    number for each row, so that repeated rows and ids stay apart; only what was found meets the counts, and of the texts
+    number for each row, so that repeated rows and ids stay apart; only what was found meets the counts, which are written
+    out first so that adaptive execution can split a value of very many rows; and of the texts
     only those with candidates, a few, are shuffled, once each. A null text has no spans. Columns of docs called spans,
     n_live, n_example or found are replaced, others of any name stay.
     """
@@ -123,7 +127,7 @@ def judged(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str
     names = [c for c in keep.columns if not (drop_text and c == text)]
     found = stage(scan(keep, text, drop_text).withColumn("_row", F.monotonically_increasing_id()), "found")
     hits = found.where(F.size("found") > 0)
-    owned = ownership(hits, repo, owner)
+    owned = stage(ownership(hits, repo, owner), "owned")
     kinds = F.array(*[F.lit(k) for k in KINDS])
     rank = lambda k: F.array_position(kinds, k).cast("int")
     span = lambda f, k, s, e: F.struct(f[s].alias("start"), rank(k).alias("rank"), k.alias("kind"), f[e].alias("stop"))
