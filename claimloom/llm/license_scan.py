@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +15,13 @@ from .common import bound_batches, set_aside, small_batches, utf8
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: Words that a replaceable region never takes in: with them its wording would grant, forbid or demand something.
+CONDITIONS = frozenset(
+    "only not no nor never non must shall may can cannot could will would should except excluding unless if when where until while provided providing condition conditions subject permission permissions permit permits permitted prohibited prohibits forbidden allowed disallowed restricted restriction restrictions required requires commercial commercially noncommercial sell sells sold sale selling resale pay pays paid payment fee fees royalty royalties charge charges rent use uses used using distribute distributes distributed distribution redistribute modify modifies modified modification granted grant grants revoked terminate terminates written consent warranty warranties liable liability damages obligation however but option options version later nothing else anything".split()
+)
+
 # The wording of public licences, as templates. [[ ]] encloses an optional region; {{m-n}} is a replaceable
-# region of m to n words, {{m-}} of m words or more. Everything else is mandatory, word by word.
+# region of m to n words, {{m-}} of m words or more, of which none is in CONDITIONS. Everything else is mandatory, word by word.
 _AS_IS_HOLDERS = """this software is provided by {{1-}} as is and any express or implied warranties including but not limited to the implied
  warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-}} be liable for any direct indirect
  incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or
@@ -44,10 +50,9 @@ _APACHE_HEADER = """licensed under the apache license version 2 0 the license yo
 
 
 def _gnu(name: str, version: str) -> str:
-    """The notice that files under a licence of that family carry. The program's name before `is distributed` is one to four
-    words: a longer region there would take in altered wording of the option before it."""
+    """The notice that files under a licence of that family carry."""
     return f"""is free software you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software
- foundation [[either]] version {version} of the license [[or at your option any later version]] {{{{1-4}}}} is distributed in the hope that it will be useful
+ foundation [[either]] version {version} of the license [[or at your option any later version]] {{{{1-}}}} is distributed in the hope that it will be useful
  but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} public license for
  more details"""
 
@@ -80,9 +85,18 @@ def words_of(text: bytes) -> tuple[bytes, list[bytes]]:
     return folded, folded.split()
 
 
+_CONDITIONS = frozenset(w.encode() for w in CONDITIONS)
+
+
+def taken(word: bytes) -> tuple[bytes | None, ...]:
+    """What leads on from a state at a word: the word itself and, unless it states a condition, a region."""
+    return (word,) if word in _CONDITIONS else (word, None)
+
+
 class Automaton:
     """States are positions in a template; a word leads from state to state, an optional region can be skipped, and a
-    replaceable region takes any words within its bounds. A text is accepted where all mandatory words match exactly."""
+    replaceable region takes words within its bounds, but none of CONDITIONS. A text is accepted where all mandatory words
+    match exactly."""
 
     def __init__(self, template: str):
         self.next: list[dict[bytes | None, list[int]]] = [{}]
@@ -96,18 +110,18 @@ class Automaton:
             elif part == "]]":
                 self.skip[opened.pop()].append(now)
             elif part.startswith("{{"):
-                least, _, most = part[2:-2].partition("-")
+                least, dash, most = part[2:-2].partition("-")
                 steps = [now]
                 for _ in range(int(most or least)):
                     now = self._add(now, None)
                     steps.append(now)
-                if not most:  # a state of its own that any word leads back to
+                if dash and not most:  # a state of its own that such words lead back to
                     self.next.append({None: [len(self.next)]})
                     self.skip.append([])
                     self.skip[now].append(len(self.next) - 1)
                     now = len(self.next) - 1
-                for s in steps[int(least) : -1] if most else ():
-                    self.skip[s].append(now)
+                for state in steps[int(least) : -1] if most else ():
+                    self.skip[state].append(now)
             else:
                 now = self._add(now, part.encode())
                 if not opened:
@@ -143,10 +157,9 @@ class Automaton:
             if at >= len(words) or not states:
                 return end
             w = words[at]
-            states = self.closure({t for s in states for k in (w, None) for t in self.next[s].get(k, ())})
+            states = self.closure({t for s in states for k in taken(w) for t in self.next[s].get(k, ())})
             at += 1
 
-
     def places(self, words: list[bytes]) -> list[tuple[int, int]]:
         """(start, end) of accepted runs, each end with its earliest start. All places are followed side by side, so that a
         replaceable region of any length costs no more than its states do."""
@@ -159,7 +172,7 @@ class Automaton:
             if not live:
                 continue
             after: dict[int, int] = {}
-            todo = [(t, start) for s, start in live.items() for k in (w, None) for t in self.next[s].get(k, ())]
+            todo = [(t, start) for s, start in live.items() for k in taken(w) for t in self.next[s].get(k, ())]
             while todo:
                 t, start = todo.pop()
                 if start < after.get(t, at + 1):
@@ -171,6 +184,36 @@ class Automaton:
         return out
 
 
+_MARK = re.compile(r"<<(beginOptional|endOptional|var)\b(?:[^<>]|<(?!<)|>(?!>))*>>|\[\[|\]\]|\{\{\d+-?\d*\}\}")
+
+
+def template_of(text: str) -> str:
+    """A template from a licence's whole text, with this module's markup or that of <<beginOptional>>, <<endOptional>> and
+    <<var;name="...";original="...";match="...">>: a variable is a region of one word or more, or of none if its
+    pattern may match nothing. All else is folded to words like the texts that are scanned."""
+    parts, at, depth = [], 0, 0
+    fold = lambda t: [w.decode() for w in words_of(t.encode())[1]]
+    for m in _MARK.finditer(text):
+        parts += fold(text[at : m.start()])
+        at, mark = m.end(), m[1] or m[0]
+        depth += {"beginOptional": 1, "[[": 1, "endOptional": -1, "]]": -1}.get(mark, 0)
+        if depth < 0:
+            raise ValueError("an optional region ends that never began")
+        if mark == "var":
+            match = re.search(r'match="([^"]*)"', m[0])
+            parts.append("{{0-}}" if match and re.fullmatch(match[1], "") else "{{1-}}")
+        else:
+            parts.append({"beginOptional": "[[", "endOptional": "]]"}.get(mark, mark))
+    if depth:
+        raise ValueError("an optional region never ends")
+    return " ".join(parts + fold(text[at:]))
+
+
+def load_templates(folder: str) -> dict[str, list[str]]:
+    """Templates of all files of a folder on the driver, labelled by their names without ending; pass them to `scan`."""
+    return {p.stem.lower() + "-text": [template_of(p.read_text(encoding="utf-8"))] for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
+
 @lru_cache(maxsize=4)
 def automata(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[str, bool, Automaton]]:
     """(label, is base, automaton) of the base phrases and of the templates."""
