@@ -190,7 +190,8 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
     again = stage(firsts(rows.select("page_id", "digest")), "firsts")
-    some = rows.where(F.length("body") > 0).select(F.xxhash64("page_id", "digest").alias("draw"), F.substring("body", 1, SAMPLE_BYTES).alias("body"))
+    draw, one_in = F.xxhash64("page_id", "digest"), max(1, rows.count() // (4 * SAMPLE))
+    some = rows.where((F.length("body") > 0) & (F.pmod(draw, F.lit(one_in)) == 0)).select(draw.alias("draw"), F.substring("body", 1, SAMPLE_BYTES).alias("body"))
     samples = [bytes(r.body) for r in some.orderBy("draw").limit(SAMPLE).collect()]
     dictionary = trained([record(k, f"https://host{k}.org/", x) for k, x in enumerate(samples)])
     lead = [dictionary_frame(dictionary)] if dictionary else []
