@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.patterns import FEW, group_hits
 from ..functions.text import LEFT, RIGHT, SCRIPTS, words
 from ..functions.urls import has_any
 from ..functions.values import OPINION
@@ -13,6 +14,8 @@ from ..functions.values import OPINION
 # Sources that every route ends with, and the order of kinds of sources.
 BASELINE_SOURCES = ["structured_api:wikipedia", "web_search:general", "scraping:general"]
 PRIORITY = ["structured_api", "web_search", "scraping"]
+#: Keywords of a taxonomy up to which it is held with the plan.
+MOST_KEYWORDS = 50_000
 
 
 def checkability(claim: str, lang: str, bypass: tuple[str, ...] = (), min_words: int = 6, opinion=OPINION, model: Column | None = None) -> Column:
@@ -35,13 +38,49 @@ def relax(lang: Column, label: Column, confidence: Column, claim: Column, labels
     return ~F.startswith(F.lower(lang), F.lit("en")) & F.upper(F.trim(label)).isin(*labels) & (confidence < block_at) & factual_shape(claim)
 
 
+def _table(taxonomy: DataFrame, within: list[str]) -> list[tuple] | None:
+    """(within, pos, label, keywords) of a taxonomy, in order; null for one of more than MOST_KEYWORDS keywords."""
+    rows = taxonomy.select(*within, "pos", "label", "keyword").limit(MOST_KEYWORDS + 1).collect()
+    if len(rows) > MOST_KEYWORDS:
+        return None
+    held: dict[tuple, list[str]] = {}
+    for r in rows:
+        keywords = held.setdefault((tuple(r[c] for c in within), r.pos, r.label), [])
+        if r.keyword is not None:
+            keywords.append(r.keyword)
+    return [(*k, sorted(set(v))) for k, v in sorted(held.items(), key=str)]
+
+
+def _best(hits: Column, table: list[tuple], start: int, within: list[Column]) -> Column:
+    """struct(n, p, label) of the table's best label by the hits of its groups, which are numbered from `start`."""
+    labels = F.array(*[F.struct(F.array(*[F.lit(x) for x in w]).cast("array<string>").alias("within"), F.lit(pos).alias("pos"), F.lit(label).alias("label")) for w, pos, label, _ in table])
+    mine = F.filter(hits, lambda h: h["at"].between(start, start + len(table) - 1))
+    of = lambda h: F.element_at(labels, h["at"] - start + 1)
+    if within:
+        mine = F.filter(mine, lambda h: of(h)["within"] == F.array(*[c.cast("string") for c in within]))
+    return F.array_max(F.transform(mine, lambda h: F.struct(h["n"].alias("n"), (-of(h)["pos"]).alias("p"), of(h)["label"].alias("label"))))
+
+
+def _judged(rows: DataFrame, divisor: int, cap: float, default: str, default_conf: float) -> DataFrame:
+    """rows with label and conf of `_best`."""
+    best = F.col("_best")
+    got = F.coalesce(best["n"], F.lit(0)) > 0
+    return rows.withColumn("label", F.when(got, best["label"]).otherwise(default)).withColumn("conf", F.when(got, F.least(best["n"] / F.lit(float(divisor)), F.lit(cap))).otherwise(default_conf)).drop("_best")
+
+
 def topics(claims: DataFrame, taxonomy: DataFrame, key: str, text: str, divisor: int, cap: float, default: str, default_conf: float, within: list[str] | None = None) -> DataFrame:
     """claims with `label`, `conf`: the label (pos, label, keyword; and the columns of `within`) most of whose keywords the
     text contains, the first by pos of equals; conf is hits / divisor up to cap.
 
-    taxonomy is a dimension of a few hundred rows and is gathered into one array literal per label set, so that rows are
-    neither joined by inequality nor shuffled.
+    A taxonomy of more than a few keywords is one automaton, which reads a text once for all of them. Smaller ones, and
+    ones beyond MOST_KEYWORDS, are gathered into one array literal per label set. Rows are neither joined by inequality
+    nor shuffled.
     """
+    table = _table(taxonomy, within or [])
+    if table is not None and sum(len(x[-1]) for x in table) > FEW:
+        hits = group_hits(F.lower(F.coalesce(text, F.lit(""))), [x[-1] for x in table])
+        rows = claims.withColumn("_hits", hits)
+        return _judged(rows.withColumn("_best", _best(F.col("_hits"), table, 0, [F.col(c) for c in within or []])).drop("_hits"), divisor, cap, default, default_conf)
     dim = taxonomy.groupBy(*(within or []), "pos", "label").agg(F.collect_set("keyword").alias("ks"))
     dim = dim.groupBy(*(within or [])).agg(F.sort_array(F.collect_list(F.struct("pos", "label", "ks"))).alias("_dim"))
     joined = claims.join(dim, within, "left") if within else claims.crossJoin(F.broadcast(dim))
@@ -49,16 +88,22 @@ def topics(claims: DataFrame, taxonomy: DataFrame, key: str, text: str, divisor:
     # the text is lower-cased once a row: as the element of an array it has a name
     of = lambda x: F.transform("_dim", lambda d: F.struct(F.size(F.filter(d["ks"], lambda k: F.contains(x, k))).alias("n"), (-d["pos"]).alias("p"), d["label"].alias("label")))
     best = F.transform(F.array(low), lambda x: F.array_max(of(x)))[0]
-    joined = joined.withColumn("_best", best)
-    best = F.col("_best")
-    got = F.coalesce(best["n"], F.lit(0)) > 0
-    return joined.withColumn("label", F.when(got, best["label"]).otherwise(default)).withColumn("conf", F.when(got, F.least(best["n"] / F.lit(float(divisor)), F.lit(cap))).otherwise(default_conf)).drop("_dim", "_best")
+    return _judged(joined.withColumn("_best", best).drop("_dim"), divisor, cap, default, default_conf)
 
 
 def classify(claims: DataFrame, level1: DataFrame, level2: DataFrame, key: str, text: str) -> DataFrame:
-    """claims with level1, conf1, level2, conf2: the topic and, within it, the subtopic; general at 0.3 where the topic is unsure."""
-    one = topics(claims, level1, key, text, 3, 0.85, "GENERAL_FACTUAL", 0.5).withColumnRenamed("label", "level1").withColumnRenamed("conf", "conf1")
-    two = topics(one, level2, key, text, 2, 0.9, "general", 0.3, ["level1"])
+    """claims with level1, conf1, level2, conf2: the topic and, within it, the subtopic; general at 0.3 where the topic is
+    unsure. Two tables of many keywords share one pass over the text."""
+    first, second = (3, 0.85, "GENERAL_FACTUAL", 0.5), (2, 0.9, "general", 0.3)
+    tables = _table(level1, []), _table(level2, ["level1"])
+    if None not in tables and sum(len(x[-1]) for t in tables for x in t) > FEW:
+        low = F.lower(F.coalesce(text, F.lit("")))
+        rows = claims.withColumn("_hits", group_hits(low, [x[-1] for t in tables for x in t]))
+        one = _judged(rows.withColumn("_best", _best(F.col("_hits"), tables[0], 0, [])), *first).withColumnRenamed("label", "level1").withColumnRenamed("conf", "conf1")
+        two = _judged(one.withColumn("_best", _best(F.col("_hits"), tables[1], len(tables[0]), [F.col("level1")])).drop("_hits"), *second)
+    else:
+        one = topics(claims, level1, key, text, *first).withColumnRenamed("label", "level1").withColumnRenamed("conf", "conf1")
+        two = topics(one, level2, key, text, *second, ["level1"])
     weak = F.col("conf1") < 0.4
     return two.withColumn("level2", F.when(weak, "general").otherwise(F.col("label"))).withColumn("conf2", F.when(weak, 0.3).otherwise(F.col("conf"))).drop("label", "conf")
 

@@ -8,10 +8,14 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import FEW, first_hit, hit_counts
 from ..functions.text import SPACE, STOPWORDS, clamp, entity, fact_span, first_date, numeric_claim, overlap_ratio, token_set, word_set
 from ..functions.urls import has_any, host, in_domains
 from ..functions.values import CREDIBILITY, DISCUSSION, HALF_LIFE, HIGH_TRUST, LOW_TRUST, NEUTRAL_CUES, POLARITY_REFUTE, POLARITY_SUPPORT, REFUTE_CUES, SUPPORT_CUES
 
+#: Entries of a credibility table up to which it is an ordered CASE.
+LONG_TABLE = 200
+
 
 def zero(c: str) -> Column:
     return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -34,6 +38,9 @@ def embedding_relevance(a: Column, b: Column) -> Column:
 
 
 def cue_hits(text: Column, cues) -> Column:
+    """How many of the cues the text contains; many of them are looked for in one pass."""
+    if len(cues) > FEW:
+        return hit_counts(text, [cues])[0]
     return reduce(add, [F.contains(text, F.lit(c)).cast("int") for c in cues])
 
 
@@ -48,6 +55,10 @@ def keyword_stance(claim: Column | str, text: Column | str, support=SUPPORT_CUES
         total = s + r + n + 0.1
         return F.struct((s / total).alias("support"), (r / total).alias("refute"), (n / total).alias("neutral"))
 
+    if max(len(support), len(refute), len(neutral)) > FEW:  # one pass for all of them
+        held = F.array(F.struct(hit_counts(low, [support, refute, neutral]).alias("n"), shared.alias("shared")))
+        found = F.transform(held, lambda x: F.struct(x["n"][0].alias("s"), x["n"][1].alias("r"), x["n"][2].alias("n"), x["shared"].alias("shared")))
+        return F.transform(found, shares)[0]
     # the lower-cased text, words and cues are found once a row: as elements of arrays they have names
     found = F.transform(F.array(low), lambda x: F.struct(cue_hits(x, support).alias("s"), cue_hits(x, refute).alias("r"), cue_hits(x, neutral).alias("n"), shared.alias("shared")))
     return F.transform(found, shares)[0]
@@ -72,7 +83,12 @@ def polarity(claim: str, title: str, text: str, probs: str, relevance: str = "re
 
 
 def table_credibility(source: Column, url: Column, table=CREDIBILITY) -> Column:
-    """The value of the table's first entry that the source or the URL contains, null without one."""
+    """The value of the table's first entry that the source or the URL contains, null without one. A table of over
+    LONG_TABLE entries is looked for in one pass over both; source and URL are short, so that up to there an ordered CASE
+    in generated code is the cheaper plan."""
+    if len(table) > LONG_TABLE:
+        names, values = [n for n, _ in table], F.array(*[F.lit(float(v)) for _, v in table])
+        return F.get(values, F.least(first_hit(source, names), first_hit(url, names)))
     out = F.lit(None).cast("double")
     for name, value in reversed(table):
         out = F.when(F.contains(source, F.lit(name)) | F.contains(url, F.lit(name)), value).otherwise(out)

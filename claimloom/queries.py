@@ -364,6 +364,27 @@ def p12(spark, sf):
     return c.select("doc_id", "level1", F.round("conf1", 6).alias("conf1"), "level2", F.round("conf2", 6).alias("conf2"))
 
 
+#: 500 keywords by a rule: 210 of 14 topics, 290 of 29 subtopics of these.
+_LETTERS = "etaoinshr"
+WIDE = [(i, "".join(_LETTERS[i // 9**k % 9] for k in range(3))) for i in range(500)]
+
+
+@query("p12_topics_wide", f"""
+WITH k AS (SELECT i, {" || ".join(f"substr('{_LETTERS}', i // {9**k} % 9 + 1, 1)" for k in range(3))} AS kw FROM range(500) r(i)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, lower(text) AS l FROM documents) JOIN k ON contains(l, kw)),
+a AS (SELECT doc_id, 'L' || (i % 14) AS level1, count(*) AS n FROM h WHERE i < 210 GROUP BY doc_id, i % 14 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i % 14) = 1),
+b AS (SELECT doc_id, 'S' || (i % 29) AS level2, 'L' || (i % 29 % 14) AS level1, count(*) AS n, i % 29 AS p FROM h WHERE i >= 210 GROUP BY doc_id, i % 29),
+c AS (SELECT d.doc_id, coalesce(a.level1, 'GENERAL_FACTUAL') AS level1, CASE WHEN a.n IS NULL THEN 0.5 ELSE least(a.n::DOUBLE / 3, 0.85) END AS conf1 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id),
+e AS (SELECT c.*, level2, n FROM c LEFT JOIN b ON b.doc_id = c.doc_id AND b.level1 = c.level1 QUALIFY row_number() OVER (PARTITION BY c.doc_id ORDER BY n DESC, p) = 1)
+SELECT doc_id, level1, round(conf1, 6) AS conf1, CASE WHEN conf1 < 0.4 THEN 'general' ELSE coalesce(level2, 'general') END AS level2, round(CASE WHEN conf1 < 0.4 OR n IS NULL THEN 0.3 ELSE least(n::DOUBLE / 2, 0.9) END, 6) AS conf2 FROM e
+""")
+def p12_wide(spark, sf):
+    one = spark.createDataFrame([(i % 14, f"L{i % 14}", k) for i, k in WIDE if i < 210], "pos int, label string, keyword string")
+    two = spark.createDataFrame([(f"L{i % 29 % 14}", i % 29, f"S{i % 29}", k) for i, k in WIDE if i >= 210], "level1 string, pos int, label string, keyword string")
+    c = C.classify(t(spark, sf, "documents").select("doc_id", "text"), one, two, "doc_id", "text")
+    return c.select("doc_id", "level1", F.round("conf1", 6).alias("conf1"), "level2", F.round("conf2", 6).alias("conf2"))
+
+
 @query("p13_overrides", """
 SELECT doc_id, CASE WHEN w AND contains(l, 'ouble') THEN 'LAW_CRIME' WHEN w AND contains(l, 'ment') THEN 'SPORTS' ELSE level1 END AS level1, CASE WHEN w AND contains(l, 'ouble') THEN 'regulation' WHEN w AND contains(l, 'ment') THEN 'teams' ELSE 'x' END AS level2
 FROM (SELECT doc_id, lower(text) AS l, level1, conf1 < 0.65 OR level1 = 'TECHNOLOGY' AS w FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'TECHNOLOGY' ELSE 'HEALTH' END AS level1, (doc_id % 10)::DOUBLE / 10 AS conf1 FROM documents))
