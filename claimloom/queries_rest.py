@@ -279,3 +279,41 @@ def plan_analyze(spark, sf):
     claims = t(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("hi").alias("lang"))
     rows = e.select("claim_id", "pos", "text", "title", "source", "url", "type", F.col("score").cast("string").alias("score"), F.lit("2024-05-06").alias("date"))
     return analyze(claims, rows, Settings(policy=POLICY, credibility=tuple(TABLE), support=tuple(UP), refute=tuple(DOWN), neutral=tuple(EVEN)))
+
+
+def _article_sql() -> str:
+    """SQL of article rows: the same patterns, and the best run by a fold over the blocks."""
+    from .operators import articles as R
+
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    sp = "[ \\t\\n\\r\\f]"
+    h = "regexp_replace(translate(coalesce(html, ''), chr(1) || chr(2) || chr(3), ''), '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in R.DROPPED:
+        h = f"regexp_replace({h}, '(?is)<{tag}(?:{sp}[^>]*)?>.*?</{tag}{sp}*>', chr(1), 'g')"
+    h = f"regexp_replace(regexp_replace({h}, '(?i)<a(?:{sp}[^>]*)?>', chr(2), 'g'), '(?i)</a{sp}*>', chr(3), 'g')"
+    h = f"regexp_replace({h}, '(?i)</?(?:{'|'.join(R.BLOCKS)})(?:[ \\t\\n\\r\\f/][^>]*)?>', chr(1), 'g')"
+    h = f"regexp_replace({h}, '<[^>]*>', '', 'g')"
+    for a, b in R.ENTITIES:
+        h = f"replace({h}, {lit(a)}, {lit(b)})"
+    flat = lambda x: f"trim(regexp_replace({x}, '{sp}+', ' ', 'g'))"
+    plain = flat("regexp_replace(b, '\\x02[^\\x03]*\\x03?', ' ', 'g')")
+    text = flat("translate(b, chr(2) || chr(3), '')")
+    return f"""
+WITH m AS (SELECT page_id, url, string_split({h}, chr(1)) AS l FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(l, lambda b: {{'t': {text}, 'plain': length({plain})}}), lambda x: x.t <> '') AS b FROM m),
+g AS (SELECT *, list_transform(b, lambda x: x.plain - {R.LINK_COST} * greatest(length(x.t) - x.plain, 0) - {R.BLOCK_COST}) AS g FROM b),
+s AS (SELECT *, list_reduce(list_transform(g, lambda x: {{'g': x, 'at': 0, 'sum': 0, 'start': 0, 'best': 0, 'first': 0, 'last': 0}}), lambda s, x: {{'g': x.g, 'at': s.at + 1,
+  'sum': CASE WHEN s.sum <= 0 THEN x.g ELSE s.sum + x.g END, 'start': CASE WHEN s.sum <= 0 THEN s.at ELSE s.start END,
+  'best': CASE WHEN CASE WHEN s.sum <= 0 THEN x.g ELSE s.sum + x.g END > s.best THEN CASE WHEN s.sum <= 0 THEN x.g ELSE s.sum + x.g END ELSE s.best END,
+  'first': CASE WHEN CASE WHEN s.sum <= 0 THEN x.g ELSE s.sum + x.g END > s.best THEN CASE WHEN s.sum <= 0 THEN s.at ELSE s.start END ELSE s.first END,
+  'last': CASE WHEN CASE WHEN s.sum <= 0 THEN x.g ELSE s.sum + x.g END > s.best THEN s.at + 1 ELSE s.last END}}, {{'g': 0, 'at': 0, 'sum': 0, 'start': 0, 'best': 0, 'first': 0, 'last': 0}}) AS r FROM g)
+SELECT page_id, substr(array_to_string(list_transform(list_filter(b[r.first + 1 : r.last], lambda x: greatest(length(x.t) - x.plain, 0) <= x.plain), lambda x: x.t), chr(10)), 1, {R.MOST}) AS text, coalesce(url, '') AS url, {R.SCORE}::DOUBLE AS score, 'scraping' AS type, 'article' AS scrape_method
+FROM s WHERE r.best > 0
+"""
+
+
+@query("src16_article", _article_sql())
+def src16(spark, sf):
+    from .operators.articles import article_rows
+
+    return article_rows(t(spark, sf, "pages"), ["page_id"]).select("page_id", "text", "url", "score", "type", "scrape_method")
