@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -17,7 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import ship
+from ..plans.session import ship, staged
+from .links import components, number, similar_sets, small
+
+#: Rows of a claim up to which its near duplicates are decided in one frame.
+FRAME_ROWS = 20_000
+#: What separates words, as Python splits them.
+WHITE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 _TOKENS = re.compile("[A-Za-zऀ-ൿ]{3,}")
 _CLAIM_TOKENS = re.compile("[A-Za-zऀ-ൿ0-9%]+")
@@ -95,14 +102,83 @@ def diversity(rows: DataFrame, by: str, pos: str, most: int, per_host: int, host
     return _per_group(rows, by, pos, order)
 
 
-def drop_similar(rows: DataFrame, by: str, pos: str, above: float = 0.90, url: str = "url", text: str = "text", score: str = "score") -> DataFrame:
+def drop_similar(rows: DataFrame, by: str, pos: str, above: float = 0.90, url: str = "url", text: str = "text", score: str = "score", frame_rows: int = FRAME_ROWS) -> DataFrame:
     """Rows in order, less those with a URL seen or a text more than `above` like a kept one's. A duplicate of a higher score
     takes the kept one's place, at the end and without its URL counting as seen.
 
     A text is more than `above` like another if more than that share of the smaller word set is in the larger one: then one
     of any (1 - above) * size + 1 words of the smaller is in the larger, so that only texts that share one of the smaller's
-    rarest such words are compared. `above` is 0 or more.
+    rarest such words are compared. `above` is 0 or more. Groups of up to frame_rows rows are frames; the texts of larger
+    ones are joined by similarity over all tasks, and only their links decided in order (`_similar_rows`). Both give the
+    same rows.
+    """
+    sizes = staged(rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > frame_rows), "large")
+    if not sizes.isEmpty():
+        large = small(sizes.select(F.col(by).alias("_large")))
+        is_large = F.col(by).eqNullSafe(F.col("_large"))
+        rest = rows.join(large, is_large, "left_anti")
+        return _drop_in_frames(rest, by, pos, above, url, text, score).unionByName(_similar_rows(rows.join(large, is_large, "left_semi"), by, pos, above, url, text, score))
+    return _drop_in_frames(rows, by, pos, above, url, text, score)
+
+
+def _similar_rows(rows: DataFrame, by: str, pos: str, above: float, url: str, text: str, score: str) -> DataFrame:
+    """drop_similar by links: rows that are equal or similar in text or equal in URL, directly or by others, are a component;
+    what is kept of one depends on nothing outside of it.
+
+    Equal word sets are one node, similar ones are linked by a join, and every component is read in order by one task, as
+    numbers alone: a row's score, URL, node and the nodes linked to it. What that task holds is what it has kept and seen.
     """
+    spark = rows.sparkSession
+    ship(spark)
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda w: w != "")
+    full = staged(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", F.array_sort(F.array_distinct(words))), "rows")
+    key = F.sha2(F.array_join("_words", " "), 256)
+    thin = full.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("_by"), F.col(by).isNull().alias("_none"), "_row", F.col(pos).alias("_pos"), F.coalesce(score, F.lit(0.0)).cast("double").alias("_score"), F.xxhash64(by, F.coalesce(url, F.lit(""))).alias("_url"), (F.coalesce(url, F.lit("")) != "").alias("_has"), key.alias("_key"), (F.size("_words") == 0).alias("_empty"), "_words")
+    # a text without words is like nothing, not even another one
+    thin = thin.withColumn("_key", F.when(F.col("_empty"), F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.col("_key")))
+    group = F.concat(F.when(F.col("_none"), "n").otherwise("v"), "_by").alias("_by")
+    nodes = staged(thin.groupBy(group, "_key").agg(F.min("_row").alias("node"), F.count("*").alias("n"), F.min("_words").alias("words")), "nodes")
+    edges = staged(similar_sets(nodes.where("size(words) > 0"), "_by", above), "similar")
+    of = staged(thin.select(group, "_key", "_row", "_pos", "_score", "_url", "_has").join(nodes.select("_by", "_key", "node", "n"), ["_by", "_key"]).drop("_key"), "of")
+    urls = of.where("_has").groupBy("_by", "_url").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1")
+    shared = of.where("_has").join(staged(urls, "urls"), ["_by", "_url"]).select(F.col("node").alias("a"), "b")
+    comps = staged(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(shared)), "comps")
+    single = of.where("n = 1").join(comps, "node", "left_anti").select("_row")
+    near = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("node")).agg(F.collect_list("y").alias("near"))
+    linked = of.join(comps, "node", "left").join(near, "node", "left").where("n > 1 OR comp IS NOT NULL").select(F.coalesce("comp", "node").alias("comp"), "_pos", "_row", "node", F.when(F.col("_has"), F.col("_url")).alias("url"), "_score", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
+
+    def decide(batches) -> Iterator[pa.RecordBatch]:
+        now, kept, seen, where = None, {}, set(), {}  # kept: row -> (node, score); where: node -> its kept rows
+        for b in batches:
+            gone = []
+            for comp, row, node, link, value, others in zip(*(b.column(c).to_pylist() for c in ("comp", "_row", "node", "url", "_score", "near")), strict=True):
+                if comp != now:
+                    gone += kept
+                    now, kept, seen, where, step = comp, {}, set(), {}, 0
+                if link is not None and link in seen:
+                    continue
+                step += 1
+                twin = min((r for n in (node, *others) for r in where.get(n, ())), key=lambda r: kept[r][2], default=None)
+                if twin is None:
+                    if link is not None:
+                        seen.add(link)
+                elif value > kept[twin][1]:
+                    where[kept[twin][0]].remove(twin)
+                    del kept[twin]
+                else:
+                    continue
+                kept[row] = (node, value, step)
+                where.setdefault(node, set()).add(row)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["_row"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64())], ["_row"])
+
+    ordered = linked.repartition("comp").sortWithinPartitions("comp", F.col("_pos").asc_nulls_last(), "_row").select("comp", "_row", "node", "url", "_score", "near")
+    chosen = staged(single.unionByName(ordered.mapInArrow(decide, "_row long")), "kept")
+    return number(full.join(chosen, "_row").drop("_words"), [by], [F.col(pos).asc_nulls_last(), F.col("_row").asc()], "place").drop("_row")
+
+
+def _drop_in_frames(rows: DataFrame, by: str, pos: str, above: float, url: str, text: str, score: str) -> DataFrame:
+    """drop_similar with each group as one frame."""
 
     def order(f: pd.DataFrame) -> list[int]:
         kept, urls, stamp = {}, set(), 0  # row -> its place in the order of what is kept

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -35,3 +36,25 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "claimloom").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(path)
+
+
+_own_folder: list[str] = []
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet to the folder that driver and executors share, spark.checkpoint.dir, and read back: its lineage
+    ends here and a lost executor loses nothing. Only a local session may leave the folder unset. The files go when the
+    application ends."""
+    spark = df.sparkSession
+    sc, at = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="claimloom-"))
+        at = _own_folder[0]
+    path = f"{at.rstrip('/')}/claimloom-base/{sc.applicationId}/{tag}-{uuid.uuid4().hex}"
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -90,6 +90,8 @@ def test_drop_similar_against_brute_force(spark):
     for above in (0.9, 0.5, 0.7):
         got = {c: places(G.drop_similar(d.where(d.c == c), "c", "pos", above)) for c in range(3)}
         assert got == {c: brute_drop_similar([(i, u, t or "", s) for k, i, u, t, s in rows if k == c], above) for c in range(3)}
+        spread = G.drop_similar(d, "c", "pos", above, frame_rows=0 if above > 0.6 else 250)
+        assert {c: places(spread.where(spread.c == c)) for c in range(3)} == got
 
 
 def test_queries_take_all_rows(spark, tmp_path):
@@ -119,3 +121,29 @@ def test_queries_take_all_rows(spark, tmp_path):
     got = Q.k2(spark, sf).where("claim_id = 0").orderBy("place").collect()
     assert [r.pos for r in got] == [r[0] for r in [*picked, *left, *ranked[30:]]] and [r.place for r in got] == list(range(1, 151))
     assert [r.pos for r in Q.k8(spark, sf).where("doc_id = 1").orderBy("place").collect()] == [41, 40]
+
+
+def test_hot_claim_of_copies(spark):
+    """Copies, near copies, one URL of a third of the rows, scores that rise and fall, null groups; frames and links agree."""
+    rng = random.Random(12)
+    base = " ".join(f"w{k}" for k in range(30))
+    near = lambda: " ".join(w if rng.random() > 0.05 else f"x{rng.randrange(9)}" for w in base.split())
+    rows = [(rng.choice([1, 1, 1, None]), i, rng.choice(["", "hot", f"u{i}"]), rng.choice([base, near(), near(), f"alone {i}", "", None]), rng.choice([None, i / 1500, 1 - i / 1500])) for i in range(1500)]
+    d = spark.createDataFrame(rows, "c int, pos int, url string, text string, score double")
+    a, b = (G.drop_similar(d, "c", "pos", frame_rows=n) for n in (0, 10**6))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 100
+    assert sorted(G.drop_similar(d.where("c IS NULL AND pos < 0"), "c", "pos", frame_rows=0).collect()) == []
+
+
+def test_numbers_without_a_window_over_a_group(spark):
+    from claimloom.operators.links import components, number
+
+    d = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 3001).alias("k")).where("g < 2").withColumn("g", F.when(F.col("g") == 1, 1))
+    got = number(d, ["g"], ["k"], "n", partitions=7)
+    for g in (1, None):
+        r = [(x.k, x.n) for x in got.where(F.col("g").eqNullSafe(F.lit(g))).orderBy("k").collect()]
+        assert [n for _, n in r] == list(range(1, 1001)) and r == sorted(r)
+    edges = [(i, i + 2) for i in range(0, 300)] + [(1000, 1001), (5, 5), (1001, 1002)]
+    comp = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert comp == {**{i: i % 2 for i in range(302)}, 1000: 1000, 1001: 1000, 1002: 1000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
