@@ -542,6 +542,25 @@ def k4(spark, sf):
     return G.drop_similar(evidence(spark, sf).select("claim_id", "pos", "url", "text", "score"), "claim_id", "pos").select("claim_id", "pos", "place")
 
 
+_NEAR = "list_filter(a.kept, lambda y: list_contains(x.near, y.pos))[1]"
+
+
+@query("j9_one_claim", f"""
+WITH s AS (SELECT doc_id, source || doc_id % 400 AS url, (doc_id * 37 % 101)::DOUBLE / 100 AS score, {WORDS.format('text')} AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.word = b.word AND b.doc_id < a.doc_id GROUP BY 1, 2 HAVING count(*)::DOUBLE / least(any_value(a.n), any_value(b.n)) > 0.9::DOUBLE),
+e AS (SELECT x, list(y) AS near FROM p GROUP BY x),
+r AS (SELECT list({{'pos': doc_id, 'url': url, 'score': score, 'near': coalesce(near, []::BIGINT[])}} ORDER BY doc_id) AS l FROM s LEFT JOIN e ON x = doc_id),
+z AS (SELECT list_reduce(l, lambda a, x: CASE WHEN list_contains(a.urls, x.url) THEN a WHEN {_NEAR} IS NULL THEN {{'kept': list_append(a.kept, x), 'urls': list_append(a.urls, x.url)}}
+  WHEN x.score > {_NEAR}.score THEN {{'kept': list_append(list_filter(a.kept, lambda q: q.pos <> {_NEAR}.pos), x), 'urls': a.urls}} ELSE a END, {{'kept': l[1:0], 'urls': []::VARCHAR[]}}).kept AS k FROM r)
+SELECT unnest(list_transform(k, lambda y: y.pos)) AS doc_id, unnest(range(1, len(k) + 1)) AS place FROM z
+""")
+def j9(spark, sf):
+    """All documents as evidence of one claim, whose near duplicates are found by a join."""
+    e = t(spark, sf, "documents").select(F.lit(0).alias("claim_id"), "doc_id", F.concat("source", (F.col("doc_id") % 400).cast("string")).alias("url"), "text", ((F.col("doc_id") * 37 % 101) / F.lit(100.0)).alias("score"))
+    return G.drop_similar(e, "claim_id", "doc_id", frame_rows=0).select("doc_id", "place")
+
+
 _CLAIM_TOKENS = "list_distinct(regexp_extract_all({0}, '([A-Za-zऀ-ൿ0-9%]+)', 1))"
 
 
