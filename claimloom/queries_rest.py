@@ -12,6 +12,7 @@ from .operators import dataset as D
 from .operators import evaluate as E
 from .operators import scoring as S
 from .operators import selection as K
+from .operators.links import number
 from .queries import EV, SPAN, evidence, query, t, tok
 from .queries_more import _RUN, run
 from .sources import providers as P
@@ -153,7 +154,7 @@ def w13(spark, sf):
 
 @query("w15_language_order", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents")
 def w15(spark, sf):
-    return C.with_rank(t(spark, sf, "documents"), ["lang"], ["doc_id"], "place").select("lang", "doc_id", F.col("place").cast("long").alias("place"))
+    return number(t(spark, sf, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], "place")
 
 
 @query("k10_hybrid_order", EV + "SELECT claim_id, pos, row_number() OVER (PARTITION BY claim_id ORDER BY round(0.55::DOUBLE * relevance + 0.25::DOUBLE * score + 0.2::DOUBLE * greatest(sup, ref, neu), 6) DESC, pos) AS rank FROM ev")

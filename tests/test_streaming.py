@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from claimloom.streaming import limits as L
@@ -76,3 +78,54 @@ def test_idle_buckets_hold_no_state(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert [r.admitted for r in spark.read.parquet(str(tmp_path / "out")).orderBy("key").collect()] == [True, True, True]
     assert held[:3] == [1, 2, 1] and held[-1] == 1
+
+
+def test_admission_by_slices(spark):
+    """Buckets with pauses, without any for long, ties, nulls; slices of a few calls hand on what they have admitted."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for k in range(400):
+        at += rng.choice([0, 1, 3, 20, 59, 60, 200]) if k % 3 else rng.choice([0, 1, 2])
+        rows.append((k, rng.choice(["a", "a", "a", "b", None]), at))
+    rows += [(1000 + k, "dense", k * 7) for k in range(150)] + [(5000, "a", None), (5001, "a", None)]
+    d = spark.createDataFrame(rows, "event_id long, user_id string, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    want = {5000: False, 5001: False}
+    for b in ("a", "b", None, "dense"):
+        mine = sorted((t, k) for k, x, t in rows if x == b and t is not None)
+        want |= {k: ok for (_, k), ok in zip(mine, model([t for t, _ in mine], 60, 5), strict=True)}
+    for size in (7, 10_000):
+        assert {r.key: r.admitted for r in L.admit(d, "user_id", seconds=60, limit=5, slice_rows=size).collect()} == want
+
+
+def test_slices_of_time(spark):
+    """Counts and waits of slices equal those of one window over a bucket; no window spans a bucket."""
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([-5000.0, 0.0, 3000.0]) + rng.randint(0, 900) + rng.choice([0, 0.5]), rng.random() < 0.2) for k in range(500)] + [(900, "a", None, True), (901, "a", None, False)]
+    d = spark.createDataFrame(rows, "event_id long, user_id string, t double, hit boolean").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    counts = {r.event_id: r.in_window for r in L.sliding_count(d, "user_id", seconds=60).collect()}
+    plain = lambda b, t: 2 if t is None else sum(x == b and u is not None and t - 60 <= u <= t for _, x, u, _ in rows)
+    assert counts == {k: plain(b, t) for k, b, t, _ in rows}
+    for by in ("user_id", None):
+        got = {r.event_id: r.ready and r.ready.timestamp() for r in L.cooldown(d, by, F.col("hit"), seconds=30).collect()}
+        wait = lambda b, t: None if t is None else max([t, *(u + 30 for _, x, u, hit in rows if hit and u is not None and (by is None or x == b) and t - 30 <= u < t)])
+        assert got == {k: wait(b, t) for k, b, t, _ in rows}
+
+
+def test_stream_cools_down_as_the_batch_does(spark, tmp_path):
+    d = spark.createDataFrame([(0, 0, False), (1, 1, True), (2, 2, False), (3, 3, True), (4, 5, False), (5, 7, False), (6, 7, True), (7, 8, False), (8, 11, False)], "event_id int, t long, limited boolean").withColumn("ts", F.timestamp_seconds("t")).withColumn("b", F.when(F.col("event_id") < 4, "x").otherwise("y")).drop("t")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for by in ("b", None):
+            src = tmp_path / f"src{by}"
+            src.mkdir()
+            s = L.cooldown_stream(spark.readStream.schema(d.schema).parquet(str(src)), by, F.col("limited"), seconds=3)
+            for k, part in enumerate((d.where("event_id < 4"), d.where("event_id >= 4"))):
+                part.coalesce(1).write.parquet(str(tmp_path / f"part{by}{k}"))
+                for f in (tmp_path / f"part{by}{k}").glob("*.parquet"):
+                    f.rename(src / f"{k}-{f.name}")
+                q = s.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / f"out{by}")).option("checkpointLocation", str(tmp_path / f"cp{by}")).trigger(availableNow=True).start()
+                assert q.awaitTermination(120)
+            got = {r.key: r.ready for r in spark.read.parquet(str(tmp_path / f"out{by}")).collect()}
+            assert got == {r.event_id: r.ready for r in L.cooldown(d, by, F.col("limited"), seconds=3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
