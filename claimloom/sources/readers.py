@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import elements
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Line-delimited JSON with a schema; blank lines give no rows."""
@@ -17,16 +19,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def read_cases(spark: SparkSession, path: str, row: str) -> DataFrame:
-    """Rows of files that are a JSON list, or an object with `claims` or `cases`, with or without a byte-order mark.
+    """Rows of files that are a JSON list, or an object with `claims` or `cases`, with or without a byte-order mark; of any
+    size, read in splits (`sources.arrays`).
 
-    row is the DDL of one row. A file of another shape, or an empty list, raises when it is read.
+    row is the DDL of one row. A file of another shape, one that is broken, or an empty list, raises when it is read.
     """
-    text = F.regexp_replace(F.trim(F.col("value")), "^﻿", "")
-    one = spark.read.text(path, wholetext=True).select(text.alias("t"), F.input_file_name().alias("file"))
-    kind = f"array<struct<{row}>>"
-    rows = F.when(F.startswith("t", F.lit("[")), F.from_json("t", kind)).otherwise(F.coalesce(F.from_json("t", f"claims {kind}")["claims"], F.from_json("t", f"cases {kind}")["cases"]))
-    checked = F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(F.raise_error(F.concat(F.lit("no rows in "), F.col("file"))))
-    return one.select(F.explode(checked).alias("r")).select("r.*")
+    parts = elements(spark, path)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+    empty = files.join(parts.select("file").distinct(), "file", "left_anti").limit(1).collect()
+    if empty:
+        raise ValueError(f"no rows in {empty[0].file}")
+    checked = F.when(F.try_parse_json("text").isNotNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("broken row in "), F.col("file"))))
+    return parts.select(F.from_json(checked, f"struct<{row}>").alias("r")).select("r.*")
 
 
 def read_js_array(spark: SparkSession, path: str, name: str, row: str) -> DataFrame:
