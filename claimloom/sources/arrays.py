@@ -141,7 +141,7 @@ def elements(spark: SparkSession, path: str, names: tuple[str, ...] = ("claims",
         for block in blocks:
             r = by[block, state]
             if r["bad"]:
-                raise ValueError(f"{name}: {r['bad']}")
+                raise ValueError(f"no rows in {name}: {r['bad']}")
             out.append((name, block, state, [b for b, _ in stack], [w for _, w in stack]))
             for n, closed, opened in (s.rsplit(" ", 2) for s in r["seen"]):
                 if len(stack) - int(closed) + int(opened) == 1:
@@ -150,14 +150,14 @@ def elements(spark: SparkSession, path: str, names: tuple[str, ...] = ("claims",
                 if stack and stack[-1][0][0] == c:
                     stack.pop()
                 elif stack or block != blocks[-1] or c != "{":  # a piece ends with a brace, which the last one may not have
-                    raise ValueError(f"{name}: brackets don't fit")
+                    raise ValueError(f"no rows in {name}: brackets don't fit")
             stack += [(b, block) for b in r["opens"]]
             state = r["end"]
         if state != OUT or stack or top not in ("[", "{"):
-            raise ValueError(f"{name}: no list of rows, or one that does not end")
+            raise ValueError(f"no rows in {name}: no list, or one that does not end")
         want = "" if top == "[" else next((n for n in names if n in found), None)
         if want is None:
-            raise ValueError(f"{name}: no list of {' or '.join(names)}")
+            raise ValueError(f"no rows in {name}: no list of {' or '.join(names)}")
         return pa.Table.from_batches([_batch([(*o, want) for o in out], begins)])
 
     ddl = lambda fields: ", ".join(f"{n} {'string' if t == text else 'long' if t == long else 'array<string>' if t == texts else 'array<long>' if t == pa.list_(long) else 'boolean'}" for n, t in fields)
