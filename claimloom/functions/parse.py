@@ -124,6 +124,23 @@ def loose_updates(rows: DataFrame, key: str, content: str) -> DataFrame:
     return z.groupBy(key, "idx").agg(F.min_by(F.struct("relevance", "stance"), "n").alias("u")).select(key, "idx", "u.*")
 
 
+# How an update of a loose object is written: an index, a relevance and a stance in this order, and if they
+# follow a confidence and a reason; names stand directly before their `:` or `=`.
+PLAIN_UPDATE = r"""(?is)(?:index|idx)\s*[:=]\s*(\d+).*?(?:relevance|score)\s*[:=]\s*([0-9]*\.?[0-9]+).*?(?:stance|label)\s*[:=]\s*['"]?(support|refute|neutral)['"]?(?:.*?(?:confidence|conf)\s*[:=]\s*([0-9]*\.?[0-9]+))?(?:.*?(?:reason|why)\s*[:=]\s*['"]?([^,\n\r\}\]]{1,220}))?"""
+
+
+def plain_updates(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key, idx, relevance, stance, confidence, reason of loose objects whose names are not quoted (`PLAIN_UPDATE`), so that a
+    truncated JSON list, whose keys are, gives none. A missing confidence is 0.6, a missing reason empty; the first object of
+    each index counts. A confidence or reason that an object lacks is that of the next object, which then gives no update."""
+    got = [F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(PLAIN_UPDATE), k).alias(f"g{k}") for k in range(1, 6)]
+    z = rows.select(key, F.posexplode(F.arrays_zip(*got)).alias("n", "u"))
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    reason = F.regexp_replace(F.coalesce("u.g5", F.lit("")), r"^\s+|\s+$", "")
+    z = z.select(key, "n", F.col("u.g1").cast("int").alias("idx"), F.col("u.g2").cast("double").alias("relevance"), F.lower("u.g3").alias("stance"), F.coalesce(filled("u.g4").cast("double"), F.lit(0.6)).alias("confidence"), reason.alias("reason"))
+    return z.groupBy(key, "idx").agg(F.min_by(F.struct("relevance", "stance", "confidence", "reason"), "n").alias("u")).select(key, "idx", "u.*")
+
+
 def fever_text(c: Column | str) -> Column:
     """The texts of a JSON list of evidence: its first element is a triplet, or a list of triplets; joined by spaces."""
     nested = F.from_json(col(c), "array<array<array<string>>>")

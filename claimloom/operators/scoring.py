@@ -64,6 +64,15 @@ def keyword_stance(claim: Column | str, text: Column | str, support=SUPPORT_CUES
     return F.transform(found, shares)[0]
 
 
+def branch_stance(lang: Column, branch: Column, first: Column, second: Column | None, mixed: bool = True) -> Column:
+    """The stance of one of two models: the English one's, `second`, for rows of the English branch of another language's claim
+    where branches are mixed and that model gave an answer, else `first`."""
+    if second is None or not mixed:
+        return first
+    other = (F.lower(F.coalesce(lang, F.lit("en"))) != "en") & (F.coalesce(branch, F.lit("")) == "en") & second.isNotNull()
+    return F.when(other, second).otherwise(first)
+
+
 def stance_label(p: Column) -> Column:
     """The largest of support, refute, neutral; the first of equals."""
     return F.when((p["support"] >= p["refute"]) & (p["support"] >= p["neutral"]), "support").when(p["refute"] >= p["neutral"], "refute").otherwise("neutral")

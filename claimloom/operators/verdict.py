@@ -203,9 +203,11 @@ def corroboration(evidence: DataFrame, by: str, span: Column, number: Column, da
 def apply_updates(evidence: DataFrame, updates: DataFrame, by: str, idx: str, old: str, new: str, share: float | None = None) -> DataFrame:
     """evidence with `old` replaced where an update (by, idx, new) exists, or blended with the share of the old value.
 
-    The first of updates for a row counts; bad indices meet no row.
+    The first of updates for a row counts, by their column _n; several without one raise. Bad indices meet no row.
     """
-    first = updates.where(F.col(new).isNotNull()).groupBy(by, idx).agg(F.first(new).alias("_new")) if "_n" not in updates.columns else updates.groupBy(by, idx).agg(F.min_by(new, "_n").alias("_new"))
+    some = updates.where(F.col(new).isNotNull()).groupBy(by, idx)
+    alone = F.when(F.count("*") > 1, F.raise_error(F.lit("several updates of one row need their order, _n"))).otherwise(F.min(new))
+    first = some.agg((F.min_by(new, "_n") if "_n" in updates.columns else alone).alias("_new"))
     out = evidence.join(first, [by, idx], "left")
     changed = F.col("_new") if share is None else F.col(old) * share + F.col("_new") * (1 - share)
     return out.withColumn(old, F.when(F.col("_new").isNull(), F.col(old)).otherwise(changed)).drop("_new")

@@ -244,14 +244,14 @@ _DETECTED = "CASE " + " ".join(f"WHEN {n} > 0 THEN '{k}'" for k, n in _SCRIPT.it
 
 
 @query("f13_scripts", f"""
-WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'తెలుగు లో వ్రాసిన వాక్యం ' WHEN 1 THEN 'தமிழில் எழுதிய வாக்கியம் ' WHEN 2 THEN 'ಕನ್ನಡದಲ್ಲಿ ಬರೆದ ವಾಕ್ಯ ' WHEN 3 THEN 'മലയാളത്തിൽ എഴുതിയ വാക്യം ' WHEN 4 THEN 'हिंदी में लिखा वाक्य ' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 3) END AS m FROM documents)
+WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'తెలుగు లో వ్రాసిన వాక్యం ' WHEN 1 THEN 'தமிழில் எழுதிய வாக்கியம் ' WHEN 2 THEN 'ಕನ್ನಡದಲ್ಲಿ ಬರೆದ ವಾಕ್ಯ ' WHEN 3 THEN 'മലയാളത്തിൽ എഴുതിയ വാക്യം ' WHEN 4 THEN 'हिंदी में लिखा वाक्य ' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[A-Za-z]', '', 'g') END AS m FROM documents)
 SELECT doc_id, CASE WHEN n = 0 THEN true ELSE a::DOUBLE / n >= 0.8 END AS english_like, {_DETECTED} AS detected, {_DETECTED} <> 'en' AS multilingual, a >= 8 AS latin_ok, a AS n_latin,
   CASE {_DETECTED} {" ".join(f"WHEN '{k}' THEN {n} >= 12 AND a <= greatest(8, floor({n} * 0.25))" for k, n in _SCRIPT.items())} ELSE a >= 8 END AS script_ok
 FROM (SELECT *, len(regexp_extract_all(m, '\\p{{L}}')) AS n, len(regexp_extract_all(m, '[A-Za-z]')) AS a FROM t)
 """)
 def f13(spark, sf):
     prefix = ["తెలుగు లో వ్రాసిన వాక్యం ", "தமிழில் எழுதிய வாக்கியம் ", "ಕನ್ನಡದಲ್ಲಿ ಬರೆದ ವಾಕ್ಯ ", "മലയാളത്തിൽ എഴുതിയ വാക്യം ", "हिंदी में लिखा वाक्य ", "", ""]
-    m = F.concat(F.element_at(F.array(*[F.lit(x) for x in prefix]), (F.col("doc_id") % 7 + 1).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 3)))
+    m = F.concat(F.element_at(F.array(*[F.lit(x) for x in prefix]), (F.col("doc_id") % 7 + 1).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "[A-Za-z]", "")))
     d = t(spark, sf, "documents").select("doc_id", m.alias("m")).withColumn("detected", X.detect_language("m", F.lit("auto")))
     return d.select("doc_id", X.english_like("m").alias("english_like"), "detected", X.looks_multilingual("m").alias("multilingual"), X.language_ok("m", F.lit("en")).alias("latin_ok"), X.latin_count("m").cast("long").alias("n_latin"), X.language_ok("m", "detected").alias("script_ok"))
 

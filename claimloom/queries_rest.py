@@ -101,6 +101,23 @@ def f31(spark, sf):
     return A.line_updates(n.withColumn("t", text), "o_custkey", "t").select("o_custkey", "idx", "relevance", "stance")
 
 
+_LOOSE = A.PLAIN_UPDATE.replace("'", "''")
+
+
+@query("f31_plain_updates", f"""
+WITH t AS (SELECT doc_id, 'items: idx = ' || doc_id % 5 || ', relevance: 0.' || doc_id % 9 || CASE doc_id % 3 WHEN 0 THEN ' Label: Support' ELSE ' stance = "refute"' END || CASE WHEN doc_id % 2 = 0 THEN ' conf: .75' ELSE '' END || ' why: ' || text || ' index: ' || doc_id % 4 || ' score=1 stance: neutral' AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_LOOSE}')) AS m, generate_subscripts(regexp_extract_all(t, '{_LOOSE}'), 1) AS n FROM t),
+g AS (SELECT doc_id, n, regexp_extract(m, '{_LOOSE}', ['i', 'r', 's', 'c', 'y']) AS g FROM m)
+SELECT doc_id, g.i::INTEGER AS idx, g.r::DOUBLE AS relevance, lower(g.s) AS stance, coalesce(try_cast(nullif(g.c, '') AS DOUBLE), 0.6::DOUBLE) AS confidence, trim(g.y, chr(32) || chr(9)) AS reason
+FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, g.i::INTEGER ORDER BY n) = 1
+""")
+def f31b(spark, sf):
+    i = F.col("doc_id")
+    word = F.when(i % 3 == 0, " Label: Support").otherwise(' stance = "refute"')
+    text = F.concat(F.lit("items: idx = "), (i % 5).cast("string"), F.lit(", relevance: 0."), (i % 9).cast("string"), word, F.when(i % 2 == 0, " conf: .75").otherwise(""), F.lit(" why: "), "text", F.lit(" index: "), (i % 4).cast("string"), F.lit(" score=1 stance: neutral"))
+    return A.plain_updates(t(spark, sf, "documents").select("doc_id", text.alias("t")), "doc_id", "t")
+
+
 @query("f32_nested_evidence", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || ' ' || n_name END AS text FROM nation")
 def f32(spark, sf):
     trip = F.concat(F.lit('["p", "1", "'), F.col("n_name"), F.lit('"]'))
@@ -202,12 +219,12 @@ def u2(spark, sf):
 
 
 @query("s17_structured_quality", f"""
-WITH t AS (SELECT doc_id, text, {tok("b.text")} AS c, {tok("d.text")} AS w, coalesce(nullif(regexp_extract(d.text, '{X.LEFT}([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}){X.RIGHT}', 1), ''), '') AS e, {" OR ".join(f"regexp_matches(d.text, '{p}')" for p in X.DATE_PATTERNS)} AS dated, regexp_matches(d.text, '(?i){X.NUMERIC}') AS num FROM (SELECT doc_id, doc_id % 40 AS item_id, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40) || CASE doc_id % 3 WHEN 0 THEN ' 2021-03-04' WHEN 1 THEN ' five' ELSE ' 17 km' END AS text FROM documents) d JOIN benchmark b USING (item_id))
+WITH t AS (SELECT doc_id, text, {tok("b.text")} AS c, {tok("d.text")} AS w, coalesce(nullif(regexp_extract(d.text, '{X.LEFT}([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}}){X.RIGHT}', 1), ''), '') AS e, {" OR ".join(f"regexp_matches(d.text, '{p}')" for p in X.DATE_PATTERNS)} AS dated, regexp_matches(d.text, '(?i){X.NUMERIC}') AS num FROM (SELECT doc_id, doc_id % 40 AS item_id, regexp_replace(text, '\\s+', ' ', 'g') || CASE doc_id % 3 WHEN 0 THEN ' 2021-03-04' WHEN 1 THEN ' five' ELSE ' 17 km' END AS text FROM documents) d JOIN benchmark b USING (item_id))
 SELECT doc_id, round((0.55 * CASE WHEN len(c) = 0 THEN 0 ELSE len(list_intersect(w, c))::DOUBLE / len(c) END + CASE WHEN dated THEN 0.20 ELSE 0 END + CASE WHEN num THEN 0.15 ELSE 0 END + CASE WHEN e <> '' THEN 0.10 ELSE 0 END)::DOUBLE, 6) AS quality FROM t
 """.replace("SELECT doc_id, text, ", "SELECT doc_id, "))
 def s17(spark, sf):
     tail = F.when(F.col("doc_id") % 3 == 0, " 2021-03-04").when(F.col("doc_id") % 3 == 1, " five").otherwise(" 17 km")
-    d = t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.concat(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40), tail).alias("text"))
+    d = t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.concat(F.regexp_replace("text", r"\s+", " "), tail).alias("text"))
     d = d.join(t(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim")), "item_id")
     q = S.structured_quality(X.overlap_ratio(X.token_set("text"), X.token_set("claim")), X.first_date("text"), X.numeric_claim("text"), X.entity("text"))
     return d.select("doc_id", F.round(q, 6).alias("quality"))

@@ -219,3 +219,28 @@ def test_quotas(spark):
     assert D.target_counts(10, {"a": 0.25, "b": 0.25, "c": 0.5}) == {"a": 2, "b": 2, "c": 6}
 
 
+
+
+def test_plain_updates(spark):
+    """Names stand before : or =; confidence and reason follow, or are the next object's, which then gives nothing."""
+    texts = [
+        "idx: 2, relevance = .4, Stance: 'Refute', conf=0.9, reason: it says so, and more", '[{"index": 2, "relevance": 0.4, "stance": "refute"}', None,
+        "index=1 score=1 label=support\nindex=3 score=0.5 label=neutral confidence: 0.7 why: b", "index=1 score=1 label=support conf=1 why: a\nindex=1 score=0 label=refute conf=0 why: b",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = sorted(map(tuple, A.plain_updates(d, "k", "t").collect()))
+    assert got == [(0, 2, 0.4, "refute", 0.9, "it says so"), (3, 1, 1.0, "support", 0.7, "b"), (4, 1, 1.0, "support", 1.0, "a")]
+
+
+def test_updates_need_an_order(spark):
+    e = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "c int, i int, s string")
+    u = spark.createDataFrame([(1, 1, "y", 2), (1, 1, "x", 1), (1, 9, "z", 0), (1, 2, None, 0)], "c int, i int, v string, _n int")
+    assert sorted(r.s for r in V.apply_updates(e, u, "c", "i", "s", "v").collect()) == ["b", "x"]
+    with pytest.raises(Exception, match="need their order"):
+        V.apply_updates(e, u.drop("_n"), "c", "i", "s", "v").collect()
+
+
+def test_branches_of_stance(spark):
+    d = spark.createDataFrame([("hi", "en", 1, 2), ("EN", "en", 1, 2), ("hi", "multi", 1, 2), ("hi", None, 1, 2), (None, "en", 1, 2), ("hi", "en", 1, None)], "lang string, branch string, a int, b int")
+    of = lambda **k: [r[0] for r in d.select(S.branch_stance(F.col("lang"), F.col("branch"), F.col("a"), F.col("b"), **k)).collect()]
+    assert of() == [2, 1, 1, 1, 1, 1] and of(mixed=False) == [1] * 6
