@@ -306,8 +306,7 @@ def _article_sql() -> str:
     lit = lambda x: "'" + x.replace("'", "''") + "'"
     sp = "[ \\t\\n\\r\\f]"
     h = "regexp_replace(translate(coalesce(html, ''), chr(1) || chr(2) || chr(3), ''), '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in R.DROPPED:
-        h = f"regexp_replace({h}, '(?is)<{tag}(?:{sp}[^>]*)?>.*?</{tag}{sp}*>', chr(1), 'g')"
+    h = f"regexp_replace({h}, '{R.DROP}', chr(1), 'g')"
     h = f"regexp_replace(regexp_replace({h}, '(?i)<a(?:{sp}[^>]*)?>', chr(2), 'g'), '(?i)</a{sp}*>', chr(3), 'g')"
     h = f"regexp_replace({h}, '(?i)</?(?:{'|'.join(R.BLOCKS)})(?:[ \\t\\n\\r\\f/][^>]*)?>', chr(1), 'g')"
     h = f"regexp_replace({h}, '<[^>]*>', '', 'g')"

@@ -13,8 +13,13 @@ SPACE = r"[ \t\n\r\f]"
 def plain(page):
     """Blocks, their gains, and the best run by trying all of them."""
     h = re.sub("(?s)<!--.*?-->", " ", re.sub("[\x01-\x03]", "", page or ""))
-    for tag in R.DROPPED:
-        h = re.sub(rf"(?is)<{tag}(?:{SPACE}[^>]*)?>.*?</{tag}{SPACE}*>", "\x01", h)
+    at, out = 0, []
+    while m := re.compile(rf"(?is)<({'|'.join(R.DROPPED)})(?=>|{SPACE})").search(h, at):  # one element after the other
+        open_end = h.find(">", m.end())
+        end = re.compile(rf"(?is)</{m[1]}{SPACE}*>").search(h, open_end + 1) if open_end >= 0 else None
+        out.append(h[at : m.start()] + ("\x01" if end else h[m.start() : m.end()]))
+        at = end.end() if end else m.end()
+    h = "".join(out) + h[at:]
     h = re.sub(rf"(?i)</a{SPACE}*>", "\x03", re.sub(rf"(?i)<a(?:{SPACE}[^>]*)?>", "\x02", h))
     h = re.sub("<[^>]*>", "", re.sub(rf"(?i)</?(?:{'|'.join(R.BLOCKS)})(?:[ \t\n\r\f/][^>]*)?>", "\x01", h))
     for a, b in R.ENTITIES:
