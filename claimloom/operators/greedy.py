@@ -130,18 +130,19 @@ def _similar_rows(rows: DataFrame, by: str, pos: str, above: float, url: str, te
     """
     spark = rows.sparkSession
     ship(spark)
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda w: w != "")
-    full = staged(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", F.array_sort(F.array_distinct(words))), "rows")
-    key = F.sha2(F.array_join("_words", " "), 256)
-    thin = full.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("_by"), F.col(by).isNull().alias("_none"), "_row", F.col(pos).alias("_pos"), F.coalesce(score, F.lit(0.0)).cast("double").alias("_score"), F.xxhash64(by, F.coalesce(url, F.lit(""))).alias("_url"), (F.coalesce(url, F.lit("")) != "").alias("_has"), key.alias("_key"), (F.size("_words") == 0).alias("_empty"), "_words")
-    # a text without words is like nothing, not even another one
-    thin = thin.withColumn("_key", F.when(F.col("_empty"), F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.col("_key")))
-    group = F.concat(F.when(F.col("_none"), "n").otherwise("v"), "_by").alias("_by")
-    nodes = staged(thin.groupBy(group, "_key").agg(F.min("_row").alias("node"), F.count("*").alias("n"), F.min("_words").alias("words")), "nodes")
-    edges = staged(similar_sets(nodes.where("size(words) > 0"), "_by", above), "similar")
-    of = staged(thin.select(group, "_key", "_row", "_pos", "_score", "_url", "_has").join(nodes.select("_by", "_key", "node", "n"), ["_by", "_key"]).drop("_key"), "of")
-    urls = of.where("_has").groupBy("_by", "_url").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1")
-    shared = of.where("_has").join(staged(urls, "urls"), ["_by", "_url"]).select(F.col("node").alias("a"), "b")
+    full = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda w: w != ""))
+    thin = full.select(F.col(by).alias("_by"), "_row", F.col(pos).alias("_pos"), F.coalesce(score, F.lit(0.0)).cast("double").alias("_score"), F.xxhash64(by, F.coalesce(url, F.lit(""))).alias("_url"), (F.coalesce(url, F.lit("")) != "").alias("_has"), words.alias("_words"))
+    # words are 64-bit hashes with their group; a text without words is like nothing, not even another one
+    hashes = F.array_sort(F.transform("_words", lambda w: F.xxhash64("_by", w)))
+    thin = thin.withColumn("_set", hashes).drop("_words")
+    key = F.when(F.size("_set") == 0, F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.sha2(F.array_join(F.transform("_set", lambda w: w.cast("string")), " "), 256))
+    thin = staged(thin.withColumn("_key", key), "thin")
+    nodes = staged(thin.groupBy("_key").agg(F.min("_row").alias("node"), F.count("*").alias("n"), F.min("_set").alias("words")), "nodes")
+    edges = staged(similar_sets(nodes.where("size(words) > 0").select("node", "words"), above), "similar")
+    of = staged(thin.select("_key", "_row", "_pos", "_score", "_url", "_has").join(nodes.select("_key", "node", "n"), "_key").drop("_key"), "of")
+    urls = of.where("_has").groupBy("_url").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1")
+    shared = of.where("_has").join(staged(urls, "urls"), "_url").select(F.col("node").alias("a"), "b")
     comps = staged(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(shared)), "comps")
     single = of.where("n = 1").join(comps, "node", "left_anti").select("_row")
     near = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("node")).agg(F.collect_list("y").alias("near"))
@@ -174,7 +175,8 @@ def _similar_rows(rows: DataFrame, by: str, pos: str, above: float, url: str, te
 
     ordered = linked.repartition("comp").sortWithinPartitions("comp", F.col("_pos").asc_nulls_last(), "_row").select("comp", "_row", "node", "url", "_score", "near")
     chosen = staged(single.unionByName(ordered.mapInArrow(decide, "_row long")), "kept")
-    return number(full.join(chosen, "_row").drop("_words"), [by], [F.col(pos).asc_nulls_last(), F.col("_row").asc()], "place").drop("_row")
+    placed = number(thin.select("_by", "_pos", "_row").join(chosen, "_row"), ["_by"], [F.col("_pos").asc_nulls_last(), F.col("_row").asc()], "place")
+    return full.join(placed.select("_row", "place"), "_row").drop("_row")
 
 
 def _drop_in_frames(rows: DataFrame, by: str, pos: str, above: float, url: str, text: str, score: str) -> DataFrame:

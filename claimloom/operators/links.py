@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import staged
+from ..plans.session import ship, staged
 
 #: Rows of a small side up to which it is broadcast.
 BROADCAST_ROWS = 100_000
-#: Common words of all groups together that are told apart from rare ones.
-COMMON = 20_000
+#: Common words that are told apart from rare ones, and the share of sets, one in so many, that tells them.
+COMMON, SAMPLED = 20_000, 16
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -68,22 +72,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def similar_sets(sets: DataFrame, by: str, above: float) -> DataFrame:
-    """(x, y): pairs of sets(by, node, words), of one group and different nodes, of which more than a share `above` of the
-    smaller one's words is in the larger one. words are distinct and not empty.
+def similar_sets(sets: DataFrame, above: float) -> DataFrame:
+    """(x, y): pairs of sets(node, words) of which more than a share `above` of the smaller one's words is in the larger one.
+    words are distinct longs, not empty; sets that may not meet have no word in common, as hashes with their group have not.
 
     If so, one of any floor((1 - above) * size) + 1 words of the smaller set is in the larger: each set is looked for by
-    so many of its words, those that are rare in its group first, among all words of the others. Which words are common is
-    told by the COMMON most frequent ones. Pairs are confirmed on their whole sets.
+    so many of its words, rare ones first, among all words of the others, but for common ones that none is looked for by.
+    Which words are common is told by the COMMON most frequent ones of every SAMPLED-th set; it changes the work, not the
+    result. Pairs are confirmed on their whole sets, so that sets which are all alike cost as many confirmations as pairs.
     """
-    each = sets.select(by, "node", F.size("words").alias("n"), F.explode("words").alias("word"))
-    often = staged(each.groupBy(by, "word").agg(F.count("*").alias("often")).orderBy(F.desc("often"), by, "word").limit(COMMON), "common")
-    ranked = each.join(F.broadcast(often), [by, "word"], "left").groupBy(by, "node", "n")
-    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.xxhash64("word").alias("draw"), "word"))).alias("ws"))
-    most = F.floor(F.lit(1 - above) * F.col("n") + 1e-6).cast("int") + 1
-    probe = ranked.select(F.col(by).alias("_of"), F.col("node").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("ws", F.lit(1), most)["word"]).alias("w"))
-    pairs = probe.join(each, (F.col("_of") == F.col(by)) & (F.col("w") == F.col("word")) & ((F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") != F.col("node")))))
-    pairs = staged(pairs.where("x <> node").select(F.when(F.col("nx") == F.col("n"), F.least("x", "node")).otherwise(F.col("x")).alias("x"), F.when(F.col("nx") == F.col("n"), F.greatest("x", "node")).otherwise(F.col("node")).alias("y")).distinct(), "pairs")
+    spark = sets.sparkSession
+    ship(spark)
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select(F.explode("words").alias("w"))
+    often = {r.w: r.n for r in some.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).collect()}
+    held = spark.sparkContext.broadcast(often)
+
+    def rarest(batches) -> Iterator[pa.RecordBatch]:
+        n = held.value
+        for b in batches:
+            x, size, w = [], [], []
+            for node, words in zip(b.column("node").to_pylist(), b.column("words").to_pylist(), strict=True):
+                most = math.floor((1 - above) * len(words) + 1e-6) + 1
+                for word in sorted(words, key=lambda v: (n.get(v, 0), v))[:most]:
+                    x.append(node)
+                    size.append(len(words))
+                    w.append(word)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(size, pa.int32()), pa.array(w, pa.int64())], ["x", "nx", "w"])
+
+    probe = staged(sets.select("node", "words").mapInArrow(rarest, "x long, nx int, w long"), "probes")
+    common = spark.createDataFrame([(w,) for w in often], "w long")
+    unused = F.broadcast(common.join(probe.select("w").distinct(), "w", "left_anti"))
+    each = sets.select(F.col("node").alias("y"), F.size("words").alias("ny"), F.explode("words").alias("w")).join(unused, "w", "left_anti")
+    pairs = probe.join(each, "w").where("x <> y AND nx <= ny")
+    turned = (F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y"))
+    pairs = staged(pairs.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y")).distinct(), "pairs")
     of = lambda k: sets.select(F.col("node").alias(k), F.col("words").alias(f"w{k}"))
     both = pairs.join(of("x"), "x").join(of("y"), "y")
     return both.where(F.size(F.array_intersect("wx", "wy")) / F.least(F.size("wx"), F.size("wy")) > above).select("x", "y")
