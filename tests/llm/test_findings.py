@@ -110,17 +110,20 @@ def edited(k, j, article=True):
     return f"<body><nav><a href=/>Home</a></nav>{body}<footer>Foot</footer></body>", " ".join([f"Story {k}", *words])
 
 
-@pytest.mark.parametrize("article", [True, False])
-@pytest.mark.parametrize("copies, others", [(2, 0), (6, 4), (600, 400), (40, 3), (4, 40)])
-def test_near_copies_keep_every_word(spark, copies, others, article):
-    pages = [edited(0, j, article) for j in range(copies)] + [edited(k, 0, article) for k in range(1, others + 1)]
-    d = spark.createDataFrame([(k, "https://one.org/x", p) for k, (p, _) in enumerate(pages)], "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in H.extract(d).collect()} == {k: t for k, (_, t) in enumerate(pages)}
+def test_near_copies_keep_every_word(spark):
+    """A host for each number of versions of one text and of other texts, with an article element and without one."""
+    rows, want = [], {}
+    for host, (copies, others, article) in enumerate((c, o, a) for c, o in ((2, 0), (6, 4), (600, 400), (40, 3), (4, 40)) for a in (True, False)):
+        for page, text in [edited(0, j, article) for j in range(copies)] + [edited(k, 0, article) for k in range(1, others + 1)]:
+            want[len(rows)] = text
+            rows.append((len(rows), f"https://host{host}.org/x", page))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: (want[k], got[k]) for k in want if got[k] != want[k]} == {} and len(got) == len(want)
 
 
 def test_template_inside_of_articles_still_goes(spark):
     page = lambda k: f"<article><h1>Title {k}</h1><p>Story {k} goes.</p><p>On {k}.</p><p>And {k}.</p><div><p>Read our paper</p></div></article>"
     text = lambda k, end="": f"Title {k} Story {k} goes. On {k}. And {k}.{end}"
-    for n, end in ((2, " Read our paper"), (9, "")):
-        d = spark.createDataFrame([(k, "https://one.org/x", page(k)) for k in range(n)], "page_id long, url string, html string")
-        assert {r.page_id: r.text for r in H.extract(d).collect()} == {k: text(k, end) for k in range(n)}
+    cases = ((2, " Read our paper"), (9, ""))
+    d = spark.createDataFrame([(100 * n + k, f"https://h{n}.org/x", page(k)) for n, _ in cases for k in range(n)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(d).collect()} == {100 * n + k: text(k, end) for n, end in cases for k in range(n)}
