@@ -334,3 +334,12 @@ def src16(spark, sf):
     from .operators.articles import article_rows
 
     return article_rows(t(spark, sf, "pages"), ["page_id"]).select("page_id", "text", "url", "score", "type", "scrape_method")
+
+
+@query("x4_summaries")
+def x4(spark, sf):
+    """No SQL: an iteration over each document's own graph. Tests hold it against a walk over a table of pairs."""
+    from .operators.summaries import summaries
+
+    d = summaries(t(spark, sf, "documents"), ["doc_id"])
+    return d.select("doc_id", F.array_join(F.transform("positions", lambda k: k.cast("string")), ",").alias("positions"), "summary")
