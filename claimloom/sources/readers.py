@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.dataset import canonical_label, numbered
+from ..plans.session import ship, staged
 from .arrays import elements
 
 
@@ -108,6 +111,49 @@ def read_binary(spark: SparkSession, root: str, pattern: str = "*", convert=None
     return d if convert is None else d.select("path", "length", convert("content").alias("result"))
 
 
+#: Image files, by their endings.
+IMAGES = "*.{png,jpg,jpeg,webp,bmp,tif,tiff,PNG,JPG,JPEG,WEBP,BMP,TIF,TIFF}"
+
+
+def ocr_rows(spark: SparkSession, root: str, engines: dict, primary: str, least: float = 0.70, pattern: str = IMAGES) -> DataFrame:
+    """path, engine, text, confidence, words: the best reading (`best_ocr`) of every image under a folder.
+
+    engines: for each name a loader, called once a task, which gives a function from a list of images' bytes to as many
+    lists of (word, confidence in percent); words of a negative confidence count as none read, as in `word_confidence`. An
+    image that an engine cannot read (None) has an empty text and confidence 0 of it. Images go through one pass in small
+    batches; every engine reads each.
+    """
+    ship(spark)
+    schema = "path string, engine string, text string, confidence double, words array<struct<word: string, conf: double>>"
+    fields = [("path", pa.string()), ("engine", pa.string()), ("text", pa.string()), ("confidence", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.string()), ("conf", pa.float64())])))]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        models = {name: load() for name, load in engines.items()}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8):
+                part = batch.slice(at, 8)
+                paths, images, rows = part.column("path").to_pylist(), part.column("content").to_pylist(), []
+                for name, model in models.items():
+                    for path, words in zip(paths, model(images), strict=True):
+                        read = [(str(w), float(c)) for w, c in words or [] if c >= 0]
+                        text = " ".join(w for w, _ in read if w.strip())
+                        rows.append((path, name, text, sum(c for _, c in read) / len(read) / 100 if read else 0.0, [{"word": w, "conf": c} for w, c in read]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+    every = read_binary(spark, root, pattern).select("path", "content").mapInArrow(run, schema)
+    every = staged(every, "ocr")  # a model is run once, not again for the choice
+    return best_ocr(every, ["path"], primary, least).select("path", "engine").join(every, ["path", "engine"])
+
+
+def read_labelled(rows: DataFrame, label: str, table: dict[str, str], most: int | None = None, seed: str = "0", key: str = "id") -> DataFrame:
+    """rows of any data set with their labels in another's names (`canonical_label`), those without one left out, and at most
+    `most` of each label, drawn by a seeded order of their keys."""
+    out = rows.withColumn(label, canonical_label(F.col(label).cast("string"), table)).where(F.col(label).isNotNull())
+    if most is None:
+        return out
+    return numbered(out, [label], [key], seed).where(F.col("_k") <= most).drop("_k", "_n")
+
+
 def cap_chars(pages: DataFrame, by: list[str], page: str, text: str, most: int) -> DataFrame:
     """Pages in order until `most` characters are reached; the page that crosses is cut."""
     from pyspark.sql import Window as W

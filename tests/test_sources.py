@@ -59,3 +59,27 @@ def test_page_specs(spark):
         got = spark.createDataFrame([(spec,)], "s string").select(F.sort_array(R.page_spec(F.col("s"), F.lit(4)))).first()[0]
         assert got == (want if spec else [])
     assert R.read_pages_spec("", 9, 2) == [1, 2]
+
+
+def test_ocr_rows(spark, tmp_path):
+    """The main engine's reading if it is sure enough, else the surer one's; images only, unreadable ones too."""
+    for name, data in {"a.png": b"main", "sub/b.JPG": b"other", "c.jpg": b"none", "d.txt": b"main"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+
+    def main():
+        return lambda images: [[("one", 90), ("two", 80), ("x", -1), (" ", 70)] if i == b"main" else [("one", 50)] if i == b"other" else None for i in images]
+
+    def second():
+        return lambda images: [[("eins", 60)] if i != b"none" else [] for i in images]
+
+    got = {r.path.rsplit("/", 1)[1]: (r.engine, r.text, round(r.confidence, 3), len(r.words)) for r in R.ocr_rows(spark, str(tmp_path), {"main": main, "second": second}, "main").collect()}
+    assert got == {"a.png": ("main", "one two", 0.8, 3), "b.JPG": ("second", "eins", 0.6, 1), "c.jpg": ("main", "", 0.0, 0)}
+
+
+def test_labelled_rows(spark):
+    d = spark.createDataFrame([(k, str(k % 4)) for k in range(40)], "id int, label string")
+    table = {"0": "neutral", "1": "support", "2": "refute"}
+    got = R.read_labelled(d, "label", table, most=4)
+    assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {"neutral": 4, "support": 4, "refute": 4}
+    assert sorted(got.collect()) == sorted(R.read_labelled(d.repartition(7), "label", table, most=4).collect()) and R.read_labelled(d, "label", table).count() == 30
