@@ -15,7 +15,9 @@ from ..plans.session import ship, staged
 #: Rows of a small side up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 #: Common words that are told apart from rare ones, and the share of sets, one in so many, that tells them.
-COMMON, SAMPLED = 20_000, 16
+COMMON, SAMPLED = 200_000, 8
+#: Words of a set for each further one that has to be found before its pair is confirmed.
+STEP = 40
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -76,8 +78,10 @@ def similar_sets(sets: DataFrame, above: float) -> DataFrame:
     """(x, y): pairs of sets(node, words) of which more than a share `above` of the smaller one's words is in the larger one.
     words are distinct longs, not empty; sets that may not meet have no word in common, as hashes with their group have not.
 
-    If so, one of any floor((1 - above) * size) + 1 words of the smaller set is in the larger: each set is looked for by
-    so many of its words, rare ones first, among all words of the others, but for common ones that none is looked for by.
+    If so, at most m = floor((1 - above) * size) of the smaller set's words are not in the larger: each set is looked for by
+    m + k of its words, rare ones first, among all words of the others, but for common ones that none is looked for by, and
+    only where k of them are found (k: 1 and one for every STEP words) whole sets meet. One shared rare word makes most
+    candidates of random texts, and a whole set shuffled for each of them costs many times the input.
     Which words are common is told by the COMMON most frequent ones of every SAMPLED-th set; it changes the work, not the
     result. Pairs are confirmed on their whole sets, so that sets which are all alike cost as many confirmations as pairs.
     """
@@ -90,21 +94,23 @@ def similar_sets(sets: DataFrame, above: float) -> DataFrame:
     def rarest(batches) -> Iterator[pa.RecordBatch]:
         n = held.value
         for b in batches:
-            x, size, w = [], [], []
+            x, size, least, w = [], [], [], []
             for node, words in zip(b.column("node").to_pylist(), b.column("words").to_pylist(), strict=True):
-                most = math.floor((1 - above) * len(words) + 1e-6) + 1
-                for word in sorted(words, key=lambda v: (n.get(v, 0), v))[:most]:
-                    x.append(node)
-                    size.append(len(words))
-                    w.append(word)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(size, pa.int32()), pa.array(w, pa.int64())], ["x", "nx", "w"])
-
-    probe = staged(sets.select("node", "words").mapInArrow(rarest, "x long, nx int, w long"), "probes")
+                missed = math.floor((1 - above) * len(words) + 1e-6)
+                taken = sorted(words, key=lambda v: (n.get(v, 0), v))[: missed + 1 + len(words) // STEP]
+                x += [node] * len(taken)
+                size += [len(words)] * len(taken)
+                least += [max(1, len(taken) - missed)] * len(taken)
+                w += taken
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(size, pa.int32()), pa.array(least, pa.int32()), pa.array(w, pa.int64())], ["x", "nx", "least", "w"])
+
+    probe = staged(sets.select("node", "words").mapInArrow(rarest, "x long, nx int, least int, w long"), "probes")
     common = spark.createDataFrame([(w,) for w in often], "w long")
     unused = F.broadcast(common.join(probe.select("w").distinct(), "w", "left_anti"))
     each = sets.select(F.col("node").alias("y"), F.size("words").alias("ny"), F.explode("words").alias("w")).join(unused, "w", "left_anti")
-    pairs = probe.join(each, "w").where("x <> y AND nx <= ny")
-    turned = (F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y"))
+    found = probe.join(each, "w").where("x <> y AND nx <= ny").withColumn("turned", (F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
+    pairs = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first("turned").alias("turned")).where("n >= least")
+    turned = F.col("turned")
     pairs = staged(pairs.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y")).distinct(), "pairs")
     of = lambda k: sets.select(F.col("node").alias(k), F.col("words").alias(f"w{k}"))
     both = pairs.join(of("x"), "x").join(of("y"), "y")

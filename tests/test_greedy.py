@@ -147,3 +147,18 @@ def test_numbers_without_a_window_over_a_group(spark):
     comp = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert comp == {**{i: i % 2 for i in range(302)}, 1000: 1000, 1001: 1000, 1002: 1000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_shared_rare_word_confirms_nothing(spark, monkeypatch):
+    """Each two of 60 sets share one word of their own; whole sets meet only where more is found. Similar ones still do."""
+    from claimloom.operators import links
+
+    words = {i: [1000 * min(i, j) + max(i, j) for j in range(60) if j != i] + [10**6 + 1000 * i + k for k in range(41)] for i in range(60)}
+    words |= {60: words[0][:92] + list(range(8)), 61: words[1][:50], 62: words[2][:3]}
+    made = {}
+    monkeypatch.setattr(links, "staged", lambda d, tag, f=links.staged: made.setdefault(tag, f(d, tag)))
+    got = links.similar_sets(spark.createDataFrame(list(words.items()), "node long, words array<long>"), 0.9)
+    sets = {k: set(v) for k, v in words.items()}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 0.9 * min(len(sets[a]), len(sets[b]))}
+    assert {frozenset(r) for r in got.collect()} == want and len(want) == 3
+    assert made["pairs"].count() < 10
