@@ -31,8 +31,13 @@ def _sliced(events: DataFrame, ts: str, seconds: int, slices: int = SLICE) -> Da
 
 def sliding_count(events: DataFrame, by: str, ts: str = "ts", seconds: int = 60, key: str = "event_id") -> DataFrame:
     """events with in_window: the bucket's events of the last `seconds`, this one's moment included. Counted within slices of
-    time that overlap by `seconds`, so that no window spans a bucket; events without a time are each other's moment."""
-    count = F.expr(f"count(*) OVER (PARTITION BY {by}, _slice ORDER BY {ts} RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)")
+    time that overlap by `seconds`, so that no window spans a bucket; events without a time are each other's moment.
+
+    The count is that up to this moment less that of what lies more than `seconds` back: both frames only grow, so that a
+    slice is read once, while a frame that slides is summed anew for every moment."""
+    upto = lambda end: f"count(*) OVER (PARTITION BY {by}, _slice ORDER BY {ts} RANGE BETWEEN UNBOUNDED PRECEDING AND {end})"
+    before = f"INTERVAL {seconds * 1_000_000 + 1} MICROSECONDS PRECEDING"
+    count = F.expr(f"{upto('CURRENT ROW')} - CASE WHEN {ts} IS NULL THEN 0 ELSE {upto(before)} END")
     return _sliced(events, ts, seconds).withColumn("in_window", count).where("_own").drop("_slice", "_own")
 
 
@@ -103,10 +108,10 @@ def admit(events: DataFrame, by: str, ts: str = "ts", key: str = "event_id", sec
 def cooldown(events: DataFrame, by: str | None, limited: Column, ts: str = "ts", seconds: int = 3) -> DataFrame:
     """events with ready: when a call may go out, its own moment or `seconds` after the last call before it that the provider
     limited, of its bucket or, with by=None, of all: one clock stops them all. Looked up within slices of time that overlap
-    by `seconds`."""
+    by `seconds`. A limited call further back changes nothing, so that the frame begins with the slice and only grows."""
     e = _sliced(events.withColumn("_hit", F.when(limited, F.col(ts))), ts, seconds, slices=SLICE if by else 1)
     of = f"{by}, " if by else ""
-    last = F.expr(f"max(_hit) OVER (PARTITION BY {of}_slice ORDER BY {ts} RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)")
+    last = F.expr(f"max(_hit) OVER (PARTITION BY {of}_slice ORDER BY {ts} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)")
     until = F.greatest(F.col(ts), last + F.expr(f"INTERVAL {seconds} SECONDS"))
     return e.withColumn("ready", until).where("_own").drop("_hit", "_slice", "_own")
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -129,3 +130,11 @@ def test_stream_cools_down_as_the_batch_does(spark, tmp_path):
             assert got == {r.event_id: r.ready for r in L.cooldown(d, by, F.col("limited"), seconds=3).collect()}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_frames_only_grow(spark):
+    """A frame that slides is summed anew for every moment: the square of a slice's events."""
+    d = spark.range(10).select(F.col("id").alias("event_id"), F.lit("a").alias("user_id"), F.timestamp_seconds("id").alias("ts"))
+    for out in (L.sliding_count(d, "user_id", seconds=60), L.cooldown(d, "user_id", F.col("event_id") % 7 == 0, seconds=30)):
+        frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*)", out._jdf.queryExecution().optimizedPlan().toString())
+        assert frames and all(f.startswith("unboundedpreceding") for f in frames)
