@@ -162,3 +162,15 @@ def test_one_shared_rare_word_confirms_nothing(spark, monkeypatch):
     want = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 0.9 * min(len(sets[a]), len(sets[b]))}
     assert {frozenset(r) for r in got.collect()} == want and len(want) == 3
     assert made["pairs"].count() < 10
+
+
+def test_long_texts_are_no_frame(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i // 40, i, "", " ".join(f"w{rng.randrange(30)}" for _ in range(20 if i < 40 else 2)), 0.5) for i in range(80)]
+    d = spark.createDataFrame(rows, "c int, pos int, url string, text string, score double")
+    want = sorted(map(str, G.drop_similar(d, "c", "pos", 0.7).collect()))
+    framed = []
+    monkeypatch.setattr(G, "FRAME_CHARS", 1000)
+    monkeypatch.setattr(G, "_drop_in_frames", lambda r, *a, f=G._drop_in_frames: framed.append(r) or f(r, *a))
+    assert sorted(map(str, G.drop_similar(d, "c", "pos", 0.7).collect())) == want
+    assert {r.c for r in framed[0].collect()} == {1}
