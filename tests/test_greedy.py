@@ -174,3 +174,19 @@ def test_long_texts_are_no_frame(spark, monkeypatch):
     monkeypatch.setattr(G, "_drop_in_frames", lambda r, *a, f=G._drop_in_frames: framed.append(r) or f(r, *a))
     assert sorted(map(str, G.drop_similar(d, "c", "pos", 0.7).collect())) == want
     assert {r.c for r in framed[0].collect()} == {1}
+
+
+def test_groups_across_batches(spark):
+    """Documents are read in order from batches of any size, without a frame for each."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(30)]), i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(4))) for i in range(400)]
+    d = spark.createDataFrame(rows, "d int, pos int, sentence string").repartition(3)
+    want, was = {}, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for f in (G.distinct_claims, G.informative_claims):
+        assert "FlatMapGroups" not in f(d, "d", "pos")._jdf.queryExecution().optimizedPlan().toString()
+        for n in ("100000", "3", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = sorted((str(r.d), r.place, r.pos) for r in f(d, "d", "pos").collect())
+            alone = [x for k in (None, 3, 7) for x in ((str(k), r.place, r.pos) for r in f(d.where(F.col("d").eqNullSafe(F.lit(k))), "d", "pos").collect())]
+            assert want.setdefault(f, got) == got and set(alone) == {x for x in got if x[0] in ("None", "3", "7")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
