@@ -257,3 +257,17 @@ def test_queries_of_letters_without_a_capital(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
     assert got == set(c.execute(Q.SQL["f21_queries"]).fetchall())
+
+
+def test_span_looks_at_no_more_than_it_takes(spark):
+    """The span as plain code has it; one filter, of blank sentences, comes before the fold."""
+    d = spark.createDataFrame([(" ".join(f"Word{'abc'[k % 3]} number {k if k % 2 else 'none'} here." for k in range(n)),) for n in (0, 1, 3, 90)], "t string")
+    out = d.select(X.fact_span("t", F.array(F.lit("worda"))).alias("s"), "t")
+    assert "filter(filter(" not in out._jdf.queryExecution().analyzed().toString()
+    for r in out.collect():
+        every, run = [x for x in r.t.split(". ") if x], ""
+        every = [x if x.endswith(".") else x + "." for x in every]
+        for x in every:
+            if len(run) <= 700 and ("Worda" in x or "none" not in x):
+                run = f"{run} {x}".strip()
+        assert r.s == (run or "".join(every[:1]))[:900]
