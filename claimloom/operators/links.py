@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ship, staged
 
-#: Rows of a small side up to which it is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of a small side up to which it is broadcast; numbers of 8 bytes alone.
+BROADCAST_ROWS, BROADCAST_NODES = 100_000, 1_000_000
+#: Most bits of a bitmap's places, and bytes of a bucket of Spark's bitmaps.
+BITS, BUCKET = 28, 4096
 #: Common words that are told apart from rare ones, and the share of sets, one in so many, that tells them.
 COMMON, SAMPLED = 200_000, 8
 #: Words of a set for each further one that has to be found before its pair is confirmed.
 STEP = 40
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a hint to broadcast it if it has few rows; counted, so it should be cheap to read."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def number(rows: DataFrame, by: list[str], order: list[Column | str], name: str, partitions: int | None = None) -> DataFrame:
@@ -74,44 +76,91 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
+def _marked(places: DataFrame, bits: int, at_least: int = 1) -> np.ndarray:
+    """A bitmap of 2 ** bits places, as bytes: those that `place` names at_least times."""
+    once = places.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    parts = once.groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("b"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.collect():
+        out[(r.k - 1) * BUCKET : r.k * BUCKET] = np.frombuffer(bytes(r.b), np.uint8)
+    return out
+
+
+def _is_marked(marked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & (len(marked) * 8 - 1)
+    return (marked[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def similar_sets(sets: DataFrame, above: float) -> DataFrame:
-    """(x, y): pairs of sets(node, words) of which more than a share `above` of the smaller one's words is in the larger one.
-    words are distinct longs, not empty; sets that may not meet have no word in common, as hashes with their group have not.
-
-    If so, at most m = floor((1 - above) * size) of the smaller set's words are not in the larger: each set is looked for by
-    m + k of its words, rare ones first, among all words of the others, but for common ones that none is looked for by, and
-    only where k of them are found (k: 1 and one for every STEP words) whole sets meet. One shared rare word makes most
-    candidates of random texts, and a whole set shuffled for each of them costs many times the input.
-    Which words are common is told by the COMMON most frequent ones of every SAMPLED-th set; it changes the work, not the
-    result. Pairs are confirmed on their whole sets, so that sets which are all alike cost as many confirmations as pairs.
+    """(x, y): pairs of sets(node, words, g) of which more than a share `above` of the smaller one's words is in the larger one.
+    words are distinct longs, not empty; only sets of one group g, if there is such a column, meet.
+
+    If so, at most m = floor((1 - above) * size) of the smaller set's words are not in the larger. A word that no other set of
+    the group has is one of these: a set of more than m such is in no other. Else a set of u such is looked for by m - u + k
+    of its other words, rare ones first, among all words of the others, and only where k of them are found (k: 2, or 1 and one
+    for every STEP words) whole sets meet. One shared rare word makes most candidates of random texts, and a whole set
+    shuffled for each of them costs many times the input.
+    Common words are the COMMON most frequent ones of every SAMPLED-th set. The others are counted by their hashes' last bits in a
+    bitmap of up to BITS, so that "no other" is sure and its contrary is not; and a bitmap of the words that sets are looked for by
+    leaves of the sets what may be found. Both change the work, not the result. So a few hundredths of the words are
+    shuffled. Pairs are confirmed on their whole sets, so that sets which are all alike cost as many confirmations as pairs.
     """
     spark = sets.sparkSession
     ship(spark)
+    sets = sets.select("node", "words", F.col("g") if "g" in sets.columns else F.lit(0).cast("long").alias("g"))
+    n_words = sets.agg(F.sum(F.size("words"))).first()[0] or 0
+    bits = min(BITS, max(18, (4 * n_words).bit_length()))
     some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select(F.explode("words").alias("w"))
-    often = {r.w: r.n for r in some.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).collect()}
-    held = spark.sparkContext.broadcast(often)
+    often = some.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).toPandas().sort_values("w")
+    often = spark.sparkContext.broadcast((often["w"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+
+    def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes of the batch's sets, and of all their words: whose, how often in the sample, and with its group as one hash."""
+        sizes = b.column("words").value_lengths().to_numpy()
+        words = b.column("words").flatten().to_numpy()
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        w, n = often.value
+        at = np.minimum(np.searchsorted(w, words), max(0, len(w) - 1))
+        return sizes, of, np.where(w[at] == words, n[at], 0) if len(w) else np.zeros(len(words), np.int64), words ^ b.column("g").to_numpy()[of]
+
+    def rare(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, n, keys = flat(b)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n == 0] & ((1 << bits) - 1))], ["place"])
+
+    several = spark.sparkContext.broadcast(_marked(sets.mapInArrow(rare, "place long"), bits, 2))
 
     def rarest(batches) -> Iterator[pa.RecordBatch]:
-        n = held.value
         for b in batches:
-            x, size, least, w = [], [], [], []
-            for node, words in zip(b.column("node").to_pylist(), b.column("words").to_pylist(), strict=True):
-                missed = math.floor((1 - above) * len(words) + 1e-6)
-                taken = sorted(words, key=lambda v: (n.get(v, 0), v))[: missed + 1 + len(words) // STEP]
-                x += [node] * len(taken)
-                size += [len(words)] * len(taken)
-                least += [max(1, len(taken) - missed)] * len(taken)
-                w += taken
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(size, pa.int32()), pa.array(least, pa.int32()), pa.array(w, pa.int64())], ["x", "nx", "least", "w"])
-
-    probe = staged(sets.select("node", "words").mapInArrow(rarest, "x long, nx int, least int, w long"), "probes")
-    common = spark.createDataFrame([(w,) for w in often], "w long")
-    unused = F.broadcast(common.join(probe.select("w").distinct(), "w", "left_anti"))
-    each = sets.select(F.col("node").alias("y"), F.size("words").alias("ny"), F.explode("words").alias("w")).join(unused, "w", "left_anti")
-    found = probe.join(each, "w").where("x <> y AND nx <= ny").withColumn("turned", (F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
-    pairs = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first("turned").alias("turned")).where("n >= least")
-    turned = F.col("turned")
+            sizes, of, n, keys = flat(b)
+            left = (n > 0) | _is_marked(several.value, keys)
+            others = np.bincount(of[left], minlength=len(sizes))
+            missed = np.floor((1 - above) * sizes + 1e-6).astype(np.int64) - (sizes - others)
+            taken = np.where(missed < 0, 0, np.minimum(others, missed + np.maximum(2, 1 + sizes // STEP)))
+            of, n, keys = of[left], n[left], keys[left]
+            order = np.lexsort((keys, n, of))
+            of, keys = of[order], keys[order]
+            first = np.arange(len(of)) - np.repeat(np.cumsum(others) - others, others) < taken[of]
+            of, keys = of[first], keys[first]
+            least = np.maximum(1, taken - missed)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("node").to_numpy()[of]), pa.array(sizes[of].astype(np.int32)), pa.array(least[of].astype(np.int32)), pa.array(keys)], ["x", "nx", "least", "w"])
+
+    probe = staged(sets.mapInArrow(rarest, "x long, nx int, least int, w long"), "probes")
+    sought = spark.sparkContext.broadcast(_marked(probe.select(F.col("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")), bits))
+
+    def looked_for(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, of, _, keys = flat(b)
+            found = _is_marked(sought.value, keys)
+            of = of[found]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("node").to_numpy()[of]), pa.array(sizes[of].astype(np.int32)), pa.array(keys[found])], ["y", "ny", "w"])
+
+    each = sets.mapInArrow(looked_for, "y long, ny int, w long")
+    found = probe.join(each, "w").where("x <> y AND nx <= ny")
+    pairs = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first(F.col("nx") == F.col("ny")).alias("even")).where("n >= least")
+    turned = F.col("even") & (F.col("x") > F.col("y"))
     pairs = staged(pairs.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y")).distinct(), "pairs")
-    of = lambda k: sets.select(F.col("node").alias(k), F.col("words").alias(f"w{k}"))
-    both = pairs.join(of("x"), "x").join(of("y"), "y")
+    ends = {k: small(pairs.select(F.col(k).alias("node")).distinct(), BROADCAST_NODES) for k in "xy"}
+    of = lambda k: sets.join(ends[k], "node", "left_semi").select(F.col("node").alias(k), F.col("g").alias(f"g{k}"), F.col("words").alias(f"w{k}"))
+    both = pairs.join(of("x"), "x").join(of("y"), "y").where("gx = gy")
     return both.where(F.size(F.array_intersect("wx", "wy")) / F.least(F.size("wx"), F.size("wy")) > above).select("x", "y")

@@ -190,3 +190,24 @@ def test_groups_across_batches(spark):
             alone = [x for k in (None, 3, 7) for x in ((str(k), r.place, r.pos) for r in f(d.where(F.col("d").eqNullSafe(F.lit(k))), "d", "pos").collect())]
             assert want.setdefault(f, got) == got and set(alone) == {x for x in got if x[0] in ("None", "3", "7")}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_words_of_one_set_alone_are_not_shuffled(spark, monkeypatch):
+    """A set with more words of its own than may be missing looks for nothing, and of the others only what is looked for is
+    joined; sets of other groups neither meet nor make a word common to two sets."""
+    from claimloom.operators import links
+
+    rng = random.Random(3)
+    usual = [rng.getrandbits(62) for _ in range(40)]
+    own = lambda n: [rng.getrandbits(62) for _ in range(n)]
+    rows = [(i, usual + own(20), i % 2) for i in range(200)]
+    rows += [(1000 + i, rows[i][1][:55] + own(1), i % 2) for i in range(3)] + [(2000, rows[7][1], 0), (2001, usual[:5], 0)]
+    made, shuffled = {}, []
+    monkeypatch.setattr(links, "staged", lambda d, tag, f=links.staged: made.setdefault(tag, f(d, tag)))
+    monkeypatch.setattr(links, "_marked", lambda d, *a, f=links._marked: shuffled.append(d) or f(d, *a), raising=False)
+    got = links.similar_sets(spark.createDataFrame(rows, "node long, words array<long>, g long"), 0.9)
+    sets = [(n, set(w), g) for n, w, g in rows]
+    want = {frozenset((a, b)) for a, x, g in sets for b, y, h in sets if a < b and g == h and len(x & y) > 0.9 * min(len(x), len(y))}
+    assert {frozenset(r) for r in got.collect()} == want and len(want) == 106
+    assert {r.x for r in made["probes"].select("x").distinct().collect()} == {0, 1, 2, 1000, 1001, 1002, 2001}
+    assert shuffled[0].count() < 205 * 25
