@@ -211,3 +211,34 @@ def test_words_of_one_set_alone_are_not_shuffled(spark, monkeypatch):
     assert {frozenset(r) for r in got.collect()} == want and len(want) == 106
     assert {r.x for r in made["probes"].select("x").distinct().collect()} == {0, 1, 2, 1000, 1001, 1002, 2001}
     assert shuffled[0].count() < 205 * 25
+
+
+def test_texts_are_written_once_as_words(spark, monkeypatch):
+    """No text is written where a group and its places tell a row; where places repeat, rows get numbers, and none is lost."""
+    d = spark.createDataFrame([(i % 2, i // 2, f"u{i}", f"the text of {i} alone", 0.5) for i in range(60)], "c int, pos int, url string, text string, score double")
+    written = []
+    monkeypatch.setattr(G, "staged", lambda df, tag, f=G.staged: written.append(df.columns) or f(df, tag))
+    assert G.drop_similar(d, "c", "pos", frame_rows=0).count() == 60
+    assert not [c for c in written if "text" in c or "_text" in c]
+    twice = G.drop_similar(d.withColumn("pos", F.floor(F.col("pos") / 3).cast("int")), "c", "pos", frame_rows=0)
+    assert sorted(r.url for r in twice.collect()) == sorted(f"u{i}" for i in range(60))
+    assert sorted(r.place for r in twice.where("c = 1").collect()) == list(range(1, 31))
+
+
+def test_rows_whose_url_is_seen_meet_nothing(spark, monkeypatch):
+    """A third of 1,200 rows without a URL's first text: heads are decided first, and later rows of URLs seen there are left out."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 25))) for _ in range(40)]
+    rows = [(rng.choice([1, None]), i, rng.choice(["hot", "", *(f"u{k}" for k in range(6))]) if i % 9 else "hot", rng.choice(texts) if rng.random() < 0.3 else f"{i} alone of {i * 7} and {i * 11}", rng.choice([None, i / 1200, 1 - i / 1200])) for i in range(1200)]
+    rows = [(c, i, u or f"u{i % 6}", t, s) for c, i, u, t, s in rows]
+    d = spark.createDataFrame(rows, "c int, pos int, url string, text string, score double")
+    want = sorted(map(str, G.drop_similar(d, "c", "pos", frame_rows=10**6).collect()))
+    met = []
+    monkeypatch.setattr(G, "HEAD_ROWS", 50, raising=False)
+    monkeypatch.setattr(G, "similar_sets", lambda s, a, f=G.similar_sets: met.append(s.count()) or f(s, a))
+    assert sorted(map(str, G.drop_similar(d, "c", "pos", frame_rows=0).collect())) == want
+    assert len(met) > 1 and sum(met) < 600
+    # a head whose URLs are all left unseen leaves all rows, and a larger one is decided
+    met.clear()
+    same = spark.createDataFrame([(1, i, f"u{i % 3}" if i < 30 else f"v{i % 3}", "one text of words", 0.5) for i in range(1200)], "c int, pos int, url string, text string, score double")
+    assert [r.pos for r in G.drop_similar(same, "c", "pos", frame_rows=0).collect()] == [0] and len(met) > 1
