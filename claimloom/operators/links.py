@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from ..plans.session import ship, staged
 
 #: Rows of a small side up to which it is broadcast; numbers of 8 bytes alone.
 BROADCAST_ROWS, BROADCAST_NODES = 100_000, 1_000_000
+#: Words that are looked for in one slice.
+PROBES = 10_000_000
 #: Most bits of a bitmap's places, and bytes of a bucket of Spark's bitmaps.
 BITS, BUCKET = 28, 4096
 #: Common words that are told apart from rare ones, and the share of sets, one in so many, that tells them.
@@ -104,6 +107,7 @@ def similar_sets(sets: DataFrame, above: float) -> DataFrame:
     bitmap of up to BITS, so that "no other" is sure and its contrary is not; and a bitmap of the words that sets are looked for by
     leaves of the sets what may be found. Both change the work, not the result. So a few hundredths of the words are
     shuffled. Pairs are confirmed on their whole sets, so that sets which are all alike cost as many confirmations as pairs.
+    What is looked for comes in slices of about PROBES words, of which one at a time is on disk.
     """
     spark = sets.sparkSession
     ship(spark)
@@ -114,25 +118,27 @@ def similar_sets(sets: DataFrame, above: float) -> DataFrame:
     often = some.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).toPandas().sort_values("w")
     often = spark.sparkContext.broadcast((often["w"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
 
-    def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sizes of the batch's sets, and of all their words: whose, how often in the sample, and with its group as one hash."""
+    def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes of the batch's sets, and of all their words: whose, and with its group as one hash."""
         sizes = b.column("words").value_lengths().to_numpy()
-        words = b.column("words").flatten().to_numpy()
         of = np.repeat(np.arange(len(sizes)), sizes)
-        w, n = often.value
+        return sizes, of, b.column("words").flatten().to_numpy() ^ b.column("g").to_numpy()[of]
+
+    def sampled(b: pa.RecordBatch) -> np.ndarray:
+        """How often the sample has each word of the batch's sets."""
+        words, (w, n) = b.column("words").flatten().to_numpy(), often.value
         at = np.minimum(np.searchsorted(w, words), max(0, len(w) - 1))
-        return sizes, of, np.where(w[at] == words, n[at], 0) if len(w) else np.zeros(len(words), np.int64), words ^ b.column("g").to_numpy()[of]
+        return np.where(w[at] == words, n[at], 0) if len(w) else np.zeros(len(words), np.int64)
 
     def rare(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, _, n, keys = flat(b)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n == 0] & ((1 << bits) - 1))], ["place"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat(b)[2][sampled(b) == 0] & ((1 << bits) - 1))], ["place"])
 
     several = spark.sparkContext.broadcast(_marked(sets.mapInArrow(rare, "place long"), bits, 2))
 
     def rarest(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, of, n, keys = flat(b)
+            (sizes, of, keys), n = flat(b), sampled(b)
             left = (n > 0) | _is_marked(several.value, keys)
             others = np.bincount(of[left], minlength=len(sizes))
             missed = np.floor((1 - above) * sizes + 1e-6).astype(np.int64) - (sizes - others)
@@ -146,21 +152,27 @@ def similar_sets(sets: DataFrame, above: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(b.column("node").to_numpy()[of]), pa.array(sizes[of].astype(np.int32)), pa.array(least[of].astype(np.int32)), pa.array(keys)], ["x", "nx", "least", "w"])
 
     probe = staged(sets.mapInArrow(rarest, "x long, nx int, least int, w long"), "probes")
-    sought = spark.sparkContext.broadcast(_marked(probe.select(F.col("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")), bits))
-
-    def looked_for(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, of, _, keys = flat(b)
-            found = _is_marked(sought.value, keys)
-            of = of[found]
-            yield pa.RecordBatch.from_arrays([pa.array(b.column("node").to_numpy()[of]), pa.array(sizes[of].astype(np.int32)), pa.array(keys[found])], ["y", "ny", "w"])
-
-    each = sets.mapInArrow(looked_for, "y long, ny int, w long")
-    found = probe.join(each, "w").where("x <> y AND nx <= ny")
-    pairs = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first(F.col("nx") == F.col("ny")).alias("even")).where("n >= least")
-    turned = F.col("even") & (F.col("x") > F.col("y"))
-    pairs = staged(pairs.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y")).distinct(), "pairs")
-    ends = {k: small(pairs.select(F.col(k).alias("node")).distinct(), BROADCAST_NODES) for k in "xy"}
-    of = lambda k: sets.join(ends[k], "node", "left_semi").select(F.col("node").alias(k), F.col("g").alias(f"g{k}"), F.col("words").alias(f"w{k}"))
-    both = pairs.join(of("x"), "x").join(of("y"), "y").where("gx = gy")
-    return both.where(F.size(F.array_intersect("wx", "wy")) / F.least(F.size("wx"), F.size("wy")) > above).select("x", "y")
+    mask = (1 << bits) - 1
+    slices = max(1, -(-probe.count() // PROBES))
+    similar = []
+    for k in range(slices):
+        mine = probe if slices == 1 else probe.where(F.pmod(F.xxhash64("x"), F.lit(slices)) == k)
+        sought = spark.sparkContext.broadcast(_marked(mine.select(F.col("w").bitwiseAND(F.lit(mask)).alias("place")), bits))
+
+        def looked_for(batches, sought=sought) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sizes, of, keys = flat(b)
+                found = _is_marked(sought.value, keys)
+                of = of[found]
+                yield pa.RecordBatch.from_arrays([pa.array(b.column("node").to_numpy()[of]), pa.array(sizes[of].astype(np.int32)), pa.array(keys[found])], ["y", "ny", "w"])
+
+        found = mine.join(sets.mapInArrow(looked_for, "y long, ny int, w long"), "w").where("x <> y AND nx <= ny")
+        pairs = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first(F.col("nx") == F.col("ny")).alias("even")).where("n >= least")
+        turned = F.col("even") & (F.col("x") > F.col("y"))
+        pairs = staged(pairs.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y")).distinct(), "pairs")
+        ends = {c: small(pairs.select(F.col(c).alias("node")).distinct(), BROADCAST_NODES) for c in "xy"}
+        of = lambda c, ends=ends: sets.join(ends[c], "node", "left_semi").select(F.col("node").alias(c), F.col("g").alias(f"g{c}"), F.col("words").alias(f"w{c}"))
+        both = pairs.join(of("x"), "x").join(of("y"), "y").where("gx = gy")
+        both = both.where(F.size(F.array_intersect("wx", "wy")) / F.least(F.size("wx"), F.size("wy")) > above).select("x", "y")
+        similar.append(both if slices == 1 else staged(both, "some"))
+    return similar[0] if slices == 1 else reduce(DataFrame.unionByName, similar).distinct()

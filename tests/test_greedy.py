@@ -242,3 +242,17 @@ def test_rows_whose_url_is_seen_meet_nothing(spark, monkeypatch):
     met.clear()
     same = spark.createDataFrame([(1, i, f"u{i % 3}" if i < 30 else f"v{i % 3}", "one text of words", 0.5) for i in range(1200)], "c int, pos int, url string, text string, score double")
     assert [r.pos for r in G.drop_similar(same, "c", "pos", frame_rows=0).collect()] == [0] and len(met) > 1
+
+
+def test_slices_find_the_same_pairs(spark, monkeypatch):
+    from claimloom.operators import links
+
+    rng = random.Random(6)
+    rows = [(i, list({rng.randrange(25) for _ in range(rng.randint(1, 14))}), i % 2) for i in range(150)]
+    sets = [(n, set(w), g) for n, w, g in rows]
+    want = {frozenset((a, b)) for a, x, g in sets for b, y, h in sets if a < b and g == h and len(x & y) > 0.7 * min(len(x), len(y))}
+    monkeypatch.setattr(links, "PROBES", 200, raising=False)
+    staged = []
+    monkeypatch.setattr(links, "staged", lambda d, tag, f=links.staged: staged.append(tag) or f(d, tag))
+    got = [frozenset(r) for r in links.similar_sets(spark.createDataFrame(rows, "node long, words array<long>, g long"), 0.7).collect()]
+    assert set(got) == want and len(got) == len(want) > 100 and staged.count("pairs") > 1
