@@ -116,3 +116,32 @@ def test_hot_host_of_copies(spark):
     rows = [(k, "https://one.org/", story(1, k % 7)) for k in range(300)]
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, PAGE)).collect()}
     assert got == {k: f"Title {k % 7} Story {k % 7} of host. Alone {k % 7} It goes on {k % 7}." for k in range(300)}
+
+
+def test_wide_lists_match_as_a_whole():
+    """Lists too wide for a table, pages with many different lists, and nested ones match as without any bound."""
+    rng = random.Random(11)
+    part = lambda: "<section>" + "".join(rng.choice(["<p>a</p>", "<ul><li>b</ul>", "<h2>c</h2>", "<ul><li>b<li><p>d</p></ul>"]) for _ in range(rng.randint(0, 4))) + "</section>"
+    for _ in range(30):
+        one = [part() for _ in range(rng.randint(5, 40))]
+        two = [p if rng.random() < 0.7 else part() for p in rng.choices([part(), ""], k=rng.randint(0, 6)) + one[rng.randint(0, 9) :]]
+        a, b = (H.parse(f"<div>{part()}<div>{''.join(x)}</div>{part()}</div><p>e</p>")[0] for x in (one, two))
+        exact = [(x.number, y.number) for x, y in H.Matcher(10**9, 10**9).pairs(a, b)]
+        for bounds in ((4, 10**9), (10**9, 50), (10**9, 0), (60, 500)):
+            m = H.Matcher(*bounds)
+            assert [(x.number, y.number) for x, y in m.pairs(a, b)] == exact and H.Matcher(*bounds).score(a, b) == len(exact)
+
+
+def test_wide_pages_lose_no_template(spark):
+    """300 lines on every page, with 300 paragraphs that stand elsewhere among them on each: all lines are template, no more."""
+    line = lambda j: "<section>" + "".join("<ul></ul>" if j >> b & 1 else "<ol></ol>" for b in range(9)) + f"<h2>Line {j}</h2></section>"
+    story = lambda k, j: f"Story {k} {j} " + "of a page with many lines " * 9 + "ends."
+    own = lambda k, j: [story(k, 5 * j + i) for i in range(5)] if 40 * k <= j < 40 * k + 60 else []
+    page = lambda k: "".join("".join(f"<div><p>{s}</p></div>" for s in own(k, j)) + line(j) for j in range(300))
+    pages = [(k, f"https://one.org/{k}", f"<html><body><div>{page(k)}</div></body></html>") for k in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages, PAGE)).collect()}
+    assert got == {k: " ".join(s for j in range(300) for s in own(k, j)) for k in range(6)}
+
+
+def test_formulas_are_text():
+    assert text_of("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x</annotation></math> says") == "As x=2 says"
